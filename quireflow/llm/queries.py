@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, packing, warc
+from . import chat, fingerprints, langid, lines, mixing, packing, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,5 +35,20 @@ def op10_budgeted_chat(spark, sf_dir):
     return chat.read_back(stage_table(chat.format_conversations(rows.union(own)), "chat"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hierarchical_packing, op4_output_code_languages, op5_packaged_warc, op10_budgeted_chat)}
-ORACLES: dict[str, str] = {}
+def op1_paragraph_sketches(spark, sf_dir):
+    return fingerprints.compare_versions(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_line_chunks(spark, sf_dir):
+    d = lines.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_pivotal_mix(spark, sf_dir):
+    p = mixing.plan(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    p = p.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
+    return p.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+QUERIES = {f.__name__: f for f in (op1_paragraph_sketches, op2_hierarchical_packing, op4_output_code_languages, op5_packaged_warc, op7_line_chunks, op9_pivotal_mix, op10_budgeted_chat)}
+ORACLES: dict[str, str] = {"op7_line_chunks": lines.ORACLE}
