@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, lines, mixing, packing, warc
+from . import chat, fingerprints, jaccard, langid, lines, mixing, packing, vectors, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,14 @@ def op1_paragraph_sketches(spark, sf_dir):
     return fingerprints.compare_versions(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_pivot_permutations(spark, sf_dir):
+    return vectors.link_vectors(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op6_token_group_matrix(spark, sf_dir):
+    return jaccard.link_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_line_chunks(spark, sf_dir):
     d = lines.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -50,5 +58,5 @@ def op9_pivotal_mix(spark, sf_dir):
     return p.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_paragraph_sketches, op2_hierarchical_packing, op4_output_code_languages, op5_packaged_warc, op7_line_chunks, op9_pivotal_mix, op10_budgeted_chat)}
+QUERIES = {f.__name__: f for f in (op1_paragraph_sketches, op2_hierarchical_packing, op3_pivot_permutations, op4_output_code_languages, op5_packaged_warc, op6_token_group_matrix, op7_line_chunks, op9_pivotal_mix, op10_budgeted_chat)}
 ORACLES: dict[str, str] = {"op7_line_chunks": lines.ORACLE}
