@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, jaccard, langid, lines, mixing, packing, vectors, warc
+from . import chat, fingerprints, jaccard, langid, lines, mixing, packing, suffixes, vectors, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,11 +52,22 @@ def op7_line_chunks(spark, sf_dir):
     return d.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_column_suffixes(spark, sf_dir):
+    d = suffixes.dedup_bytes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_pivotal_mix(spark, sf_dir):
     p = mixing.plan(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     p = p.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
     return p.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_paragraph_sketches, op2_hierarchical_packing, op3_pivot_permutations, op4_output_code_languages, op5_packaged_warc, op6_token_group_matrix, op7_line_chunks, op9_pivotal_mix, op10_budgeted_chat)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_paragraph_sketches, op2_hierarchical_packing, op3_pivot_permutations, op4_output_code_languages, op5_packaged_warc, op6_token_group_matrix, op7_line_chunks, op8_column_suffixes, op9_pivotal_mix, op10_budgeted_chat, pipeline)}
 ORACLES: dict[str, str] = {"op7_line_chunks": lines.ORACLE}
