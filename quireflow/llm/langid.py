@@ -105,10 +105,11 @@ def train(labelled: DataFrame, most_rows: int = 3000, bits: int = 12, steps: int
         kept, tested = np.arange(len(y)) % 5 != 0, np.arange(len(y)) % 5 == 0
         for part in (kept, np.ones(len(y), bool)):
             w[:], b[:] = 0, 0
+            xp, yp = x[part], y[part]
             v, vb, rate = np.zeros_like(w), np.zeros_like(b), 40.0
             for _ in range(steps):
-                g = -y[part] / (1 + np.exp(y[part] * (x[part] @ w + b))) / max(1, part.sum())
-                v, vb = 0.9 * v - rate * 0.1 * (x[part].T @ g + 1e-5 * w), 0.9 * vb - rate * 0.01 * g.sum(axis=0)
+                g = -yp / (1 + np.exp(yp * (xp @ w + b))) / max(1, len(yp))
+                v, vb = 0.9 * v - rate * 0.1 * (xp.T @ g + 1e-5 * w), 0.9 * vb - rate * 0.01 * g.sum(axis=0)
                 w, b = w + v, b + vb
             if part is kept and tested.any():  # a bit that errs on rows it has not seen counts less
                 err = np.clip(((x[tested] @ w + b) * y[tested] <= 0).mean(axis=0), 0.002, 0.49)

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage_table
+
 #: A chunk ends after a line where the rolling hash of it and the line before is a multiple of this.
 DIVISOR = 4
+#: So many repeated hashes (8 MB) are broadcast to find their chunks; above, chunks are shuffled by hash.
+FEW_KEYS = 1_000_000
 
 
 def chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
@@ -29,18 +33,25 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     hash; a hash whose smallest and largest chunk differ in a byte is told apart by the chunk itself.
     Chunks of one line, null texts (n_lines 0) and texts without repeats stay as they are; an emptied text is
     ''. Rows that repeat a doc_id count as one document. Columns n_lines and n_removed are replaced.
-    A hash's minimum and count combine before the shuffle; its repeats join back, splitting hot hashes.
+    Hashes are counted first, without texts; then only repeated chunks are compared, by minimum and maximum,
+    which combine before the shuffle. Repeats join back to their hash, so a hot hash is split like any join.
     """
     docs = docs.drop("n_lines", "n_removed")
-    own = chunks(docs, divisor).withColumn("key", F.xxhash64("chunk"))
+    texts = chunks(docs, divisor).withColumn("key", F.xxhash64("chunk"))
+    own = stage_table(texts.select("doc_id", "start", "end", "key"), "chunks")
+    many = stage_table(own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    texts = texts.join(F.broadcast(many) if many.count() <= FEW_KEYS else many, "key", "left_semi")
     where = F.struct("doc_id", "start")
-    met = own.groupBy("key").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"), F.count("*").alias("n"), F.min(where).alias("first")).where("n > 1")
-    met = met.select("key", "first", (F.col("low") == F.col("high")).alias("same"))
-    again = own.select("doc_id", "start", "end", "key").join(met.where("same").select("key", "first"), "key").where(~where.eqNullSafe(F.col("first")))
-    told = own.join(met.where("not same").select("key"), "key", "left_semi")  # hash collisions only
-    firsts = told.groupBy("chunk").agg(F.min(where).alias("first"))
-    told = told.join(firsts, "chunk").where(~where.eqNullSafe(F.col("first")))
-    cuts = again.select("doc_id", "start", "end").union(told.select("doc_id", "start", "end")).distinct()
+    met = texts.groupBy("key").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"), F.min(where).alias("first"))
+    met = stage_table(met.select("key", "first", (F.col("low") == F.col("high")).alias("same")), "repeats")
+    again = own.join(met.where("same").select("key", "first"), "key").where(~where.eqNullSafe(F.col("first")))
+    mixed = met.where("not same").select("key")
+    if not mixed.isEmpty():  # different chunks of one hash
+        told = texts.join(mixed, "key", "left_semi")
+        firsts = told.groupBy("chunk").agg(F.min(where).alias("first"))
+        told = told.join(firsts, "chunk").where(~where.eqNullSafe(F.col("first")))
+        again = again.select("doc_id", "start", "end").union(told.select("doc_id", "start", "end"))
+    cuts = again.select("doc_id", "start", "end").distinct()
     cuts = cuts.groupBy(F.col("doc_id").alias("_d")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
     rows = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("_d")), "left").withColumn("_lines", F.split("text", "\n", -1))
     rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long"))
