@@ -14,10 +14,10 @@ from .components import connected_components
 WORDS = 5
 #: Links: PER * intersection >= SHARE * union.
 SHARE, PER = 80, 100
-#: Cells of the table of common shingles (fixed size: 4 MB), and the count from which a shingle is common.
-CELL_BITS, COMMON = 22, 8
-#: Most sets of one group, whose union is one column of the matrix.
-GROUP = 64
+#: Cells of the table of common shingles (fixed size: 16 MB); a quarter of them at most is filled.
+CELL_BITS = 24
+#: Most sets of one group, whose shingles are one column of the matrix; so many ids (8 MB) are broadcast.
+GROUP, FEW_IDS = 64, 1_000_000
 
 
 class _Words(dict):
@@ -81,9 +81,18 @@ def _profile(docs: DataFrame) -> DataFrame:
 
 
 def _common(profile: DataFrame) -> np.ndarray:
-    """By cell of a shingle's hash, how common its most common one is (bits of the count; 0: rare)."""
-    cells = profile.where("token is not null").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON)
-    cells = cells.groupBy(F.shiftrightunsigned("token", 64 - CELL_BITS).cast("int").alias("cell")).agg(F.ceil(F.log2(F.max("c"))).cast("int").alias("level")).toArrow()
+    """By cell of a shingle's hash, how common its most common one is (bits of the count; 0: rare).
+
+    Any table gives right results, as everyone orders by the same; the most common levels that fit are kept.
+    """
+    counts = profile.where("token is not null").groupBy("token").agg(F.ceil(F.log2(F.sum("c"))).cast("int").alias("level"))
+    least, room = 64, 1 << (CELL_BITS - 2)
+    for level, n in sorted(counts.groupBy("level").count().collect(), reverse=True):  # a row per level, 63 at most
+        room -= n
+        if room < 0:
+            break
+        least = level
+    cells = counts.where(F.col("level") >= least).groupBy(F.shiftrightunsigned("token", 64 - CELL_BITS).cast("int").alias("cell")).agg(F.max("level").alias("level")).toArrow()
     out = np.zeros(1 << CELL_BITS, np.uint8)
     out[cells.column("cell").to_numpy()] = cells.column("level").to_numpy()
     return out
@@ -137,6 +146,9 @@ def with_bit(docs: DataFrame, ids: DataFrame, bits: int = 24) -> tuple[DataFrame
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, set) of the documents in ids, from their whole texts; other texts are not moved."""
+    few = ids.count() <= FEW_IDS
+    if few:
+        docs = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi")
     rows, table = with_bit(docs, ids)
     out = pa.schema([("doc_id", pa.int64()), ("set", pa.binary())])
 
@@ -148,7 +160,9 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield record_batch(out, {"doc_id": b.column(0), "set": [shingles(t, known).tobytes() for t in b.column(1).to_pylist()]})
 
     made = rows.mapInArrow(run, "doc_id long, set binary")
-    return stage_table(made.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "tokens")
+    if not few:
+        made = made.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+    return made.dropDuplicates(["doc_id"])
 
 
 def _overlap(a: bytes, b: bytes) -> tuple[int, int, int]:
@@ -159,8 +173,10 @@ def _overlap(a: bytes, b: bytes) -> tuple[int, int, int]:
     return int((y[np.minimum(at, len(y) - 1)] == x).sum()), len(x), len(y)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
+    ids = stage_table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "asked")
+    sets = stage_table(_sets(docs, ids), "tokens")
     p = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -180,33 +196,24 @@ def _alike(m, n):
     return (PER * F.least(m, n)) >= (SHARE * F.greatest(m, n))
 
 
-def _opened(queries: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, g) whose bound allows a link: |a in union of g| >= share of |a|.
+def _beyond(n):
+    """How many shingles a set of size n has after its prefix."""
+    return F.ceil(n * SHARE / F.lit(PER)).cast("long") - 1
 
-    A group's row of the matrix is the union of its members' shingles; only groups that are asked are built.
-    """
-    asked = queries.select("g").distinct()
-    members = groups.join(asked, "g").join(sets, "doc_id").select("g", "set")
 
-    def union(table: pa.Table) -> pa.Table:
-        u = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]))
-        return pa.table({"g": table.column("g")[:1], "u": pa.array([u.tobytes()], pa.binary())})
+def _reaches(both, beyond, sizes):
+    """Whether an overlap of `both` in the prefixes and at most `beyond` after them can make a link of sizes m + n."""
+    return (PER + SHARE) * (both + beyond) >= SHARE * sizes
 
-    unions = members.groupBy("g").applyInArrow(union, "g string, u binary")
-    rows = queries.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(unions, "g").select("a", "g", "sa", "u")
-    out = pa.schema([("a", pa.int64()), ("g", pa.string())])
 
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, u in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, u = np.frombuffer(x, np.uint64), np.frombuffer(u, np.uint64)
-                at = np.minimum(np.searchsorted(u, x), len(u) - 1)
-                keep.append(PER * int((u[at] == x).sum()) >= SHARE * len(x))
-            b = b.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=out)
+def _bounded(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) that can link by their rows (a, n, tokens: the shared shingles of a's prefix).
 
-    return rows.mapInArrow(run, "a long, g string")
+    Of the two prefixes, one ends first in the common order: up to there the sets share what the prefixes
+    share, and beyond it at most what that set has left.
+    """
+    p = pairs.join(rows, "a").join(rows.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("others")), "b").where(_alike(F.col("n"), F.col("m")))
+    return p.where(_reaches(F.size(F.array_intersect("tokens", "others")), F.greatest(_beyond(F.col("n")), _beyond(F.col("m"))), F.col("n") + F.col("m"))).select("a", "b")
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
@@ -217,9 +224,10 @@ def link_documents(docs: DataFrame) -> DataFrame:
     2. By the prefix bound, two linked sets share one of their first shingles. Each posted set is compared
        with its list's smallest id, so a list gives as many pairs as it has sets; what links forms groups,
        of at most GROUP sets.
-    3. Token-group matrix: a set that shares a first shingle with a group of another component is bounded
-       by its overlap with the group's union; only groups that reach the bound are opened and their
-       members compared. Lists whose sets are all of one component need nothing.
+    3. Token-group matrix: per group the union of its members' listed shingles, as rows (token, group). A set
+       that shares one with a group of another component is bounded by its overlap with that union and what
+       lies beyond the prefixes; only groups that reach the bound are opened, and their members bounded and
+       compared. Lists whose sets are all of one component need nothing.
     No link between different sets is lost; pairs within a component are not listed. Texts without words,
     null texts and null ids link with nothing (a null id's component is null). Rows that repeat a doc_id
     count as one document. Only doc_id and text are read; an empty table gives no rows.
@@ -240,27 +248,25 @@ def link_documents(docs: DataFrame) -> DataFrame:
     hubs = shared.groupBy("token").agg(F.min(F.struct(F.col("a").alias("b"), F.col("n").alias("m"))).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", "h.b", "h.m")
     stars = stage_table(shared.join(hubs, "token").where(F.col("a") != F.col("b")).where(_alike("n", "m")).select("a", "b").distinct(), "stars")
     used = shared.join(hubs.select("token"), "token", "left_semi")
-    sets = _sets(docs, used.select(F.col("a").alias("id")).distinct())
-    links = stage_table(_verified(stars, sets), "links")
+    rows = stage_table(used.groupBy("a").agg(F.max("n").alias("n"), F.collect_list("token").alias("tokens")), "rows")
+    links = stage_table(_verified(stage_table(_bounded(stars, rows), "near"), docs), "links")
 
-    parts = connected_components(links)
+    parts = stage_table(connected_components(links), "parts")
     label = used.join(parts.withColumnRenamed("node", "a"), "a", "left").select("token", "a", "n", F.coalesce("component", "a").alias("comp"))
     mixed = label.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    label = label.join(mixed, "token", "left_semi")
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    label = label.join(sizes, F.col("comp") == F.col("component"), "left").drop("component")
+    label = label.join(mixed, "token", "left_semi").join(sizes, F.col("comp") == F.col("component"), "left").drop("component")
     group = F.concat_ws(".", F.col("comp"), F.pmod(F.xxhash64("a"), F.ceil(F.coalesce("size", F.lit(1)) / GROUP)))
     label = stage_table(label.select("token", "a", "n", "comp", group.alias("g")), "labels")
-    everyone = parts.join(reps, F.col("node") == F.col("doc_id")).select("node", "n", F.col("component").alias("comp")).join(sizes, F.col("comp") == F.col("component")).select(F.col("node").alias("doc_id"), "n", F.concat_ws(".", F.col("comp"), F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP))).alias("g"))
-    alone = label.where(F.col("comp") == F.col("a")).join(parts.select("node"), F.col("a") == F.col("node"), "left_anti").select(F.col("a").alias("doc_id"), "n", "g").distinct()
-    groups = stage_table(everyone.union(alone), "groups")
+    groups = label.select("a", "n", "g").distinct()
+    columns = label.groupBy("token", "g").agg(F.max("comp").alias("other"))  # the matrix: which shingles a group has
     spans = groups.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    columns = label.groupBy("token", "comp", "g").agg(F.count("*").alias("c")).select("token", F.col("comp").alias("other"), "g")
-    asks = label.select("token", "a", "n", "comp").join(columns, "token").where("comp < other").select("a", "n", "g").distinct().join(spans, "g")
-    asks = stage_table(asks.where((PER * F.col("most") >= SHARE * F.col("n")) & (PER * F.col("n") >= SHARE * F.col("least"))).select("a", "n", "g"), "asks")
-    opened = _opened(asks.select("a", "g"), groups.select("doc_id", "g"), sets)
-    pairs = opened.join(groups, "g").select("a", F.col("doc_id").alias("b"), F.col("n").alias("m")).join(reps.select(F.col("doc_id").alias("a"), "n"), "a").where(_alike("n", "m")).select("a", "b").distinct()
-    more = stage_table(_verified(pairs, sets), "more")
+    asks = label.select("token", "a", "n", "comp").join(columns, "token").where("comp < other").groupBy("a", "n", "g").agg(F.count("*").alias("both")).join(spans, "g")
+    n, least, most = F.col("n"), F.col("least"), F.col("most")
+    can = _reaches(F.col("both"), _beyond(n), n + F.greatest(least, F.ceil(n * SHARE / F.lit(PER)))) | _reaches(F.col("both"), _beyond(most) + 1, n + most)
+    opened = asks.where((PER * most >= SHARE * n) & (PER * n >= SHARE * least) & can).select("a", "g")
+    pairs = opened.join(groups.select(F.col("a").alias("b"), "g"), "g").select("a", "b").distinct()
+    more = stage_table(_verified(stage_table(_bounded(pairs, rows), "open"), docs), "more")
     parts = connected_components(links.union(more))
     parts = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("d"), F.coalesce("component", "rep").alias("c"))
     return own.join(parts, F.col("doc_id") == F.col("d"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
