@@ -18,6 +18,8 @@ SHARE, PER = 80, 100
 CELL_BITS = 24
 #: Most sets of one group, whose shingles are one column of the matrix; so many ids (8 MB) are broadcast.
 GROUP, FEW_IDS = 64, 1_000_000
+#: Times that the groups are formed, each time around other members.
+ROUNDS = 2
 
 
 class _Words(dict):
@@ -31,14 +33,17 @@ def shingles(text: str | None, known: _Words) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(known) > 500_000:
+    if len(known) > 1_000_000:
         known.clear()
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = min(WORDS, len(h))
     s = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
-        s = s * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
-    return np.unique(mix64(s))
+        s *= np.uint64(0x9E3779B97F4A7C15)
+        s += h[k : len(h) - n + 1 + k]
+    s = mix64(s)
+    s.sort()
+    return s[np.r_[True, s[1:] != s[:-1]]]
 
 
 def prefix_length(n: int) -> int:
@@ -223,9 +228,11 @@ def link_documents(docs: DataFrame) -> DataFrame:
        repeat are counted into a table of fixed size, which puts common shingles last in everyone's order.
     2. By the prefix bound, two linked sets share one of their first shingles. Each posted set is compared
        with its list's smallest id, so a list gives as many pairs as it has sets; what links forms groups,
-       of at most GROUP sets.
+       of at most GROUP sets; sets that link with nothing are grouped by the component that is largest
+       around them. Sets apart from the largest component of a list meet other members of it, a
+       few times over, which leaves few components in a list of near copies.
     3. Token-group matrix: per group the union of its members' listed shingles, as rows (token, group). A set
-       that shares one with a group of another component is bounded by its overlap with that union and what
+       that shares one with a group of another, larger component is bounded by its overlap with that union and what
        lies beyond the prefixes; only groups that reach the bound are opened, and their members bounded and
        compared. Lists whose sets are all of one component need nothing.
     No link between different sets is lost; pairs within a component are not listed. Texts without words,
@@ -251,21 +258,37 @@ def link_documents(docs: DataFrame) -> DataFrame:
     rows = stage_table(used.groupBy("a").agg(F.max("n").alias("n"), F.collect_list("token").alias("tokens")), "rows")
     links = stage_table(_verified(stage_table(_bounded(stars, rows), "near"), docs), "links")
 
-    parts = stage_table(connected_components(links), "parts")
-    label = used.join(parts.withColumnRenamed("node", "a"), "a", "left").select("token", "a", "n", F.coalesce("component", "a").alias("comp"))
+    for k in range(ROUNDS):  # docs apart from their list's largest component meet another member of it
+        parts = stage_table(connected_components(links), "parts")
+        sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
+        label = used.join(parts.withColumnRenamed("node", "a"), "a", "left").join(sizes, "component", "left")
+        label = label.select("token", "a", "n", F.coalesce("component", "a").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
+        if k == ROUNDS - 1:
+            break
+        hub = label.groupBy("token").agg(F.max(F.struct("size", "comp", F.xxhash64("a", F.lit(k)).alias("h"), F.col("a").alias("b"), F.col("n").alias("m"))).alias("hub")).select("token", "hub.b", "hub.m", F.col("hub.comp").alias("other"))
+        stars = label.join(hub, "token").where("comp <> other").where(_alike("n", "m")).select("a", "b").distinct()
+        stars = stage_table(_bounded(stars, rows), "near")
+        if stars.isEmpty():
+            break
+        links = stage_table(links.union(_verified(stars, docs)), "links")
     mixed = label.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    label = label.join(mixed, "token", "left_semi").join(sizes, F.col("comp") == F.col("component"), "left").drop("component")
-    group = F.concat_ws(".", F.col("comp"), F.pmod(F.xxhash64("a"), F.ceil(F.coalesce("size", F.lit(1)) / GROUP)))
-    label = stage_table(label.select("token", "a", "n", "comp", group.alias("g")), "labels")
-    groups = label.select("a", "n", "g").distinct()
-    columns = label.groupBy("token", "g").agg(F.max("comp").alias("other"))  # the matrix: which shingles a group has
+    label = label.join(mixed, "token", "left_semi")
+    label = stage_table(label.withColumn("rank", F.struct("size", "comp")), "mixed")
+    tops = label.groupBy("token").agg(F.max("rank").alias("top"))
+    single = label.where("size = 1").join(tops, "token").groupBy(F.col("a").alias("s")).agg(F.min("top.comp").alias("near"))
+    counts = single.groupBy("near").agg(F.count("*").alias("c"))
+    single = single.join(counts, "near").select("s", F.concat_ws(".", F.lit("~"), F.col("near"), F.pmod(F.xxhash64("s"), F.ceil(F.col("c") / GROUP))).alias("g1"))
+    group = F.coalesce("g1", F.concat_ws(".", F.col("comp"), F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / GROUP))))
+    label = stage_table(label.join(single, F.col("a") == F.col("s"), "left").select("token", "a", "n", "rank", group.alias("g")), "labels")
+    groups = label.select("a", "n", "rank", "g").distinct()
+    columns = label.groupBy("token", "g").agg(F.max("rank").alias("other"))  # the matrix: which shingles a group has
     spans = groups.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asks = label.select("token", "a", "n", "comp").join(columns, "token").where("comp < other").groupBy("a", "n", "g").agg(F.count("*").alias("both")).join(spans, "g")
+    asks = label.select("token", "a", "n", "rank").join(columns, "token").where("rank < other").groupBy("a", "n", "rank", "g").agg(F.count("*").alias("both")).join(spans, "g")
     n, least, most = F.col("n"), F.col("least"), F.col("most")
     can = _reaches(F.col("both"), _beyond(n), n + F.greatest(least, F.ceil(n * SHARE / F.lit(PER)))) | _reaches(F.col("both"), _beyond(most) + 1, n + most)
-    opened = asks.where((PER * most >= SHARE * n) & (PER * n >= SHARE * least) & can).select("a", "g")
-    pairs = opened.join(groups.select(F.col("a").alias("b"), "g"), "g").select("a", "b").distinct()
+    opened = asks.where((PER * most >= SHARE * n) & (PER * n >= SHARE * least) & can).select("a", "n", "rank", "g")
+    members = groups.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("rank").alias("other"), "g")
+    pairs = opened.join(members, "g").where("rank < other").where(_alike("n", "m")).select("a", "b")
     more = stage_table(_verified(stage_table(_bounded(pairs, rows), "open"), docs), "more")
     parts = connected_components(links.union(more))
     parts = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("d"), F.coalesce("component", "rep").alias("c"))

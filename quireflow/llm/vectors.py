@@ -90,7 +90,9 @@ def link_vectors(table: DataFrame, cosine: float = 0.9, shared: int = SHARED) ->
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda t, x: t + x * x))
     big = F.array_max(F.transform("e", lambda x: F.abs(x)))
     fit = F.col("vec_id").isNotNull() & F.coalesce((F.size("e") > 0) & ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False)) & (F.coalesce(big, F.lit(0.0)) > 0)
-    usable = rows.where(fit).withColumn("e", F.transform("e", lambda x: x / big)).withColumn("unit", F.transform("e", lambda x: x / norm)).select("vec_id", "unit")
+    # staged: a join on unit would else compute it again for its null filter
+    usable = rows.where(fit).withColumn("e", F.transform("e", lambda x: x / big)).withColumn("norm", norm)
+    usable = stage_table(usable.withColumn("unit", F.transform("e", lambda x: x / F.col("norm"))).select("vec_id", "unit"), "units")
     reps = stage_table(usable.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")).select("rep", "m", "unit"), "vectors")
     n = reps.count()
     described = stage_table(_described(reps, draw_pivots(reps, n)), "described")
