@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: str | None = None
+from ..shipping import ship
+
 #: What separates words in every operator of this folder (as a Java or RE2 pattern).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,19 +48,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     ship(spark)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package once per application, wherever the driver found it."""
-    global _shipped
-    if _shipped != spark.sparkContext.applicationId:
-        root = Path(__file__).resolve().parent.parent
-        at = Path(tempfile.mkdtemp(prefix="quireflow-")) / "quireflow_package.zip"
-        with zipfile.ZipFile(at, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(at))
-        _shipped = spark.sparkContext.applicationId
-
-
 def record_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
