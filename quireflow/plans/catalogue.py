@@ -1,4 +1,389 @@
-"""Queries over the test tables and their SQL counterparts."""
+"""Queries over the test tables and their SQL counterparts. Preparation is the same expression on both sides."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import markup as M
+from ..functions import text as X
+from ..operators import flow
+from ..shipping import ship
+from ..sources import epub
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
+
+
+TRIM = "' ' || chr(10) || chr(9) || chr(13)"
+MARK = "<!-- PAGINA_FISICA_"
+# --- preparation: breaks, pages, a stand-in for the transform
+_BROKEN = "concat(replace(replace(text, 'tion ', 'ti-\\non '), '. ', concat('.', char(173), '  \\n\\n\\n\\n')), ' a-\\nb-\\nc ')"
+_BROKEN_SQL = "replace(replace(coalesce(text, ''), 'tion ', 'ti-' || chr(10) || 'on '), '. ', '.' || chr(173) || '  ' || repeat(chr(10), 4)) || ' a-' || chr(10) || 'b-' || chr(10) || 'c '"
+_PAGES_SQL = "SELECT doc_id, i AS page, substr(coalesce(text, ''), (i - 1) * 400 + 1, 400) AS text FROM documents, LATERAL (SELECT unnest(generate_series(1, greatest(1, (length(coalesce(text, '')) + 399) // 400))) AS i)"
+_STUB = "case when doc_id % 5 = 0 then left(text, cast(length(text) div 3 as int)) when doc_id % 2 = 0 then replace(text, '2', '7') else replace(text, ' the ', ' o ') end"
+_STUB_SQL = "CASE WHEN doc_id % 5 = 0 THEN left(text, (length(text) // 3)::INT) WHEN doc_id % 2 = 0 THEN replace(text, '2', '7') ELSE replace(text, ' the ', ' o ') END"
+_PAIRS_SQL = f"SELECT doc_id, text AS source, {_STUB_SQL} AS target FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+
+
+def pages(spark, sf_dir) -> DataFrame:
+    d = docs(spark, sf_dir).withColumn("page", F.explode(F.expr("sequence(1, cast(greatest(1, (length(text) + 399) div 400) as int))")))
+    return d.select("doc_id", "page", F.expr("substring(text, (page - 1) * 400 + 1, 400)").alias("text"))
+
+
+def pairs(spark, sf_dir) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", F.col("text").alias("source"), F.expr(_STUB).alias("target"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, replace({_BROKEN_SQL}, chr(173), '') AS t FROM documents),
+h AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([\\p{{L}}\\p{{N}}_])-\\n([a-z])', '\\1\\2', 'g'), '([\\p{{L}}\\p{{N}}_])-\\n([a-z])', '\\1\\2', 'g') AS t FROM p)
+SELECT doc_id, trim(regexp_replace(regexp_replace(t, '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {TRIM}) AS cleaned FROM h""")
+def clean_text(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", X.clean_text(F.expr(_BROKEN)).alias("cleaned"))
+
+
+def _marked(spark, sf_dir):
+    one = F.concat(X.page_marker(F.col("page")), F.lit("\n"), "text", F.lit("\n"))
+    p = pages(spark, sf_dir).select("doc_id", F.struct("page", one.alias("t")).alias("x"))
+    return p.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "").alias("text"))
+
+
+@query(f"SELECT doc_id, page::INT AS page, trim(text, {TRIM}) AS body FROM ({_PAGES_SQL})")
+def page_split(spark, sf_dir):
+    return _marked(spark, sf_dir).select("doc_id", F.explode(X.pages_of(F.col("text"))).alias("p")).select("doc_id", "p.page", "p.body")
+
+
+@query(f"SELECT doc_id, md5(string_agg('{MARK}' || lpad(page::VARCHAR, 3, '0') || ' -->' || chr(10) || text || chr(10), '' ORDER BY page)) AS merged, count(*)::BIGINT AS n_pages FROM ({_PAGES_SQL}) GROUP BY doc_id")
+def page_merge(spark, sf_dir):
+    m = _marked(spark, sf_dir)
+    return m.select("doc_id", F.md5(F.col("text").cast("binary")).alias("merged"), F.size(X.expected_markers(F.col("text"))).cast("long").alias("n_pages"))
+
+
+_L = "A-Za-zÀ-ÿ"
+
+
+@query(f"""WITH p0 AS ({_PAGES_SQL}), p1 AS (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY page) AS nx FROM p0),
+p AS (SELECT doc_id, page, CASE WHEN regexp_matches(right(text, 1) || left(coalesce(nx, ''), 1), '^[a-z][a-z]$') THEN text || '-' || chr(10) || page::VARCHAR ELSE text END AS text FROM p1),
+h AS (SELECT *, regexp_extract(coalesce(lead(text) OVER w, ''), '^\\s*([a-zà-ÿ]{{2,}})', 1) AS nh, regexp_extract(text, '^\\s*([a-zà-ÿ]{{2,}})', 1) AS own FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
+g AS (SELECT *, nh <> '' AND regexp_matches(text, '(?s)^(.*[{_L}]{{2}})-(\\s*(?:[ivxlcdm]+|[0-9]{{1,4}}))?\\s*$') AS gives FROM h),
+s AS (SELECT *, coalesce(lag(gives) OVER (PARTITION BY doc_id ORDER BY page), false) AS lost FROM g),
+t AS (SELECT *, CASE WHEN lost THEN ltrim(substr(ltrim(text), length(own) + 1)) ELSE text END AS x FROM s)
+SELECT doc_id, page::INT AS page, CASE WHEN gives THEN regexp_extract(x, '(?s)^(.*[{_L}]{{2}})-(\\s*(?:[ivxlcdm]+|[0-9]{{1,4}}))?\\s*$', 1) || nh || regexp_extract(x, '(?s)^(.*[{_L}]{{2}})-(\\s*(?:[ivxlcdm]+|[0-9]{{1,4}}))?\\s*$', 2) ELSE x END AS text FROM t""")
+def dehyphenate(spark, sf_dir):
+    p = pages(spark, sf_dir).withColumn("nx", F.lead("text").over(W.partitionBy("doc_id").orderBy("page")))
+    cut = F.concat(F.right("text", F.lit(1)), F.left(F.coalesce("nx", F.lit("")), F.lit(1))).rlike("^[a-z][a-z]$")
+    p = p.withColumn("text", F.when(cut, F.concat("text", F.lit("-\n"), F.col("page").cast("string"))).otherwise(F.col("text"))).drop("nx")
+    return flow.dehyphenate(p)
+
+
+@query(f"SELECT doc_id, regexp_replace(trim(coalesce(text, '') || chr(10) || (doc_id % 5000)::VARCHAR || ' ', {TRIM}), '(?i)\\n\\s*([ivxlcdm]+|[0-9]{{1,4}})\\s*$', '') AS text FROM documents")
+def strip_folio(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", X.strip_folio(F.expr("concat(text, '\\n', cast(doc_id % 5000 as string), ' ')")).alias("text"))
+
+
+_TOKEN = "[0-9A-Za-zÀ-ÿ]+"
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{_TOKEN}'), lambda x: lower(x)) AS w FROM documents),
+p AS (SELECT doc_id, w[-40:] AS l, CASE WHEN doc_id % 3 = 0 THEN (w[-12:] || ['alpha', 'beta'])[1:40] ELSE w[1:40] END AS r FROM t),
+l AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS i FROM p), r AS (SELECT doc_id, unnest(r) AS t, generate_subscripts(r, 1) - 1 AS j FROM p),
+m AS (SELECT l.doc_id, i, j, i - row_number() OVER (PARTITION BY l.doc_id, i - j ORDER BY i) AS g FROM l JOIN r ON l.doc_id = r.doc_id AND l.t = r.t),
+q AS (SELECT doc_id, min(i) AS a, min(j) AS b, count(*) AS k FROM m GROUP BY doc_id, i - j, g),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, a, b) AS rn FROM q)
+SELECT b.doc_id, k::BIGINT AS size, a::BIGINT AS a, b::BIGINT AS b, (k >= 8 AND a + k = len(p.l) AND b <= 5) AS overlaps FROM b JOIN p ON p.doc_id = b.doc_id WHERE rn = 1""")
+def boundary_overlap(spark, sf_dir):
+    w = F.transform(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)), F.lower)
+    d = docs(spark, sf_dir).select("doc_id", w.alias("w"))
+    tail = lambda n: F.expr(f"slice(w, greatest(1, size(w) - {n - 1}), {n})")
+    p = d.select("doc_id", tail(40).alias("lhs"), F.when(F.col("doc_id") % 3 == 0, F.concat(tail(12), F.array(F.lit("alpha"), F.lit("beta")))).otherwise(F.slice("w", 1, 40)).alias("rhs"))
+    b = flow.longest_blocks(p)
+    return b.join(p.select("doc_id", F.size("lhs").alias("n")), "doc_id").select("doc_id", "size", "a", "b", ((F.col("size") >= 8) & (F.col("a") + F.col("size") == F.col("n")) & (F.col("b") <= 5)).alias("overlaps"))
+
+
+@query(f"SELECT lang, sum(len(regexp_extract_all(coalesce(text, ''), '{X.RESIDUAL}')))::BIGINT AS hits, sum(len(regexp_extract_all(coalesce(text, ''), '{X.RESIDUAL_REPORT}')))::BIGINT AS report_hits FROM documents GROUP BY lang")
+def residual_language(spark, sf_dir):
+    return docs(spark, sf_dir).groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(X.RESIDUAL))).alias("hits"), F.sum(F.regexp_count("text", F.lit(X.RESIDUAL_REPORT))).alias("report_hits"))
+
+
+_NUM_SQL = "list_sort(list_transform(regexp_extract_all({t}, '[0-9]+(?:[.,][0-9]+)*%?'), lambda x: regexp_replace(x, '[^0-9]', '', 'g') || CASE WHEN x LIKE '%\\%' ESCAPE '\\' THEN '%' ELSE '' END))"
+
+
+@query(f"SELECT doc_id, array_to_string({_NUM_SQL.format(t='text')}, ' ') AS numbers FROM documents WHERE regexp_matches(text, '[0-9]')")
+def number_multiset(spark, sf_dir):
+    return docs(spark, sf_dir).where(F.col("text").rlike("[0-9]")).select("doc_id", F.array_join(X.numbers(F.col("text")), " ").alias("numbers"))
+
+
+_NW = "(" + "|".join(X.NUMBER_WORDS) + ")"
+_NW_CASE = "CASE x " + " ".join(f"WHEN '{w}' THEN '{i}'" for w, i in X.NUMBER_WORDS.items()) + " END"
+
+
+def _same_numbers_sql(pairs_sql: str) -> str:
+    return f"""n AS (SELECT doc_id, {_NUM_SQL.format(t='source')} AS s, {_NUM_SQL.format(t='target')} AS t, list_transform(regexp_extract_all(lower(source), '\\b{_NW}\\b'), lambda x: {_NW_CASE}) AS w FROM ({pairs_sql})),
+v AS (SELECT DISTINCT doc_id, unnest(s || t) AS v FROM n),
+c AS (SELECT v.doc_id, len(list_filter(s, lambda x: x = v)) AS ns, len(list_filter(t, lambda x: x = v)) AS nt, len(list_filter(w, lambda x: x = v)) AS nw FROM v JOIN n ON n.doc_id = v.doc_id),
+same AS (SELECT n.doc_id, coalesce((SELECT bool_and(greatest(least(nt, ns), nt - nw) = ns) FROM c WHERE c.doc_id = n.doc_id), true) AS same FROM n)"""
+
+
+_WORDS_SQL = "SELECT doc_id, 'The fourth of 4 on page ' || (doc_id % 7)::VARCHAR || ' ' || text AS source, '4 de 4 em 4 ' || (doc_id % 7)::VARCHAR || ' ' || replace(text, '1', CASE WHEN doc_id % 3 = 0 THEN '1' ELSE '8' END) AS target FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+
+
+@query(f"WITH {_same_numbers_sql(_WORDS_SQL)} SELECT doc_id, same FROM same")
+def number_words(spark, sf_dir):
+    d = docs(spark, sf_dir).selectExpr("doc_id", "concat('The fourth of 4 on page ', doc_id % 7, ' ', text) as source", "concat('4 de 4 em 4 ', doc_id % 7, ' ', replace(text, '1', if(doc_id % 3 = 0, '1', '8'))) as target")
+    return d.select("doc_id", X.same_numbers(F.col("source"), F.col("target")).alias("same"))
+
+
+_TRIAGE_SQL = f"""WITH p AS ({_PAIRS_SQL}), {_same_numbers_sql(_PAIRS_SQL)},
+r AS (SELECT p.doc_id, length(source) AS n, length(target) AS m, same,
+  CASE WHEN NOT same THEN 'number_changed' END AS r1,
+  CASE WHEN length(source) >= 800 THEN 'long_paragraph' WHEN regexp_matches(source, '[㐀-鿿]') AND length(source) >= 400 THEN 'dense_cjk' WHEN length(source) >= 250 AND regexp_matches(source, '{X.RISK}') THEN 'sensitive_relation' END AS r2,
+  CASE WHEN len(regexp_extract_all(target, '{X.RESIDUAL}')) >= 3 THEN 'residual_language' END AS r3,
+  CASE WHEN length(target) / greatest(1, length(source)) < CASE WHEN regexp_matches(source, '[㐀-鿿]') THEN 0.4 ELSE 0.55 END OR length(target) / greatest(1, length(source)) > CASE WHEN regexp_matches(source, '[㐀-鿿]') THEN 4.0 ELSE 1.8 END THEN 'atypical_length' END AS r4
+  FROM p JOIN same ON same.doc_id = p.doc_id)"""
+
+
+@query(_TRIAGE_SQL + " SELECT doc_id, CASE WHEN same THEN 'approved' ELSE 'review' END AS status, concat_ws(',', r1, r2, r3, r4) AS reasons FROM r")
+def risk_triage(spark, sf_dir):
+    return flow.triage(pairs(spark, sf_dir)).select("doc_id", "status", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(_TRIAGE_SQL + " SELECT count(*)::BIGINT AS n_pairs, count(*) FILTER (concat_ws(',', r1, r2, r3, r4) <> '')::BIGINT AS n_selected, count(*) FILTER (NOT same)::BIGINT AS n_problems, round(100.0 * (1 - coalesce(sum(n + m) FILTER (concat_ws(',', r1, r2, r3, r4) <> ''), 0)::DOUBLE / greatest(1, sum(n + m))), 1)::DOUBLE AS reduction FROM r")
+def triage_rollup(spark, sf_dir):
+    t, size = flow.triage(pairs(spark, sf_dir)), F.length("source") + F.length("target")
+    on = F.size("reasons") > 0
+    return t.agg(F.count("*").alias("n_pairs"), F.count(F.when(on, 1)).alias("n_selected"), F.count(F.when(F.size("problems") > 0, 1)).alias("n_problems"), F.round(F.lit(100.0) * (1 - F.coalesce(F.sum(F.when(on, size)), F.lit(0)).cast("double") / F.greatest(F.lit(1), F.sum(size))), 1).alias("reduction"))
+
+
+GLOSSARY = {"of the": "do", "in the": "no the", "and the": "e", "single": "x"}
+
+
+@query("SELECT doc_id, term FROM (" + _PAIRS_SQL + ") p, (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in GLOSSARY.items() if " " in a) + ") g(term, canonical) WHERE contains(lower(source), term) AND NOT contains(lower(target), canonical)")
+def glossary_check(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    missed = F.array_compact(F.array(*[F.when(F.lower("source").contains(a) & ~F.lower("target").contains(b), F.lit(a)) for a, b in GLOSSARY.items() if " " in a]))
+    return p.select("doc_id", F.explode(missed).alias("term"))
+
+
+@query("""WITH RECURSIVE i AS (SELECT conv_id, turn, length(coalesce(text, '')) + 80 AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+f AS (SELECT conv_id, turn, k, n AS s, 0 AS c FROM i WHERE k = 1 UNION ALL
+  SELECT i.conv_id, i.turn, i.k, CASE WHEN f.s + i.n > 1200 THEN i.n ELSE f.s + i.n END, CASE WHEN f.s + i.n > 1200 THEN f.c + 1 ELSE f.c END FROM f JOIN i ON i.conv_id = f.conv_id AND i.k = f.k + 1)
+SELECT conv_id, turn, c::BIGINT AS chunk_id FROM f""")
+def greedy_chunks(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return flow.greedy_chunks(c, "conv_id", "turn", F.length(F.coalesce("text", F.lit(""))) + 80, 1200).select("conv_id", "turn", "chunk_id")
+
+
+@query("SELECT conv_id, turn, right(lag(text) OVER w, 500) AS before, left(lead(text) OVER w, 500) AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def neighbour_context(spark, sf_dir):
+    w = W.partitionBy("conv_id").orderBy("turn")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.right(F.lag("text").over(w), F.lit(500)).alias("before"), F.left(F.lead("text").over(w), F.lit(500)).alias("after"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, source, CASE WHEN doc_id % 50 <> 7 THEN target END AS target FROM ({_PAIRS_SQL})),
+a AS (SELECT sum(length(source)) AS s, sum(length(coalesce(target, ''))) AS t, count(*) FILTER (target IS NULL) AS missing, sum(len(regexp_extract_all(coalesce(target, ''), '{X.RESIDUAL_REPORT}'))) AS hits FROM p)
+SELECT s::BIGINT AS source_chars, t::BIGINT AS target_chars, round(CASE WHEN s = 0 THEN 0 ELSE t / s END, 3)::DOUBLE AS ratio, missing::BIGINT AS missing, hits::BIGINT AS hits, concat_ws(',', CASE WHEN missing > 0 THEN 'missing_pages' END, CASE WHEN t / s NOT BETWEEN 0.65 AND 1.55 THEN 'ratio' END, CASE WHEN hits > greatest(30, t // 1000) THEN 'residual' END) AS warnings FROM a""")
+def qa_rollup(spark, sf_dir):
+    p = pairs(spark, sf_dir).withColumn("target", F.when(F.col("doc_id") % 50 != 7, F.col("target")))
+    t = F.coalesce("target", F.lit(""))
+    a = p.agg(F.sum(F.length("source")).alias("source_chars"), F.sum(F.length(t)).alias("target_chars"), F.count(F.when(F.col("target").isNull(), 1)).alias("missing"), F.sum(F.regexp_count(t, F.lit(X.RESIDUAL_REPORT))).alias("hits"))
+    ratio = F.when(F.col("source_chars") == 0, 0.0).otherwise(F.col("target_chars") / F.col("source_chars"))
+    warn = F.array_compact(F.array(F.when(F.col("missing") > 0, "missing_pages"), F.when(~ratio.between(0.65, 1.55), "ratio"), F.when(F.col("hits") > F.greatest(F.lit(30), F.floor(F.col("target_chars") / 1000)), "residual")))
+    return a.select("source_chars", "target_chars", F.round(ratio, 3).alias("ratio"), "missing", "hits", F.array_join(warn, ",").alias("warnings"))
+
+
+def _memory(spark, sf_dir):
+    d = docs(spark, sf_dir).withColumn("memory_key", flow.memory_key(F.col("text"), "gpt-5.6-luna"))
+    m = d.where("doc_id % 2 = 0").groupBy("memory_key").agg(F.min("doc_id").alias("seed"))
+    return d, m.select("memory_key", F.concat(F.lit("t"), F.col("seed")).alias("translation"))
+
+
+@query("SELECT d.doc_id, 't' || m.seed AS translation FROM documents d JOIN (SELECT coalesce(text, '') AS text, min(doc_id) AS seed FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) m ON coalesce(d.text, '') = m.text")
+def memo_lookup(spark, sf_dir):
+    return flow.lookup(*_memory(spark, sf_dir))[0].select("doc_id", "translation")
+
+
+@query("SELECT doc_id FROM documents WHERE coalesce(text, '') NOT IN (SELECT coalesce(text, '') FROM documents WHERE doc_id % 2 = 0)")
+def memo_pending(spark, sf_dir):
+    return flow.lookup(*_memory(spark, sf_dir))[1].select("doc_id")
+
+
+@query("SELECT md5(text) AS memory_key, arg_max('v' || doc_id, doc_id * 10 + 1) AS translation, max(doc_id) AS created_at FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) GROUP BY text")
+def memo_upsert(spark, sf_dir):
+    d = docs(spark, sf_dir).select(F.md5(F.col("text").cast("binary")).alias("memory_key"), F.concat(F.lit("v"), F.col("doc_id")).alias("translation"), F.col("doc_id").alias("created_at"))
+    return flow.upsert(d.where("created_at % 2 = 0"), d.where("created_at % 2 = 1")).select("memory_key", "translation", "created_at")
+
+
+_EVENT = "case when event_id % 11 = 0 then 'not json' when event_id % 7 = 0 then '{\"type\":\"error\",\"message\":\"late\"}' else concat('{\"type\":\"turn.completed\",\"usage\":{\"input_tokens\":', cast(user_id * 3 as string), ',\"cached_input_tokens\":', cast(user_id as string), ',\"output_tokens\":', cast(event_id % 100 as string), '}}') end"
+_USAGE_SQL = """SELECT event_id % 500 AS call_id, CASE WHEN event_id % 500 % 4 = 3 THEN 'other' ELSE ['gpt-5.6-sol', 'gpt-5.6-terra', 'gpt-5.6-luna'][1 + event_id % 500 % 4] END AS model, event_id % 11 <> 0 AND event_id % 7 <> 0 AS done, user_id * 3 AS i, user_id AS c, event_id % 100 AS o FROM events"""
+
+
+def _usage(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.expr("event_id % 500").alias("call_id"), F.expr(_EVENT).alias("line"))
+    models = F.array(*[F.lit(m) for m in flow.PRICES], F.lit("other"))
+    return flow.parse_usage(e).withColumn("model", F.element_at(models, (F.col("call_id") % 4 + 1).cast("int")))
+
+
+@query(f"SELECT call_id, coalesce(sum(i) FILTER (done), 0)::BIGINT AS input_tokens, coalesce(sum(c) FILTER (done), 0)::BIGINT AS cached_input_tokens, coalesce(sum(o) FILTER (done), 0)::BIGINT AS output_tokens, 0::BIGINT AS reasoning_output_tokens, count(*) FILTER (NOT done)::BIGINT AS n_messages FROM ({_USAGE_SQL}) GROUP BY call_id")
+def usage_parse(spark, sf_dir):
+    return _usage(spark, sf_dir).drop("model")
+
+
+_COST_SQL = f"""WITH u AS (SELECT call_id, model, coalesce(sum(i) FILTER (done), 0) AS i, coalesce(sum(c) FILTER (done), 0) AS c, coalesce(sum(o) FILTER (done), 0) AS o FROM ({_USAGE_SQL}) GROUP BY ALL),
+k AS (SELECT u.*, round(((i - least(c, i)) * p.a + least(c, i) * p.b + o * p.d)::DECIMAL(38, 6) / 1000000, 6)::DECIMAL(18, 6) AS usd FROM u LEFT JOIN (VALUES {', '.join(f"('{m}', {a}::DECIMAL(10,4), {b}::DECIMAL(10,4), {c}::DECIMAL(10,4))" for m, (a, b, c) in flow.PRICES.items())}) p(m, a, b, d) ON p.m = u.model)"""
+
+
+@query(_COST_SQL + " SELECT call_id, model, usd::DOUBLE AS usd FROM k")
+def call_cost(spark, sf_dir):
+    return flow.call_cost(_usage(spark, sf_dir)).select("call_id", "model", F.col("usd").cast("double").alias("usd"))
+
+
+@query(_COST_SQL + " SELECT model, count(*)::BIGINT AS n, CASE WHEN count(usd) = count(*) THEN sum(usd)::DOUBLE END AS usd, CASE WHEN count(usd) = count(*) THEN round(sum(usd) * 5.13::DECIMAL(10, 2), 2)::DOUBLE END AS brl FROM k GROUP BY model")
+def cost_strict_total(spark, sf_dir):
+    usd = flow.strict_total(F.col("usd"))
+    return flow.call_cost(_usage(spark, sf_dir)).groupBy("model").agg(F.count("*").alias("n"), usd.cast("double").alias("usd"), F.round(usd * F.lit("5.13").cast("decimal(10,2)"), 2).cast("double").alias("brl"))
+
+
+@query("WITH s AS (SELECT source, sum(length(text)) AS chars FROM documents GROUP BY source), t AS (SELECT source, trunc(chars / 4.0)::BIGINT AS n FROM s) SELECT source, n AS source_tokens, 3 * n AS input_tokens, trunc(n * 1.15)::BIGINT AS output_tokens FROM t")
+def token_estimate(spark, sf_dir):
+    s = docs(spark, sf_dir).groupBy("source").agg(F.sum(F.length("text")).alias("chars"))
+    return s.select("source", X.estimate_tokens(F.col("chars"), F.coalesce("source", F.lit(""))).alias("e")).select("source", F.col("e.source").alias("source_tokens"), F.col("e.input").alias("input_tokens"), F.col("e.output").alias("output_tokens"))
+
+
+_SHOWN = "regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g')"
+_TAGS = f"list_transform(regexp_extract_all({_SHOWN}, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(x))"
+
+
+@query(f"SELECT page_id, array_to_string({_TAGS}, ' ') AS tags FROM pages")
+def tag_signature(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(M.tag_signature(F.col("html")), " ").alias("tags"))
+
+
+@query(f"SELECT page_id, len(list_filter(t, lambda x: x = 'p'))::BIGINT AS paragraphs, len(list_filter(t, lambda x: x = 'li'))::BIGINT AS items, len(list_filter(t, lambda x: x IN ('img', 'figure')))::BIGINT AS figures, len(list_filter(t, lambda x: x = 'table'))::BIGINT AS tables FROM (SELECT page_id, {_TAGS} AS t FROM pages)")
+def structure_counts(spark, sf_dir):
+    h = F.col("html")
+    return read(spark, sf_dir, "pages").select("page_id", M.count_tag(h, "p").alias("paragraphs"), M.count_tag(h, "li").alias("items"), M.count_tag(h, "img", "figure").alias("figures"), M.count_tag(h, "table").alias("tables"))
+
+
+@query(f"SELECT page_id, trim(regexp_replace(regexp_replace({_SHOWN}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS visible FROM pages")
+def visible_text(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", M.visible_text(F.col("html")).alias("visible"))
+
+
+@query("SELECT target, count(*)::BIGINT AS n, count(DISTINCT page_id)::BIGINT AS n_pages FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages) GROUP BY target")
+def link_inventory(spark, sf_dir):
+    links = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
+    return links.groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("n_pages"))
+
+
+@query("""WITH p AS (SELECT page_id, html || '<a href="#s' || (page_id % 3)::VARCHAR || '"></a><i id="s1"></i>' AS h FROM pages),
+l AS (SELECT page_id, unnest(regexp_extract_all(h, 'href="#([^"]*)"', 1)) AS x FROM p), i AS (SELECT page_id, unnest(regexp_extract_all(h, 'id="([^"]*)"', 1)) AS x FROM p)
+SELECT page_id, x AS anchor FROM l ANTI JOIN i USING (page_id, x)""")
+def broken_anchors(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").selectExpr("page_id", """concat(html, '<a href="#s', page_id % 3, '"></a><i id="s1"></i>') as h""")
+    pick = lambda r: p.select("page_id", F.explode(F.regexp_extract_all("h", F.lit(r), F.lit(1))).alias("anchor"))
+    return pick('href="#([^"]*)"').join(pick('id="([^"]*)"'), ["page_id", "anchor"], "left_anti")
+
+
+@query("""WITH spine AS (SELECT page_id AS pos, url AS doc FROM pages), toc AS (SELECT page_id AS ord, url AS doc, CASE WHEN page_id % 10 = 3 THEN 'Chapter ' || page_id ELSE 'Section' END AS label, CASE WHEN page_id % 20 = 0 THEN 1 WHEN page_id % 10 = 3 THEN 2 ELSE 3 END AS depth FROM pages),
+t AS (SELECT * FROM toc JOIN spine USING (doc)), c AS (SELECT *, row_number() OVER (ORDER BY ord) AS k FROM t WHERE label LIKE 'Chapter%' QUALIFY k <= 2),
+e AS (SELECT arg_min(pos, k) AS f, arg_max(ord, k) AS l, arg_max(depth, k) AS d FROM c), s AS (SELECT arg_min(pos, ord) AS stop FROM t, e WHERE ord > l AND depth <= d AND pos > f)
+SELECT pos, doc FROM spine, e, s WHERE pos >= f AND (stop IS NULL OR pos < stop)""")
+def toc_slice(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    toc = p.selectExpr("page_id as ord", "url as doc", "if(page_id % 10 = 3, concat('Chapter ', page_id), 'Section') as label", "case when page_id % 20 = 0 then 1 when page_id % 10 = 3 then 2 else 3 end as depth")
+    return flow.toc_slice(toc, p.selectExpr("page_id as pos", "url as doc"), 2)
+
+
+@query(f"SELECT page_id, kind, idx::BIGINT AS idx, row_number() OVER (PARTITION BY page_id, kind ORDER BY idx)::BIGINT AS number FROM (SELECT page_id, unnest(t) AS kind, generate_subscripts(t, 1) - 1 AS idx FROM (SELECT page_id, {_TAGS} AS t FROM pages)) WHERE kind IN ('p', 'li')")
+def renumber_objects(spark, sf_dir):
+    t = read(spark, sf_dir, "pages").select("page_id", F.posexplode(M.tag_signature(F.col("html"))).alias("idx", "kind")).where("kind in ('p', 'li')")
+    return t.select("page_id", "kind", F.col("idx").cast("long").alias("idx"), F.row_number().over(W.partitionBy("page_id", "kind").orderBy("idx")).cast("long").alias("number"))
+
+
+@query("WITH s AS (SELECT page_id, url, left(trim(regexp_replace(lower(trim(url)), '[^a-z0-9áàâãéêíóôõúç]+', '_', 'g'), '_'), 70) AS s FROM pages) SELECT page_id, CASE WHEN s = '' THEN 'item' ELSE s END || '_' || substr(sha256(url || '1-3'), 1, 12) AS project FROM s")
+def project_key(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.concat(X.slug(F.col("url")), F.lit("_"), F.substring(F.sha2(F.concat("url", F.lit("1-3")), 256), 1, 12)).alias("project"))
+
+
+@query("SELECT toxic, count(*) FILTER (quality = 0)::BIGINT AS low, count(*) FILTER (quality = 1)::BIGINT AS high FROM labels GROUP BY toxic")
+def benchmark_tally(spark, sf_dir):
+    n = read(spark, sf_dir, "labels").groupBy("toxic").pivot("quality", [0, 1]).count()
+    return n.select("toxic", F.coalesce("0", F.lit(0)).cast("long").alias("low"), F.coalesce("1", F.lit(0)).cast("long").alias("high"))
+
+
+@query("SELECT source, count(*)::BIGINT AS documents, sum(length(text))::BIGINT AS characters, max(n_chars) AS longest, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS audit_key FROM documents GROUP BY source")
+def inventory(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").withColumn("x", F.struct("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")))
+    key = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]), ""), 256)  # 64 bytes a document
+    return d.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("characters"), F.max("n_chars").alias("longest"), key.alias("audit_key"))
+
+
+@query("""SELECT conv_id, turn, json_valid(j) AND json_keys(j) = ['a', 'b'] AND trim(coalesce(j->>'a', '')) <> '' AND trim(coalesce(j->>'b', '')) <> '' AS valid FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '{"a":"x","b":"y"}' WHEN 1 THEN '{"b":"x","a":"y"}' WHEN 2 THEN '{"a":"x","b":" "}' ELSE '{"a":"x","b":"z"}' END AS j FROM conversations)""")
+def json_contract(spark, sf_dir):
+    j = """case turn % 4 when 0 then '{"a":"x","b":"y"}' when 1 then '```json\n{"b":"x","a":"y"}\n```' when 2 then '{"a":"x","b":" "}' else '```\n{"a":"x","b":"z"}```' end"""
+    c = read(spark, sf_dir, "conversations").withColumn("j", X.strip_fence(F.expr(j))).withColumn("m", F.from_json("j", "map<string,string>"))
+    ok = (F.json_object_keys("j") == F.array(F.lit("a"), F.lit("b"))) & F.forall(F.map_values("m"), lambda v: F.trim(F.coalesce(v, F.lit(""))) != "")
+    return c.select("conv_id", "turn", F.coalesce(ok, F.lit(False)).alias("valid"))
+
+
+@query()
+def protect_restore(spark, sf_dir):
+    """Each page with an image and an empty anchor: how many spans were protected, and whether they come back."""
+    @F.udf("struct<n: long, same: boolean, valid: boolean>")
+    def go(h, i):
+        h = f'<p>{i} <img src="a.png"/> x <span class="math">a<b>b</b></span> <a id="k"></a></p>' + h
+        text, table = M.protect(h, str(i))
+        return len(table), M.restore(text, table) == h, M.valid_value(text, table, text)
+
+    return read(spark, sf_dir, "pages").select("page_id", go("html", F.col("page_id").cast("string")).alias("r")).select("page_id", "r.*")
+
+
+@query()
+def element_scan(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.explode(M.elements_of(F.col("html"))).alias("e")).select("page_id", "e.idx", "e.tag", "e.source")
+
+
+@query()
+def epub_roundtrip(spark, sf_dir):
+    """A package per ten pages is written, changed in one document and compared member by member."""
+    p = read(spark, sf_dir, "pages").select((F.col("page_id") - F.col("page_id") % 10).alias("book"), "page_id", M.visible_text(F.col("html")).alias("t"))
+
+    def make(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("page_id")
+        data = epub.sample("Book", [f"<p>{x.replace('&', '&amp;').replace('<', '&lt;')}</p>" for x in g["t"]])
+        new = epub.rewrite(data, {"OPS/c1.xhtml": b"<html lang='pt-BR'><body><p>novo</p></body></html>"})
+        return pd.DataFrame({"path": [f"{g['book'].iloc[0]}/a", f"{g['book'].iloc[0]}/b"], "content": [data, new]})
+
+    books = p.groupBy("book").applyInPandas(make, "path string, content binary")
+    m = epub.members(books).select(F.split("book_id", "/")[0].alias("book"), F.split("book_id", "/")[1].alias("side"), "name", F.sha2("bytes", 256).alias("h"))
+    a, b = (m.where(F.col("side") == s).select("book", "name", F.col("h").alias(s)) for s in "ab")
+    return a.join(b, ["book", "name"], "full_outer").select("book", "name", F.col("a").eqNullSafe(F.col("b")).alias("same"))
+
+
+@query()
+def audit_cycle(spark, sf_dir):
+    p = read(spark, sf_dir, "documents").where("length(text) < 2000").selectExpr("doc_id as id", "text as source", f"{_STUB} as target")
+    review = lambda x: flow.triage(x).where(F.size("problems") > 0).select("id", F.explode("problems").alias("kind"))
+    done, _ = flow.quality_rounds(p, review, lambda x: x.select("id", F.col("source").alias("value")))
+    return done.select("id", "status", F.length("target").alias("n"))
