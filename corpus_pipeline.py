@@ -15,8 +15,13 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without a letter, or without a likeliest language, go."""
+    """Documents whose language is known; those without a letter, or without a likeliest language, go.
+
+    Where no document is labelled, nothing can be learned and only those without a letter go.
+    """
     model = langid.train(langid.learnable(docs))
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     known = langid.identify(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return known.select(docs.columns)
 

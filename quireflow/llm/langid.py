@@ -37,9 +37,11 @@ def has_letter(text: str | None) -> bool:
 
 def codewords(k: int) -> np.ndarray:
     """k rows of +1 and -1: every way to part few languages, for more a seeded code with far codewords."""
+    if k < 2:
+        return np.zeros((k, 0), int)
     if k <= 6:
-        splits = range(1, 1 << max(k - 1, 0))
-        return np.array([[1 if b >> i & 1 else -1 for b in splits] for i in range(k)]).reshape(k, -1)
+        splits = range(1, 1 << (k - 1))
+        return np.array([[1 if b >> i & 1 else -1 for b in splits] for i in range(k)])
     length, rng, best, far = int(np.ceil(12 * np.log2(k))), np.random.default_rng(7), None, -1
     for _ in range(200):
         m = rng.choice([-1, 1], size=(k, length))
@@ -72,7 +74,7 @@ class CodeModel:
         return [self.langs[i] for i in cost.argmin(axis=1)], share.max(axis=1)
 
 
-def train(labelled: DataFrame, most_rows: int = 3000, bits: int = 12, steps: int = 150) -> CodeModel:
+def train(labelled: DataFrame, most_rows: int = 1500, bits: int = 12, steps: int = 150) -> CodeModel:
     """Fit on a bounded sample: at most about most_rows rows of (doc_id, text, lang), spread evenly over languages.
 
     The sample is the rows of smallest hash within each language, by a threshold from the language's
@@ -96,23 +98,26 @@ def train(labelled: DataFrame, most_rows: int = 3000, bits: int = 12, steps: int
         drawn = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_003)) / 1_000_003 < F.element_at(spans, F.col("lang"))
         rows = labelled.where(drawn).select("text", "lang").mapInArrow(run, "lang string, x binary").limit(2 * most_rows).collect()
     langs = sorted({r[0] for r in rows})
-    x = np.frombuffer(b"".join(bytes(r[1]) for r in rows), dtype=np.float32).reshape(-1, 1 << bits)
-    code = codewords(len(langs))
-    y = code[[langs.index(r[0]) for r in rows]].astype(np.float32) if rows else np.zeros((0, 0), np.float32)
+    code, turn = codewords(len(langs)), np.random.default_rng(5).permutation(len(rows))
+    x = np.zeros((len(rows), 1 << bits), np.float32)
+    for i, k in enumerate(turn):
+        x[i] = np.frombuffer(rows[k][1], dtype=np.float32)
+    y = code[[langs.index(rows[k][0]) for k in turn]].astype(np.float32) if rows else np.zeros((0, 0), np.float32)
+    del rows
     w, b = np.zeros((1 << bits, code.shape[1] if len(langs) > 1 else 0), np.float32), np.zeros(code.shape[1] if len(langs) > 1 else 0, np.float32)
     trust = np.ones(len(b))
     if len(langs) > 1:
-        kept, tested = np.arange(len(y)) % 5 != 0, np.arange(len(y)) % 5 == 0
-        for part in (kept, np.ones(len(y), bool)):
+        cut = len(y) * 4 // 5
+        for size in (cut, len(y)):
             w[:], b[:] = 0, 0
-            xp, yp = x[part], y[part]
+            xp, yp = x[:size], y[:size]
             v, vb, rate = np.zeros_like(w), np.zeros_like(b), 40.0
             for _ in range(steps):
                 g = -yp / (1 + np.exp(yp * (xp @ w + b))) / max(1, len(yp))
                 v, vb = 0.9 * v - rate * 0.1 * (xp.T @ g + 1e-5 * w), 0.9 * vb - rate * 0.01 * g.sum(axis=0)
                 w, b = w + v, b + vb
-            if part is kept and tested.any():  # a bit that errs on rows it has not seen counts less
-                err = np.clip(((x[tested] @ w + b) * y[tested] <= 0).mean(axis=0), 0.002, 0.49)
+            if size < len(y):  # a bit that errs on rows it has not seen counts less
+                err = np.clip(((x[size:] @ w + b) * y[size:] <= 0).mean(axis=0), 0.002, 0.49)
                 trust = np.log((1 - err) / err) / np.log(0.998 / 0.002)
     return CodeModel(langs, code, w, b, trust, bits)
 

@@ -1,0 +1,293 @@
+"""The operators of the llm folder against brute force on small tables, with awkward rows."""
+
+import hashlib
+import random
+import zipfile
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quireflow.llm import chat, components, fingerprints, jaccard, langid, lines, mixing, packing, suffixes, tokens, vectors, warc
+
+ODD = [(1, None, "en", "a", 9), (2, "", "en", "a", 9), (3, "x", None, None, 9), (4, "  \n \n", "de", "b", 9), (5, "same words here are five and more", "en", "a", 9), (5, "same words here are five and more", "en", "a", 9), (None, "a null id with some words", "en", "a", 9), (6, "é🙂 " * 4000, "fr", "c", 9), (7, "same words here are five and more", "en", "c", 9)]
+COLUMNS = "doc_id long, text string, lang string, source string, n_lines long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], COLUMNS)
+
+
+def prose(rng, n, words=40):
+    return " ".join("w%d" % rng.randint(0, words) for _ in range(n))
+
+
+def corpus(seed=3):
+    rng = random.Random(seed)
+    passage = "\n".join(prose(rng, 30, 10**6) for _ in range(4))
+    out = []
+    for i in range(60):
+        t = "\n".join(prose(rng, rng.randint(3, 30), 10**6) for _ in range(rng.randint(1, 8)))
+        if i % 3 == 0:
+            t = t + "\n" + passage + "\n" + prose(rng, 10, 10**6)
+        if i % 5 == 0 and out:
+            w = out[0][1].split(" ")
+            w[rng.randrange(len(w))] = "changed"
+            t = " ".join(w)
+        if i % 7 == 0 and out:
+            t = out[rng.randrange(len(out))][1]
+        out.append((i, t))
+    return out
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
+    root = {x: x for e in edges for x in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    linked = {x for e in edges if e[0] != e[1] for x in e}
+    assert got == {x: top(x) for x in linked}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_encoder_equals_tokenizers():
+    import public_tokenizers
+
+    e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in ("", "a  b\n\n c", "don't 12,5% <|endoftext|>", "naïve café — ünï", "日本語 x", "\x85 \xa0a\x1c", "a \t b"):
+        assert e.one(t).tolist() == e.tok.encode(t, add_special_tokens=False).ids
+
+
+def test_packing(spark, odd, empty):
+    assert packing.pack(empty).count() == 0
+    rows = packing.pack(odd).collect()
+    sequences, docs = defaultdict(list), defaultdict(int)
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        docs[r["doc_id"]] += r["length"]
+        assert len(r["ids"]) == 4 * r["length"]
+    assert docs[1] == docs[2] == 1 and docs[5] == 2 * docs[7]
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048 and at & (at - 1) == 0
+
+
+def test_languages(spark, odd, empty):
+    rng = random.Random(1)
+    words = {"xx": "ka lo mi", "yy": "uth org pend", "zz": "éa ñu çi"}
+    rows = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(20)), lang) for i in range(300) for lang in [sorted(words)[i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(langid.learnable(docs), most_rows=200)
+    got = langid.identify(docs, model).where(langid.held_out()).collect()
+    assert got and all(r["lang"] == r["lang_pred"] and 0.5 < r["score"] <= 1 for r in got)
+    und = {r["doc_id"]: (r["lang_pred"], r["score"], r["ambiguous"]) for r in langid.identify(odd, model).collect()}
+    assert und[1] == und[2] == und[4] == ("und", 0.0, True) and und[3][0] in words
+    assert langid.identify(empty, langid.train(langid.learnable(empty))).count() == 0
+    assert {zlib.crc32(str(r["doc_id"]).encode()) % 3 for r in got} == {1}
+    code = langid.codewords(9)
+    assert min((a != b).sum() for i, a in enumerate(code) for b in code[:i]) >= 8
+
+
+def test_warc(spark, tmp_path):
+    pages = [(1, "u", "<p>x"), (2, None, "<p>x"), (3, "v\r\nX: y", None), (4, "w", ""), (5, "z", "é" * 5000), (5, "z", "é" * 5000), (None, "n", "n")]
+    for zip64 in (False, True):
+        made = warc.write_packages(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}/{zip64}", zip64=zip64, roll_bytes=300)
+        got = sorted(((r["page_id"] or 0, r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to"], bytes(r["payload"])) for r in warc.read_packages(made).collect()))
+        assert len(got) == 7
+        by = {g[0]: g for g in got}
+        assert by[1][1:3] == ("revisit", 4) and by[1][4] == 2 and by[2][1] == "response" and by[3][4] == 4 and by[5][1] == "response"
+        assert by[2][3] == warc.digest(b"<p>x") and by[5][5] == ("é" * 5000).encode()
+        for r in made.collect():
+            with zipfile.ZipFile(r["path"].removeprefix("file://")) as z:
+                assert z.testzip() is None and {i.compress_type for i in z.infolist()} == {0}
+    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def brute_components(docs, linked):
+    root = {d: d for d, _ in docs}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, x) in enumerate(docs):
+        for b, y in docs[:i]:
+            if linked(x, y):
+                p, q = sorted((top(a), top(b)))
+                root[q] = p
+    return {d: top(d) for d, _ in docs}
+
+
+def words_set(t):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_jaccard(spark, odd, empty, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 3)
+    rng = random.Random(9)
+    docs = corpus()
+    base = prose(rng, 60, 10**6).split()
+    for i in range(100, 140):  # near copies around the threshold
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(60)] = prose(rng, 1, 10**6)
+        docs.append((i, " ".join(w)))
+    sets = [(d, words_set(t)) for d, t in docs]
+    want = brute_components(sets, lambda x, y: x and y and 100 * len(x & y) >= 80 * len(x | y))
+    got = {r[0]: (r[1], r[2]) for r in jaccard.link_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: (len(s), want[d]) for d, s in sets}
+    rows = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(odd).collect())
+    assert rows == [(0, 2, None), (1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 0, 4), (5, 3, 5), (5, 3, 5), (6, 1, 6), (7, 3, 5)]
+    assert jaccard.link_documents(empty).count() == 0
+
+
+def test_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LONG", 60)
+    monkeypatch.setattr(vectors, "BLOCK", 25)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 16))
+    x[100:160] = x[0] + 0.25 * rng.normal(size=(60, 16))
+    x[160:170] = x[1] * np.arange(1, 11)[:, None]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(900, None, 1), (901, [], 1), (902, [0.0] * 16, 1), (903, [float("nan")] * 16, 1), (904, [1.0, None], 1), (905, [1.0, 0.0], 1), (906, [2.0, 0.0], 1)]
+    got = {r[0]: tuple(r[1:]) for r in vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert sum(got[i][0] for i in range(300)) >= 0.9 * near.sum() and all(got[i][0] <= near[i].sum() for i in range(300))
+    assert all(got[i][0] == 0 and got[i][1] == i for i in range(900, 905)) and got[905] == (1, 905, True) and got[906] == (1, 905, False)
+    assert vectors.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_lines(spark, odd, empty):
+    docs = [("a\nb\nc\nd\ne\nf\ng\nh\ni\nj\n" * 3)[:-1]]
+    docs = [(i, t) for i, t in enumerate(docs + [docs[0], docs[0] + "\nz", "q", None, ""])]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0][2] > 0 and got[1][2] >= got[0][2] and got[3] == ("q", 1, 0) and got[4] == (None, 0, 0) and got[5] == ("", 1, 0)
+    assert all(len(t.split("\n")) == n - cut for t, n, cut in got.values() if t)
+    assert lines.dedup_lines(odd).count() == len(ODD) and lines.dedup_lines(empty).count() == 0
+
+
+@pytest.mark.parametrize("hot", [10**6, 2])
+def test_suffixes(spark, odd, empty, hot):
+    rng = random.Random(4)
+    docs = corpus() + [(900, "ab" * 300), (901, "é" * 500), (902, None), (903, "z" * 399)]
+    L = 120
+    seen = Counter(b[i : i + L] for _, t in docs for b in [(t or "").encode()] for i in range(len(b) - L + 1))
+    got = {r["doc_id"]: r for r in suffixes.dedup_bytes(spark.createDataFrame(docs, "doc_id long, text string"), length=L, size=32, hot=hot).collect()}
+    for d, t in docs:
+        b = (t or "").encode()
+        cut = np.zeros(len(b) + 1, np.int8)
+        for i in range(len(b) - L + 1):
+            if seen[b[i : i + L]] > 1:
+                cut[i : i + L] = 1
+        kept = bytes(x for x, c in zip(b, cut) if not c)
+        r = got[d]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), len(b) - len(kept), int((np.diff(np.r_[0, cut]) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    assert suffixes.dedup_bytes(odd).count() == len(ODD) and suffixes.dedup_bytes(empty).count() == 0
+
+
+def test_mixing(spark, odd, empty):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(0, 60)), "src%d" % (i % 4) if i % 9 else None) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    p = mixing.plan(docs, block=32).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    names = sorted(x for x in sizes if x) + [None]
+    weight, target, open_ = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}, {}, set(names)
+    left = 1.5 * sum(sizes.values())
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = {s for s in open_ if left * weight[s] / total > 2 * sizes[s]}
+        if not over:
+            target |= {s: left * weight[s] / total for s in open_}
+            break
+        target |= {s: 2.0 * sizes[s] for s in over}
+        left -= sum(target[s] for s in over)
+        open_ -= over
+    taken = Counter()
+    for r in p:
+        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - target[r["source"]]) < 1e-6 and 0 <= r["copies"] <= 2
+        taken[r["source"]] += r["copies"] * r["size"]
+    assert len(p) == 3000 and all(abs(taken[s] - target[s]) <= 60 for s in names)
+    assert sorted(map(tuple, p), key=str) == sorted(map(tuple, mixing.plan(docs, block=32).collect()), key=str)
+    assert mixing.mix(docs, block=32).count() == sum(r["copies"] for r in p)
+    assert mixing.plan(empty).count() == 0 and mixing.plan(odd).agg(F.sum("m")).first()[0] == len(ODD)
+
+
+def test_fingerprints(spark, odd, empty):
+    docs = corpus()[:30] + [(100 + i, t) for i, t in enumerate((None, "", "one", "one", "x. " * 3000))]
+    got = {r["doc_id"]: r for r in fingerprints.compare_versions(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    import re
+
+    def near(a, b):
+        a, b = (set(re.findall(fingerprints.PARAGRAPH, x)) for x in (a, b))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    order = sorted(docs, reverse=True)
+    for i, (d, t) in enumerate(order):
+        t, x = t or "", order[(i + 1) % len(order)][1] or ""
+        e = t[: len(t) - len(t) // 2] + x[: len(t) // 2]
+        r = got[d]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert abs(r["near_edited"] - near(t, e)) < 1e-9 and abs(r["near_next"] - near(t, x)) < 1e-9
+    assert got[102]["fingerprint"] == got[103]["fingerprint"] and got[100]["fingerprint"] == got[101]["fingerprint"]
+    assert fingerprints.compare_versions(odd).count() == len(ODD) and fingerprints.compare_versions(empty).count() == 0
+
+
+def test_chat(spark):
+    rng = random.Random(6)
+    hard = ["\\### Assistant: </turn> ok", "####\\", "<\\/turn>", "</turn", "a: b\n### user: c</turn>\n", "", "\\"]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "a:b", "###"]), rng.choice(hard + [prose(rng, rng.randint(1, 90))])) for c in range(20) for t in range(rng.randint(1, 12))]
+    rows += [(50, 0, None, None), (None, 0, "user", "x"), (51, 1, "user", "t"), (51, 1, "user", "t"), (51, None, "assistant", "n")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, window long")
+    windows = chat.format_conversations(df, budget=120, history=40)
+    assert all(r["n_tokens"] <= 120 or r["over_budget"] for r in windows.collect())
+    got = {r["conv_id"]: r for r in chat.read_back(windows).collect()}
+    by = defaultdict(list)
+    for c, t, r, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        by[c].append((r or "", x or ""))
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        loss = "".join(x for r, x in turns if r == "assistant")
+        assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest())
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.read_back(chat.format_conversations(spark.createDataFrame([], df.schema))).count() == 0
+
+
+def test_pipeline(spark, odd, empty):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, t, "en", "s%d" % (i % 2), len(t)) for i, t in corpus()], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+    assert docs.count() > 0
+    for rows in (odd, empty):
+        d = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            d = stage(spark, d, "")
+            assert d.columns == rows.columns
+        corpus_pipeline.STAGES[-1][1](spark, d, "").count()
