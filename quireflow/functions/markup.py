@@ -132,3 +132,77 @@ def elements_of(h: Column) -> Column:
         return h.map(lambda x: [{"idx": i, "tag": t, "source": s} for i, t, s in elements(x)])
 
     return F.pandas_udf(run, "array<struct<idx: long, tag: string, source: string>>")(h)
+
+
+def structure_of(h: Column) -> Column:
+    """array<string>: each element's name with its attributes sorted, in document order."""
+    def run(h: pd.Series) -> pd.Series:
+        return h.map(lambda x: [" ".join([name, *(f"{k}={v!r}" for k, v in sorted(attrs.items()))]) for name, attrs in structure(x)])
+
+    return F.pandas_udf(run, "array<string>")(h)
+
+
+#: Classes whose text may stay in the source language.
+KEPT_CLASSES = ("references", "csl-entry", "citation", "citation-notes", "footnote-ref", "math")
+
+
+def text_outside(html: str | None, classes=KEPT_CLASSES) -> str:
+    """Visible text, but for what lies under an element of one of these classes; one space between text nodes."""
+    out, stack = [], []
+    for kind, name, attrs, _, _ in _Tokens(html or "").out:
+        if kind == "open" and name not in VOID:
+            stack.append((name, name in ("script", "style") or bool(set((attrs.get("class") or "").split()) & set(classes))))
+        elif kind == "close" and any(n == name for n, _ in stack):
+            while stack.pop()[0] != name:
+                pass
+        elif kind == "text" and name.strip() and not any(hidden for _, hidden in stack):
+            out.append(" ".join(name.split()))
+    return " ".join(out)
+
+
+def text_outside_of(h: Column, classes=KEPT_CLASSES) -> Column:
+    return F.pandas_udf(lambda s: s.map(lambda x: text_outside(x, classes)), "string")(h)
+
+
+def article(h: Column) -> Column:
+    """The inside of the first article; null where there is none. Its folding menu and stamps of the last update go."""
+    body = F.regexp_extract(shown(h), r"(?is)<article\b[^>]*>(.*?)</article>", 1)
+    body = F.regexp_replace(body, r"""(?is)<(\w+)\b[^>]*\bid="collapsiblemenu"[^>]*>.*?</\1>""", "")
+    return F.when(h.rlike(r"(?i)<article\b"), F.regexp_replace(body, r"(?is)<p\b[^>]*>\s*last updated:.*?</p>", ""))
+
+
+#: Fixed value: the mark of a printed page.
+PAGE_ID = r"""id=["']pg_([0-9]+)["']"""
+PAGE_TAG = r"""<[a-zA-Z][^<>]*\bid=["']pg_([0-9]+)["'][^<>]*>"""
+
+
+def last_page(h: Column) -> Column:
+    """The largest printed page number; null where there is none."""
+    return F.array_max(F.transform(F.regexp_extract_all(h, F.lit(PAGE_ID), F.lit(1)), lambda x: x.cast("long")))
+
+
+def trim_after(h: Column, end: Column) -> Column:
+    """Markup up to the first mark of a page past `end`; all of it where no such mark is."""
+    x = F.struct(F.regexp_extract_all(h, F.lit(PAGE_TAG), F.lit(0)).alias("tags"), F.regexp_extract_all(h, F.lit(PAGE_TAG), F.lit(1)).alias("pages"), F.split(h, PAGE_TAG, -1).alias("parts"), end.cast("long").alias("end"))
+
+    def cut(v: Column) -> Column:
+        past = F.array_position(F.transform(v["pages"], lambda p: p.cast("long") > v["end"]), True).cast("int")
+        joined = F.transform(F.slice(v["parts"], 1, past), lambda p, i: F.concat(F.when(i > 0, F.get(v["tags"], i - 1)).otherwise(""), p))
+        return F.when(past > 0, F.array_join(joined, "")).otherwise(h)
+
+    return F.transform(F.array(x), cut)[0]
+
+
+def resolve(base: Column, path: Column) -> Column:
+    """A relative path against the folder of base: fragment dropped, %-escapes read, dots folded."""
+    def step(a: Column, x: Column) -> Column:
+        return F.when((x == ".") | (x == ""), a).when((x == "..") & (F.size(a) > 0), F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(F.concat(a, F.array(x)))
+
+    clean = F.try_url_decode(F.replace(F.regexp_replace(path, "#.*$", ""), F.lit("+"), F.lit("%2B")))
+    whole = F.concat(F.regexp_replace(base, "[^/]*$", ""), F.coalesce(clean, F.regexp_replace(path, "#.*$", "")))
+    return F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def asset_name(path: Column) -> Column:
+    """The first twelve hexadecimal digits of the path's SHA-256, and its extension."""
+    return F.concat(F.substring(F.sha2(path.cast("binary"), 256), 1, 12), F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import markup as M
 from ..functions import text as X
 
 #: US dollars per million tokens (input, cached input, output).
@@ -66,12 +68,21 @@ def greedy_chunks(items: DataFrame, key: str, ord_: str, size: Column, limit: in
     return items.join(c.select("_k", F.col("z.o").alias("_o"), F.col("z.c").alias("chunk_id")), (F.col(key) == F.col("_k")) & (F.col(ord_) == F.col("_o"))).drop("_k", "_o")
 
 
-def triage(pairs: DataFrame, glossary: dict[str, str] | None = None) -> DataFrame:
-    """pairs (source, target) plus reasons (array) and status: blocking rules first, then reasons to look closer."""
+def triage(pairs: DataFrame, glossary: dict[str, str] | None = None, markup: bool = False) -> DataFrame:
+    """pairs (source, target) plus reasons (array) and status: blocking rules first, then reasons to look closer.
+
+    With markup, source and target are HTML: their ordered elements and attributes must be equal too, and
+    lengths and lexicons are those of the visible text.
+    """
     s, t = F.col("source"), F.coalesce(F.col("target"), F.lit(""))
+    html = (s, t)
+    if markup:
+        s, t = M.visible_text(s), M.visible_text(t)
     n, ratio = F.length(s), F.length(t) / F.greatest(F.length(s), F.lit(1))
     tokens = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit(r"\[\[\[MATH_[^\]]*\]\]\]"), F.lit(0)))
     blocking = [F.when(~X.same_numbers(s, t), "number_changed"), F.when(tokens(s) != tokens(t), "formula_changed")]
+    if markup:
+        blocking.insert(0, F.when(M.structure_of(html[0]) != M.structure_of(html[1]), "structure_changed"))
     blocking += [F.when(F.lower(s).contains(a.lower()) & ~F.lower(t).contains(b.lower()), "glossary_missed") for a, b in (glossary or {}).items() if " " in a]
     cjk = s.rlike(X.CJK)
     closer = F.when(n >= 800, "long_paragraph").when(cjk & (n >= 400), "dense_cjk").when((n >= 250) & s.rlike(X.RISK), "sensitive_relation")
@@ -140,6 +151,12 @@ def toc_slice(toc: DataFrame, spine: DataFrame, n: int) -> DataFrame:
     return spine.join(F.broadcast(bounds), (F.col("pos") >= F.col("first")) & (F.col("stop").isNull() | (F.col("pos") < F.col("stop")))).select("pos", "doc")
 
 
+def ensure_checkpoints(spark) -> None:
+    """The folder that the session names; only where it names none, one of our own (tests)."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+
+
 def quality_rounds(pairs: DataFrame, review: Callable[[DataFrame], DataFrame], repair: Callable[[DataFrame], DataFrame], rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """(pairs, passes): audit, repair what has problems, and audit the repaired ones again, at most `rounds` times.
 
@@ -147,10 +164,7 @@ def quality_rounds(pairs: DataFrame, review: Callable[[DataFrame], DataFrame], r
     Each round is cut by checkpoint(), as calls must not be made twice.
     """
     spark, log = pairs.sparkSession, []
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    ensure_checkpoints(spark)
     pairs = pairs.checkpoint()
     open_ = review(pairs).checkpoint()
     log.append(("audit", open_.select("id").distinct().count()))

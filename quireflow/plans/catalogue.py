@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..functions import text as X
-from ..operators import flow
+from ..operators import flow, jobs
 from ..shipping import ship
 from ..sources import epub
 
@@ -391,3 +391,137 @@ def audit_cycle(spark, sf_dir):
     review = lambda x: flow.triage(x).where(F.size("problems") > 0).select("id", F.explode("problems").alias("kind"))
     done, _ = flow.quality_rounds(p, review, lambda x: x.select("id", F.col("source").alias("value")))
     return done.select("id", "status", F.length("target").alias("n"))
+
+
+_LABEL = "case turn % 4 when 0 then concat('Chapter ', turn, ': ', left(text, 9)) when 1 then concat(turn, '. Theorem') when 2 then concat('2.', turn, ' Theorem ', turn) else concat('theorem ', turn, ' # ', left(text, 20)) end"
+_LABEL_SQL = "CASE turn % 4 WHEN 0 THEN 'Chapter ' || turn || ': ' || left(text, 9) WHEN 1 THEN turn || '. Theorem' WHEN 2 THEN '2.' || turn || ' Theorem ' || turn ELSE 'theorem ' || turn || ' # ' || left(text, 20) END"
+
+
+@query(f"SELECT conv_id, turn, regexp_matches(x, '{X.CHAPTER}') AS chapter, regexp_replace(x, '(?i)^theorem\\b', 'Teorema') AS label FROM (SELECT conv_id, turn, {_LABEL_SQL} AS x FROM conversations)")
+def chapter_labels(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_LABEL).alias("x"))
+    return c.select("conv_id", "turn", F.col("x").rlike(X.CHAPTER).alias("chapter"), X.localise_label(F.col("x")).alias("label"))
+
+
+def _escaped(t: str) -> str:
+    return f"replace(replace(replace(replace(replace({t}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+
+
+_LEVEL = "'h' || least(5, length(regexp_extract(b, '^(#{1,4}) ', 1)) + 1) || '>'"
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, regexp_split_to_array('## <A> & "b"' || chr(10) || ' ' || chr(10) || coalesce(text, '') || chr(10) || 'it''s' || chr(10) || chr(10) || '#### d', '\\n\\s*\\n') AS s FROM conversations),
+b AS (SELECT conv_id, turn, i, trim(b, {TRIM}) AS b FROM (SELECT conv_id, turn, unnest(s) AS b, generate_subscripts(s, 1) AS i FROM s))
+SELECT conv_id, turn, string_agg(CASE WHEN regexp_matches(b, '^#{{1,4}} ') THEN '<' || {_LEVEL} || {_escaped(f"trim(regexp_replace(b, '^#{{1,4}} ', ''), {TRIM})")} || '</' || {_LEVEL} ELSE '<p>' || replace({_escaped('b')}, chr(10), '<br>') || '</p>' END, chr(10) ORDER BY i) AS html FROM b WHERE b <> '' GROUP BY conv_id, turn""")
+def markdown(spark, sf_dir):
+    t = F.concat(F.lit('## <A> & "b"\n \n'), F.coalesce("text", F.lit("")), F.lit("\nit's\n\n#### d"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", X.render_markdown(t).alias("html"))
+
+
+_FRAMED = '<article id="a"><div id="collapsiblemenu">m</div><p>Last updated: now</p>'
+
+
+@query(f"""SELECT page_id, regexp_replace(regexp_replace(regexp_extract({_SHOWN}, '(?is)<article\\b[^>]*>(.*?)</article>', 1), '(?is)<div\\b[^>]*\\bid="collapsiblemenu"[^>]*>.*?</div>', '', 'g'), '(?is)<p\\b[^>]*>\\s*last updated:.*?</p>', '', 'g') AS body
+FROM (SELECT page_id, '{_FRAMED}' || html || '</article>' AS html FROM pages)""")
+def article_scan(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", M.article(F.concat(F.lit(_FRAMED), "html", F.lit("</article>"))).alias("body"))
+
+
+@query("WITH p AS (SELECT page_id, 'img/a' || (page_id % 3) || '.PNG' AS path FROM pages) SELECT page_id, path, substr(sha256(path), 1, 12) || '.png' AS asset, page_id % 3 = 2 AS missing FROM p")
+def image_assets(spark, sf_dir):
+    """An image per page, by a relative path; those no member holds are missing."""
+    p = read(spark, sf_dir, "pages").selectExpr("page_id", """concat('<p><img alt="" src="../x/../img/%61', page_id % 3, '.PNG#f"/></p>') as h""")
+    p = p.select("page_id", F.explode(F.regexp_extract_all("h", F.lit('<img[^>]* src="([^"]*)"'), F.lit(1))).alias("src"))
+    p = p.select("page_id", M.resolve(F.lit("OPS/c.xhtml"), F.col("src")).alias("path"))
+    held = spark.range(2).select(F.concat(F.lit("img/a"), "id", F.lit(".PNG")).alias("path"), F.lit(True).alias("held"))
+    return p.join(F.broadcast(held), "path", "left").select("page_id", "path", M.asset_name(F.col("path")).alias("asset"), F.col("held").isNull().alias("missing"))
+
+
+@query(f"SELECT doc_id, count(*)::BIGINT AS last_page, string_agg(text, '' ORDER BY page) FILTER (page <= 2) AS kept FROM ({_PAGES_SQL}) GROUP BY doc_id")
+def printed_pages(spark, sf_dir):
+    """Text up to the printed page 2, where each page begins with its mark."""
+    mark = F.concat(F.lit('<span role="doc-pagebreak" id="pg_'), F.col("page").cast("string"), F.lit('"/>'), "text")
+    d = pages(spark, sf_dir).select("doc_id", F.struct("page", mark.alias("t")).alias("x")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "").alias("h"))
+    return d.select("doc_id", M.last_page(F.col("h")).alias("last_page"), F.regexp_replace(M.trim_after(F.col("h"), F.lit(2)), M.PAGE_TAG, "").alias("kept"))
+
+
+@query("SELECT doc_id, doc_id % 4 <> 1 AS valid FROM documents")
+def translation_files(spark, sf_dir):
+    """Marked pages back from a transform that loses the first mark of every fourth document."""
+    m = _marked(spark, sf_dir)
+    back = F.when(F.col("doc_id") % 4 == 1, F.regexp_replace("text", r"<!-- PAGINA_FISICA_001 -->", "")).otherwise(F.col("text"))
+    return m.select("doc_id", jobs.valid_translation(jobs.sanitize(F.concat(F.lit("<INICIO_DO_CONTEUDO>"), back)), X.expected_markers(F.col("text"))).alias("valid"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 7 < 6 AND trim(left(text, 5)) <> '' THEN 't:' || left(text, 5) END AS target, CASE WHEN trim(left(text, 5)) = '' THEN NULL WHEN doc_id % 7 < 4 THEN 'first' WHEN doc_id % 7 = 4 THEN 'second' WHEN doc_id % 7 = 5 THEN 'single' END AS attempt
+FROM (SELECT doc_id, trim(coalesce(text, ''), {TRIM}) AS text FROM documents)""")
+def transform_attempts(spark, sf_dir):
+    """A transform that answers some rows at the first call, others later, and every seventh never."""
+    def go(items, name):
+        answers = {"first": F.col("id") % 7 < 4, "second": F.col("id") % 7 == 4, "single": F.col("id") % 7 == 5}[name]
+        return items.select("id", F.when(answers & (F.left("source", F.lit(5)) != ""), F.concat(F.lit("t:"), F.left("source", F.lit(5)))).otherwise(F.lit("")).alias("target"))
+
+    d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), X.trimmed(F.col("text")).alias("source"))
+    return jobs.attempt_rounds(d, go, F.trim("target") != "").select(F.col("id").alias("doc_id"), "target", "attempt")
+
+
+@query(_TRIAGE_SQL + " SELECT doc_id FROM r WHERE NOT same OR (concat_ws(',', r1, r2, r3, r4) <> '' AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr'))")
+def audit_selection(spark, sf_dir):
+    """What goes to the audit: selected and not reused (here: French texts), or blocking."""
+    t = flow.triage(pairs(spark, sf_dir)).withColumnRenamed("doc_id", "id")
+    reused = docs(spark, sf_dir).where("lang = 'fr'").select(F.col("doc_id").alias("id"))
+    return jobs.audit_ids(t.where(F.size("reasons") > 0), reused, t.where(F.size("problems") > 0)).select(F.col("id").alias("doc_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND n_chars % 2 = 0")
+def reuse_proof(spark, sf_dir):
+    """Reuse holds where a row was reported, its key is still trusted and its value still current."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "n_chars")
+    key, value = F.concat(F.lit("k"), "id"), F.concat(F.lit("v"), "id")
+    current = d.select("id", F.when(F.col("n_chars") % 2 == 0, value).otherwise("changed").alias("value"))
+    return jobs.reusable(d.where("lang in ('en', 'fr')").select("id", key.alias("key")), d.select(key.alias("key"), value.alias("value")), current).select(F.col("id").alias("doc_id"))
+
+
+@query(_TRIAGE_SQL + " SELECT CASE WHEN count(*) FILTER (NOT same) + count(r3) > 0 THEN 'review' ELSE 'approved' END AS status, count(*) FILTER (NOT same)::BIGINT AS local, count(r3)::BIGINT AS semantic, true AS covered, (count(*) FILTER (NOT same) + count(r3))::BIGINT AS problems FROM r")
+def audit_assembly(spark, sf_dir):
+    t = flow.triage(pairs(spark, sf_dir)).withColumnRenamed("doc_id", "id")
+    return jobs.assemble(t.where(F.size("problems") > 0), t.where(F.array_contains("reasons", "residual_language")), t, t)
+
+
+@query(f"""WITH c AS (SELECT page_id, len(list_filter(t, lambda x: x = 'p'))::BIGINT AS p, len(list_filter(t, lambda x: x = 'li'))::BIGINT AS li FROM (SELECT page_id, {_TAGS} AS t FROM pages))
+SELECT page_id, 'p' AS kind, p AS before, p - 1 AS after FROM c WHERE page_id % 2 = 1 AND p > 0 UNION ALL SELECT page_id, 'li', li, 0 FROM c WHERE page_id % 5 = 0 AND li > 0""")
+def count_divergence(spark, sf_dir):
+    h = F.col("html")
+    c = read(spark, sf_dir, "pages").select("page_id", M.count_tag(h, "p").alias("p"), M.count_tag(h, "li").alias("li"))
+    after = c.select("page_id", F.when(F.col("page_id") % 2 == 1, F.greatest(F.col("p") - 1, F.lit(0))).otherwise(F.col("p")).alias("p"), F.when(F.col("page_id") % 5 == 0, 0).otherwise(F.col("li")).alias("li"))
+    return jobs.divergence(c, after, "page_id", ["p", "li"])
+
+
+@query("SELECT conv_id, min(turn) = 1 AND max(turn) = count(DISTINCT turn) AS ok FROM conversations GROUP BY conv_id")
+def contiguous_turns(spark, sf_dir):
+    return jobs.contiguous(read(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+@query("SELECT u.conv_id, u.turn, u.text AS source, coalesce(a.text, '') AS target FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'")
+def block_pairs(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    return jobs.block_pairs(c.where("role = 'user'").select("conv_id", "turn", "text"), c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), "text"), ["conv_id", "turn"])
+
+
+@query("SELECT source, model, CASE WHEN model <> 'other' THEN round((i * a + o * b)::DECIMAL(38, 6) / 1000000, 6)::DOUBLE END AS usd FROM (SELECT source, 3 * trunc(sum(length(text)) / 4.0)::BIGINT AS i, trunc(trunc(sum(length(text)) / 4.0) * 1.15)::BIGINT AS o FROM documents GROUP BY source), (VALUES " + ", ".join(f"('{m}', {a}::DECIMAL(10,4), {c}::DECIMAL(10,4))" for m, (a, _, c) in flow.PRICES.items()) + ", ('other', 0, 0)) v(model, a, b)")
+def estimated_costs(spark, sf_dir):
+    e = token_estimate(spark, sf_dir).withColumn("model", F.explode(F.array(*[F.lit(m) for m in (*flow.PRICES, "other")])))
+    return e.select("source", "model", jobs.estimated_cost(F.col("model"), F.col("input_tokens"), F.col("output_tokens")).cast("double").alias("usd"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'review' ELSE 'approved' END AS status, page_id % 2 = 0 AS structure FROM pages")
+def markup_triage(spark, sf_dir):
+    """Fragments whose first element loses an attribute on every second page."""
+    p = read(spark, sf_dir, "pages").selectExpr("page_id", """concat('<p class="a" id="b">', html, '</p>') as source""", """concat(if(page_id % 2 = 0, '<p id="b">', '<p id="b" class="a">'), html, '</p>') as target""")
+    return flow.triage(p, markup=True).select("page_id", "status", F.array_contains("problems", "structure_changed").alias("structure"))
+
+
+@query()
+def residual_outside(spark, sf_dir):
+    """Hits of the residual words outside references, formulas and citations."""
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_count(M.text_outside_of(F.col("html")), F.lit(X.RESIDUAL)).alias("hits"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quireflow.functions import markup as M
 from quireflow.functions import text as X
-from quireflow.operators import flow
+from quireflow.operators import flow, jobs
 from quireflow.sources import epub
 from quireflow.streaming.usage import usage_totals
 
@@ -112,3 +112,38 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert tuple(spark.table("usage").first()) == ("m", 3, 0, 0, 0)
+
+
+def test_jobs(spark, tmp_path):
+    (tmp_path / "b0001.json").write_text('{"b": "two", "a": "one"}')
+    (tmp_path / "b0001.meta.json").write_text('{"x": "y"}')
+    got = jobs.blocks(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [(r["block"], r["ord"], r["id"], r["text"]) for r in got] == [("b0001.json", 0, "b", "two"), ("b0001.json", 1, "a", "one")]
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    (calls / "1.json").write_text('{\n"model": "m", "usage": {"input_tokens": 3}, "api_equivalent_usd": 0.5}')
+    (calls / "2.json").write_text("{broken")
+    assert [r["usage"]["input_tokens"] for r in jobs.call_log(spark, str(calls)).collect()] == [3]
+    config = jobs.JobConfig("a.epub", "out", concurrency=9)
+    stored = jobs.check_identity(None, config, "h")
+    assert config.concurrency == 4 and jobs.check_identity(stored, config, "h") == stored
+    with pytest.raises(ValueError):
+        jobs.check_identity(stored, config, "other")
+    assert jobs.purge(tmp_path, "*.json", {"b0001.json"}) == ["b0001.meta.json"]
+    project = jobs.publish(tmp_path / "p", tmp_path / "b0001.json", [tmp_path / "b0001.json"], {"qa": {"status": "approved"}})
+    assert project["reports"] == ["qa"] and (tmp_path / "p" / "03_entrega_atual" / "b0001.json").exists()
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    row = jobs.assemble(ids(), ids(), ids("a", "b"), ids("a")).first()
+    assert (row["status"], row["covered"], row["problems"]) == ("review", False, 1)
+    assert jobs.assemble(ids(), ids(), ids("a"), ids("a")).first()["status"] == "approved"
+
+
+def test_text_outside():
+    assert M.text_outside('<p>the <i class="citation x">and <b>b</b></i> x</p><script>y</script>') == "the x"
+    assert M.text_outside(None) == ""
+
+
+def test_resolve_and_trim(spark):
+    d = spark.createDataFrame([("OPS/a/c.xhtml", "../i/x%20y.png#z", '<p>a</p><i id="pg_3"/>b<i id="pg_4"/>c')], "base string, src string, h string")
+    r = d.select(M.resolve(F.col("base"), F.col("src")).alias("p"), M.trim_after(F.col("h"), F.lit(3)).alias("t"), M.trim_after(F.col("h"), F.lit(9)).alias("all"), M.last_page(F.col("h")).alias("n")).first()
+    assert (r["p"], r["t"], r["n"]) == ("OPS/i/x y.png", '<p>a</p><i id="pg_3"/>b', 4) and r["all"].endswith("c")
