@@ -70,4 +70,4 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_paragraph_sketches, op2_hierarchical_packing, op3_pivot_permutations, op4_output_code_languages, op5_packaged_warc, op6_token_group_matrix, op7_line_chunks, op8_column_suffixes, op9_pivotal_mix, op10_budgeted_chat, pipeline)}
-ORACLES: dict[str, str] = {"op7_line_chunks": lines.ORACLE}
+ORACLES: dict[str, str] = {"op3_pivot_permutations": vectors.ORACLE, "op5_packaged_warc": warc.ORACLE, "op6_token_group_matrix": jaccard.ORACLE, "op7_line_chunks": lines.ORACLE}

@@ -148,3 +148,14 @@ def link_vectors(table: DataFrame, cosine: float = 0.9, shared: int = SHARED) ->
     ids = usable.join(info, "unit").select(F.col("vec_id").alias("v"), "n_links", "c").distinct()
     out_rows = rows.select("vec_id", fit.alias("fit")).join(ids, (F.col("vec_id") == F.col("v")) & F.col("fit"), "left")
     return out_rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"), F.coalesce(F.coalesce("c", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
+
+
+ORACLE = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+r AS (SELECT vec_id AS v, vec_id AS c FROM u UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id)::BIGINT AS n_links, coalesce(m.c, e.vec_id) AS component_id, coalesce(m.c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = e.vec_id
+"""

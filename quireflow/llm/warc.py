@@ -237,3 +237,16 @@ def read_packages(packages: DataFrame, per_read: int = 200) -> DataFrame:
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write pages to packages in the shared folder and read them back; no rows for an empty table."""
     return read_packages(write_packages(pages, scratch_path(pages.sparkSession, "warc"), least_bytes))
+
+
+_FIVE = "list_transform(range(0, 8), lambda i: ('0x' || substr(sha1(h), 5 * i + 1, 5))::BIGINT)"
+_LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {s}) & 31)::INT + 1, 1)"
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+w AS (SELECT h, max(page_id) AS winner FROM p GROUP BY h HAVING count(*) > 1)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform({_FIVE}, lambda v: {" || ".join(_LETTER.format(s=s) for s in (15, 10, 5, 0))}), '') AS payload_digest,
+  CASE WHEN winner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN winner <> page_id THEN winner END AS refers_to
+FROM p LEFT JOIN w USING (h)
+"""

@@ -7,8 +7,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quireflow.llm import chat, components, fingerprints, jaccard, langid, lines, mixing, packing, suffixes, tokens, vectors, warc
 
@@ -278,16 +280,81 @@ def test_chat(spark):
     assert chat.read_back(chat.format_conversations(spark.createDataFrame([], df.schema))).count() == 0
 
 
-def test_pipeline(spark, odd, empty):
+def brute_lines(docs):
+    """(doc_id, text left) of documents whose lines are not all repeats of multi-line chunks."""
+    seen, out = set(), []
+    for d, text in sorted(docs):
+        kept, run, gone, before = [], [], 0, 0
+        every = text.split("\n")
+        for i, line in enumerate(every):
+            h = int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
+            run.append(line)
+            if i == len(every) - 1 or (before * 31 + h) % lines.DIVISOR == 0:
+                if len(run) > 1 and tuple(run) in seen:
+                    gone += len(run)
+                else:
+                    kept += run
+                    if len(run) > 1:
+                        seen.add(tuple(run))
+                run = []
+            before = h
+        if gone < len(every):
+            out.append((d, "\n".join(kept)))
+    return out
+
+
+def test_pipeline(spark, odd, empty, tmp_path):
+    """Each stage against brute force on what the one before it kept, then run() against the last two."""
     import corpus_pipeline
 
-    docs = spark.createDataFrame([(i, t, "en", "s%d" % (i % 2), len(t)) for i, t in corpus()], "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, "")
-    assert docs.count() > 0
-    for rows in (odd, empty):
-        d = rows
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            d = stage(spark, d, "")
-            assert d.columns == rows.columns
+    rows = [(i, t, "en" if i % 2 else None, "s%d" % (i % 2), len(t)) for i, t in corpus()]
+    rows += [(200 + i, t, "en", "s0", 0) for i, t in enumerate((None, "", "12 34\n--", "?"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(3).write.parquet(str(tmp_path / "documents.parquet"))
+    stage = dict(corpus_pipeline.STAGES)
+    know = lambda df: sorted((r["doc_id"], r["text"]) for r in df.collect())
+
+    known = stage["language_id"](spark, docs, "")
+    want = sorted((r[0], r[1]) for r in rows if r[1] and any(map(str.isalpha, r[1])))
+    assert know(known) == want
+    cut = stage["line_dedup"](spark, known, "")
+    want = brute_lines(want)
+    assert know(cut) == want and all(r["n_chars"] == len(r["text"]) for r in cut.collect())
+    single = stage["near_duplicates"](spark, cut, "")
+    sets = [(d, words_set(t)) for d, t in want]
+    root = brute_components(sets, lambda x, y: x and y and 100 * len(x & y) >= 80 * len(x | y))
+    want = [(d, t) for d, t in want if root[d] == d]
+    assert know(single) == want
+    mixed = know(stage["source_mix"](spark, single, ""))
+    assert all(n <= 2 and x in want for x, n in Counter(mixed).items())
+    sizes, taken = Counter(), Counter()
+    for d, t in want:
+        sizes[d % 2] += len(t.split())
+    for d, t in mixed:
+        taken[d % 2] += len(t.split())
+    first = min(2.0 * sizes[0], 1.5 * sum(sizes.values()) * 3 / 4)
+    second = min(2.0 * sizes[1], 1.5 * sum(sizes.values()) - first)
+    target = (min(2.0 * sizes[0], 1.5 * sum(sizes.values()) - second), second)
+    longest = max(len(t.split()) for _, t in want)
+    assert all(abs(taken[k] - target[k]) <= longest for k in (0, 1))
+    pieces = defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces[r["doc_id"]].append((r["start"], r["ids"]))
+    encode = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))).encode
+    copies = Counter(mixed)
+    assert set(pieces) == {d for d, _ in copies}
+    for (d, t), n in copies.items():
+        ids = np.array(encode(t, add_special_tokens=False).ids + [1], "<u4")
+        marks = Counter()
+        for start, raw in pieces[d]:
+            own = np.frombuffer(raw, "<u4")
+            assert (own == ids[start : start + len(own)]).all()
+            marks.update(range(start, start + len(own)))
+        assert marks == {i: n for i in range(len(ids))}
+
+    for awkward in (odd, empty):
+        d = awkward
+        for _, each in corpus_pipeline.STAGES[:-1]:
+            d = each(spark, d, "")
+            assert d.columns == awkward.columns
         corpus_pipeline.STAGES[-1][1](spark, d, "").count()
