@@ -1,6 +1,7 @@
 """HTML: a regular-expression tier in the JVM, and a parser tier for what needs a tree."""
 
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -53,12 +54,48 @@ class _Tokens(HTMLParser):
         self.out.append(("empty", tag, dict(attrs), self.at(), self.at() + len(raw)))
 
     def handle_endtag(self, tag):
-        self.out.append(("close", tag, {}, self.at(), self.html.index(">", self.at()) + 1 if ">" in self.html[self.at():] else len(self.html)))
+        at = self.at()
+        self.out.append(("close", tag, {}, at, self.html.find(">", at) + 1 or len(self.html)))
 
     def handle_data(self, data):
         self.out.append(("text", data, {}, self.at(), self.at() + len(data)))
 
 
+@dataclass
+class Node:
+    """An element by places in its text: at, inner (after the opening tag), close (the closing tag), end."""
+
+    name: str
+    attrs: dict
+    at: int
+    inner: int
+    close: int
+    end: int
+    parent: int
+
+    def has_class(self, name: str) -> bool:
+        return name in (self.attrs.get("class") or "").split()
+
+
+def nodes(html: str) -> list[Node]:
+    """Elements in document order; one that is never closed ends with its parent."""
+    out, stack = [], []
+    for kind, name, attrs, at, end in _Tokens(html).out:
+        up = stack[-1] if stack else -1
+        if kind == "empty" or (kind == "open" and name in VOID):
+            out.append(Node(name, attrs, at, end, end, end, up))
+        elif kind == "open":
+            out.append(Node(name, attrs, at, end, len(html), len(html), up))
+            stack.append(len(out) - 1)
+        elif kind == "close" and any(out[k].name == name for k in stack):
+            while True:
+                own = out[stack.pop()]
+                own.close, own.end = at, end if own.name == name else at
+                if own.name == name:
+                    break
+    return out
+
+
 def structure(html: str) -> list[tuple[str, dict]]:
     """Ordered (tag, attributes)."""
     return [(name, attrs) for kind, name, attrs, _, _ in _Tokens(html or "").out if kind in ("open", "empty")]

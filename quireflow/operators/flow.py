@@ -6,9 +6,11 @@ import tempfile
 from collections.abc import Callable
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import markup as M
 from ..functions import text as X
@@ -60,12 +62,27 @@ def longest_blocks(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
 def greedy_chunks(items: DataFrame, key: str, ord_: str, size: Column, limit: int) -> DataFrame:
     """items plus chunk_id: a chunk closes when the next item would pass the limit; an oversize item stands alone.
 
-    The reset depends on what came before, so it is a fold over the ordered sizes of a key, which must fit a row.
+    The reset depends on what came before, so a key's items are read in order by one task, but as a stream: the
+    task holds one Arrow batch and a running sum, however many items a key has. A null key is a key; null sizes
+    count zero.
     """
-    g = items.withColumn("_n", size.cast("long")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(ord_).alias("o"), F.col("_n").alias("n")))).alias("xs"))
-    fold = f"aggregate(xs, named_struct('c', 0L, 's', 0L, 'out', cast(array() as array<bigint>)), (a, x) -> if(a.s > 0 and a.s + x.n > {limit}, named_struct('c', a.c + 1, 's', x.n, 'out', concat(a.out, array(a.c + 1))), named_struct('c', a.c, 's', a.s + x.n, 'out', concat(a.out, array(a.c)))), a -> a.out)"
-    c = g.select(F.col(key).alias("_k"), F.explode(F.arrays_zip(F.expr("transform(xs, x -> x.o)").alias("o"), F.expr(fold).alias("c"))).alias("z"))
-    return items.join(c.select("_k", F.col("z.o").alias("_o"), F.col("z.c").alias("chunk_id")), (F.col(key) == F.col("_k")) & (F.col(ord_) == F.col("_o"))).drop("_k", "_o")
+    rows = items.withColumn("_n", F.coalesce(size.cast("long"), F.lit(0))).repartition(key).sortWithinPartitions(key, ord_)
+
+    def run(batches):
+        last, chunk, total = object(), 0, 0
+        for b in batches:
+            out = []
+            for k, n in zip(b.column(key).to_pylist(), b.column("_n").to_pylist()):
+                if k != last:
+                    last, chunk, total = k, 0, 0
+                if total > 0 and total + n > limit:
+                    chunk, total = chunk + 1, 0
+                total += n
+                out.append(chunk)
+            names = [c for c in b.schema.names if c != "_n"]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(out, pa.int64())], names=[*names, "chunk_id"])
+
+    return rows.mapInArrow(run, StructType([*items.schema.fields, StructField("chunk_id", LongType())]))
 
 
 def triage(pairs: DataFrame, glossary: dict[str, str] | None = None, markup: bool = False) -> DataFrame:
@@ -92,6 +109,30 @@ def triage(pairs: DataFrame, glossary: dict[str, str] | None = None, markup: boo
     return d.withColumn("status", F.when(F.size("problems") > 0, "review").otherwise("approved"))
 
 
+def scope_characters(chars: Column, part: Column, whole: Column) -> Column:
+    """Characters of the first `part` of `whole` chapters or printed pages, at least 1."""
+    share = chars.cast("double") * F.least(part, whole) / F.greatest(whole, F.lit(1))
+    return F.greatest(F.lit(1), share.cast("long"))
+
+
+def chunk_key(chunk: Column, model: str, instructions: str = "", version: int = 3) -> Column:
+    """Key of a chunk's result: its array of (id, source), the model and the rules; its neighbours are no part of it."""
+    return F.sha2(F.to_json(F.struct(chunk.alias("chunk"), F.lit(instructions).alias("instructions"), F.lit(model).alias("model"), F.lit(version).alias("version"))), 256)
+
+
+def audit_key(pairs: DataFrame, selected: DataFrame, model: str, rules: str, key: str | None = None) -> DataFrame:
+    """One audit_key a group (of all rows, without key): sources, targets, what is selected, model and rules.
+
+    Row hashes are summed as numbers, so they combine before the shuffle and their order has no effect.
+    """
+    chosen = selected.select("id", F.lit("s").alias("_s")).distinct()
+    row = F.sha2(F.to_json(F.struct("id", "source", "target", "_s")).cast("binary"), 256)
+    half = lambda at: F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    d = pairs.join(chosen, "id", "left")
+    d = (d.groupBy(key) if key else d).agg(F.sha2(F.concat_ws("|", half(1), half(16), half(31), half(46), F.count(F.lit(1)), F.lit(model), F.lit(rules)), 256).alias("audit_key"))
+    return d
+
+
 def memory_key(source: Column, model: str, instructions: str = "", version: int = 4) -> Column:
     return F.sha2(F.to_json(F.struct(F.lit(instructions).alias("instructions"), F.lit(model).alias("model"), F.lit(version).alias("pipeline"), source.alias("source"))), 256)
 

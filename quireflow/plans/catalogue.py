@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..functions import text as X
-from ..operators import flow, jobs
+from ..operators import edition, flow, jobs
 from ..shipping import ship
 from ..sources import epub
 
@@ -525,3 +525,49 @@ def markup_triage(spark, sf_dir):
 def residual_outside(spark, sf_dir):
     """Hits of the residual words outside references, formulas and citations."""
     return read(spark, sf_dir, "pages").select("page_id", F.regexp_count(M.text_outside_of(F.col("html")), F.lit(X.RESIDUAL)).alias("hits"))
+
+
+_VISIBLE_SQL = f"trim(regexp_replace(regexp_replace({_SHOWN}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_CITING = ("<article><p>", ' <span class="citation">(x)<span class="sidenote">n<i>', "</i></span></span></p><h2>References</h2><div class=\"references\">r</div></article>")
+
+
+@query(f"""SELECT page_id, '<article><p>' || {_VISIBLE_SQL} || ' <sup class="note-ref" id="chamada-nota-' || page_id || '-1"><a href="#nota-' || page_id || '-1" aria-label="Nota 1">1</a></sup></p><section class="citation-notes"><h2>Citações</h2><ol><li id="nota-' || page_id || '-1">n<i>' || page_id || '</i> <a href="#chamada-nota-' || page_id || '-1" class="note-backlink" aria-label="Voltar à chamada da nota 1">↩</a></li></ol></section><h2>References</h2><div class="references">r</div></article>' AS html FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)""")
+def citation_notes(spark, sf_dir):
+    """Each page's visible text with a citation before its references."""
+    a, b, c = map(F.lit, _CITING)
+    p = read(spark, sf_dir, "pages").select("page_id", F.concat(a, M.visible_text(F.coalesce("html", F.lit(""))), b, F.col("page_id").cast("string"), c).alias("h"))
+    go = F.pandas_udf(lambda h, i: pd.Series([edition.cite_as_notes(x, k)[0] for x, k in zip(h, i)]), "string")
+    return p.select("page_id", go("h", "page_id").alias("html"))
+
+
+def _edition(spark, sf_dir):
+    """Books of ten pages, each a title, page_id % 3 figures and a table on every fourth."""
+    p = read(spark, sf_dir, "pages")
+    figure = F.repeat(F.lit("<figure><img src='a.png'><figcaption>c</figcaption></figure>"), (F.col("page_id") % 3).cast("int"))
+    body = F.concat(F.lit("<article><h1>"), X.html_escape(F.col("url")), F.lit("</h1>"), figure, F.when(F.col("page_id") % 4 == 0, "<table><tr><td>1</td></tr></table>").otherwise(""), F.lit("</article>"))
+    return edition.sections(p.select((F.col("page_id") - F.col("page_id") % 10).alias("book"), F.col("page_id").alias("ord"), body.alias("html")))
+
+
+_EDITION_SQL = """WITH d AS (SELECT page_id - page_id % 10 AS book, page_id AS ord, url, page_id % 3 AS nf, CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END AS nt FROM pages),
+n AS (SELECT *, row_number() OVER w AS doc, coalesce(sum(nf) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f, coalesce(sum(nt) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS t FROM d WINDOW w AS (PARTITION BY book ORDER BY ord)),
+g AS (SELECT *, coalesce((SELECT string_agg('<figure id="figura-' || (f + i) || '"><img alt="Figura ' || (f + i) || '. c" src=' || chr(39) || 'a.png' || chr(39) || '><figcaption><span class="object-label">Figura ' || (f + i) || '.</span> c</figcaption></figure>', '' ORDER BY i) FROM range(1, 3) r(i) WHERE i <= nf), '') AS figs FROM n)"""
+_EDITION_HTML = "'<article><h1 id=\"toc-' || doc || '\">' || " + _escaped("url") + " || '</h1>' || figs || CASE WHEN nt = 1 THEN '<table id=\"tabela-' || (t + 1) || '\"><caption><span class=\"object-label\">Tabela ' || (t + 1) || '.</span> </caption><tr><td>1</td></tr></table>' ELSE '' END || '</article>'"
+
+
+@query(_EDITION_SQL + f" SELECT book, ord, doc::BIGINT AS doc, nf::BIGINT AS figures, nt::BIGINT AS tables, url AS title, 'toc-' || doc AS anchor, md5({_EDITION_HTML}) AS html FROM g")
+def edition_sections(spark, sf_dir):
+    e = _edition(spark, sf_dir)
+    return e.select("book", "ord", F.col("doc").cast("long").alias("doc"), F.col("figures").cast("long").alias("figures"), F.col("tables").cast("long").alias("tables"), "title", "anchor", F.md5(F.col("html").cast("binary")).alias("html"))
+
+
+@query(_EDITION_SQL + """ SELECT book, part::BIGINT AS part, count(*)::BIGINT AS n FROM (SELECT DISTINCT book, unnest([0, 2, 4]) AS part FROM g UNION ALL SELECT book, unnest([1, 3]) FROM g) GROUP BY ALL""")
+def edition_parts(spark, sf_dir):
+    e = _edition(spark, sf_dir)
+    names = e.select("book").distinct().select("book", F.concat(F.lit("Book "), "book").alias("name"))
+    return edition.parts(e, names).groupBy("book", F.col("part").cast("long").alias("part")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, part, greatest(1, trunc(sum(length(text)) * least(part, 10)::DOUBLE / 10))::BIGINT AS characters FROM documents, (VALUES (3), (12)) v(part) GROUP BY source, part")
+def scope_estimate(spark, sf_dir):
+    s = docs(spark, sf_dir).groupBy("source").agg(F.sum(F.length("text")).alias("chars")).withColumn("part", F.explode(F.array(F.lit(3), F.lit(12))))
+    return s.select("source", "part", flow.scope_characters(F.col("chars"), F.col("part"), F.lit(10)).alias("characters"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quireflow.functions import markup as M
 from quireflow.functions import text as X
-from quireflow.operators import flow, jobs
+from quireflow.operators import edition, flow, jobs
 from quireflow.sources import epub
 from quireflow.streaming.usage import usage_totals
 
@@ -147,3 +147,45 @@ def test_resolve_and_trim(spark):
     d = spark.createDataFrame([("OPS/a/c.xhtml", "../i/x%20y.png#z", '<p>a</p><i id="pg_3"/>b<i id="pg_4"/>c')], "base string, src string, h string")
     r = d.select(M.resolve(F.col("base"), F.col("src")).alias("p"), M.trim_after(F.col("h"), F.lit(3)).alias("t"), M.trim_after(F.col("h"), F.lit(9)).alias("all"), M.last_page(F.col("h")).alias("n")).first()
     assert (r["p"], r["t"], r["n"]) == ("OPS/i/x y.png", '<p>a</p><i id="pg_3"/>b', 4) and r["all"].endswith("c")
+
+
+def test_numbered_objects():
+    h = '<figure id="x"><img alt="old" src="a"/><figcaption>A &amp; b</figcaption></figure><figure><table><tr><td>1</td></tr></table></figure>'
+    got, n = edition.number_objects(h, (4, 0))
+    assert n == (2, 1)
+    assert got == ('<figure id="figura-5"><img alt="Figura 5. A &amp; b" src="a"/><figcaption><span class="object-label">Figura 5.</span> A &amp; b</figcaption></figure>'
+                   '<figure id="figura-6"><table id="tabela-1"><caption><span class="object-label">Tabela 1.</span> </caption><tr><td>1</td></tr></table><figcaption><span class="object-label">Figura 6.</span> </figcaption></figure>')
+    assert edition.number_objects("") == ("", (0, 0))
+
+
+def test_notes():
+    cite = '<span class="citation">(x)<span class="sidenote">n</span></span>'
+    got, n = edition.cite_as_notes(f'<p>{cite} and {cite} <span class="citation">y</span></p><div class="references">r</div>', 3)
+    assert n == 2 and got.count("citation\"") == 1 and got.index("nota-3-2") < got.index('<section class="citation-notes">') < got.index('<div class="references">')
+    for k in (1, 2):
+        assert f'href="#nota-3-{k}"' in got and f'<li id="nota-3-{k}">n ' in got and f'href="#chamada-nota-3-{k}"' in got
+    assert edition.cite_as_notes(f"<article>{cite}</article>z", 1)[0].endswith("</section></article>z")
+    assert edition.cite_as_notes("<p>a</p>", 1) == ("<p>a</p>", 0)
+
+
+def test_edition(spark, tmp_path):
+    d = spark.createDataFrame([("b", 1, "<h1>One</h1>"), ("b", 2, None), ("b", 3, '<h1>x</h1><h1 class="title">T<i>wo</i></h1>')], "book string, ord long, html string")
+    s = edition.sections(d)
+    assert [(r["doc"], r["title"], r["anchor"]) for r in s.orderBy("ord").collect()] == [(1, "One", "toc-1"), (2, None, None), (3, "T wo", "toc-2")]
+    edition.write(edition.parts(s, spark.createDataFrame([("b", "A & B"), ("none", "x")], "book string, name string")), str(tmp_path / "out"))
+    folders = [p.name for p in (tmp_path / "out").glob("book=*")]
+    text = next((tmp_path / "out" / "book=b").glob("*.txt")).read_text("utf-8")
+    assert folders == ["book=b"] and "<title>A &amp; B</title>" in text and text.rstrip().endswith("</html>")
+    assert text.index('href="#toc-1"') < text.index('href="#toc-2"') < text.index('<h1 id="toc-1">') < text.index('<h1 id="toc-2" class="title">')
+
+
+def test_greedy_null_key_and_oversize(spark):
+    items = spark.createDataFrame([(None, 1, 90), (None, 2, 5), (None, 3, None), ("a", 1, 5)], "k string, i int, n int")
+    assert [r["chunk_id"] for r in flow.greedy_chunks(items, "k", "i", F.col("n"), 50).orderBy(F.col("k").asc_nulls_first(), "i").collect()] == [0, 1, 1, 0]
+
+
+def test_audit_key(spark):
+    p = lambda t: spark.createDataFrame([(1, "a", t), (2, "b", "y")], "id long, source string, target string")
+    one = spark.createDataFrame([(1,)], "id long")
+    key = lambda d, sel=one, model="m": flow.audit_key(d, sel, model, "v1").first()[0]
+    assert key(p("x")) == key(p("x").orderBy(F.desc("id"))) and len({key(p("x")), key(p("z")), key(p("x"), one.limit(0)), key(p("x"), model="n")}) == 4
