@@ -571,3 +571,44 @@ def edition_parts(spark, sf_dir):
 def scope_estimate(spark, sf_dir):
     s = docs(spark, sf_dir).groupBy("source").agg(F.sum(F.length("text")).alias("chars")).withColumn("part", F.explode(F.array(F.lit(3), F.lit(12))))
     return s.select("source", "part", flow.scope_characters(F.col("chars"), F.col("part"), F.lit(10)).alias("characters"))
+
+
+def _books(spark, sf_dir) -> DataFrame:
+    """A package per ten pages, of a document per page with a printed page mark."""
+    p = read(spark, sf_dir, "pages").select((F.col("page_id") - F.col("page_id") % 10).alias("book"), "page_id", M.visible_text(F.coalesce("html", F.lit(""))).alias("t"))
+
+    def make(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("page_id")
+        bodies = [f'<p id="pg_{i}">{x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")}</p>' for i, x in zip(g["page_id"], g["t"])]
+        return pd.DataFrame({"path": [str(g["book"].iloc[0])], "content": [epub.sample("Book", bodies)]})
+
+    return p.groupBy("book").applyInPandas(make, "path string, content binary")
+
+
+_BOOKS_SQL = f"SELECT (page_id - page_id % 10)::VARCHAR AS book_id, page_id, row_number() OVER (PARTITION BY page_id - page_id % 10 ORDER BY page_id) AS k, length(replace(replace(replace({_VISIBLE_SQL}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS n FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)"
+
+
+@query(f"SELECT book_id, 'Book' AS title, count(*)::BIGINT AS documents, sum(n)::BIGINT AS characters, max(page_id)::BIGINT AS pages, count(*)::BIGINT AS chapters FROM ({_BOOKS_SQL}) GROUP BY book_id")
+def epub_inventory(spark, sf_dir):
+    return epub.inventory(_books(spark, sf_dir))
+
+
+@query(f"SELECT book_id, k - 1 AS ord, 'OPS/c' || k || '.xhtml' AS doc, 'Chapter ' || k AS label, 1::BIGINT AS depth FROM ({_BOOKS_SQL})")
+def epub_contents(spark, sf_dir):
+    return epub.contents_of(_books(spark, sf_dir))
+
+
+@query(f"SELECT DISTINCT book_id, unnest(['mimetype', 'META-INF/container.xml', 'OPS/book.opf', 'OPS/toc.ncx']) AS name, true AS same, NULL::BOOLEAN AS structure, NULL::BOOLEAN AS links, NULL::BOOLEAN AS cells FROM ({_BOOKS_SQL}) UNION ALL SELECT book_id, 'OPS/c' || k || '.xhtml', k <> 1, true, true, true FROM ({_BOOKS_SQL})")
+def epub_compare(spark, sf_dir):
+    """Packages whose first document's first element is translated, against the originals."""
+    books = _books(spark, sf_dir)
+    new = F.pandas_udf(lambda s: s.map(lambda x: epub.translate(bytes(x), {"OPS/c1.xhtml": {0: "novo"}})), "binary")
+    return epub.compare(epub.members(books), epub.members(books.select("path", new("content").alias("content"))))
+
+
+@query("SELECT url AS path, CASE page_id % 4 WHEN 0 THEN 'changed' WHEN 1 THEN 'missing' WHEN 2 THEN 'extra' ELSE 'same' END AS state FROM pages")
+def file_lock(spark, sf_dir):
+    """Pages as files against a manifest of their hashes: a quarter each changed, missing, extra and as listed."""
+    p = read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+    listed = p.where("page_id % 4 <> 2").select("path", F.when(F.col("page_id") % 4 == 0, "0").otherwise(F.sha2("content", 256)).alias("sha256"))
+    return epub.lock(p.where("page_id % 4 <> 1"), listed)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import posixpath
+import re
 import zipfile
 from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import markup as M
+from ..functions import text as X
 
 ENTRY = "book_id string, name string, media_type string, spine_pos int, bytes binary"
 
@@ -111,3 +117,142 @@ def sample(title: str, bodies: list[str]) -> bytes:
         for i, b in zip(n, bodies):
             z.writestr(f"OPS/c{i}.xhtml", f"<html><body>{b}</body></html>")
     return out.getvalue()
+
+
+DOCUMENTS = ("application/xhtml+xml", "text/html")
+#: Fixed value: names of members that hold printed page marks.
+PAGED = r"(?i)\.(xhtml|html|htm)$"
+
+
+def contents_of(books: DataFrame) -> DataFrame:
+    """books (path, content) -> (book_id, ord, doc, label, depth) of each contents entry."""
+
+    def run(parts):
+        for part in parts:
+            rows = [(path, *entry) for path, data in zip(part["path"], part["content"]) for entry in contents(data)]
+            yield pd.DataFrame(rows, columns=["book_id", "ord", "doc", "label", "depth"])
+
+    return books.select("path", "content").mapInPandas(run, "book_id string, ord long, doc string, label string, depth long")
+
+
+def documents(entries: DataFrame) -> DataFrame:
+    """Members in the spine that are XHTML or HTML: (book_id, name, spine_pos, html)."""
+    d = entries.where(F.col("spine_pos").isNotNull() & F.col("media_type").isin(*DOCUMENTS))
+    return d.select("book_id", "name", "spine_pos", F.decode("bytes", "UTF-8").alias("html"))
+
+
+def page_counts(entries: DataFrame) -> DataFrame:
+    """(book_id, pages): the largest printed page number of a book; null where it marks none."""
+    d = entries.where(F.col("name").rlike(PAGED)).select("book_id", M.last_page(F.decode("bytes", "UTF-8")).alias("n"))
+    return d.groupBy("book_id").agg(F.max("n").alias("pages"))
+
+
+def inventory(books: DataFrame) -> DataFrame:
+    """(book_id, title, documents, characters, pages, chapters) of books (path, content).
+
+    Characters are those of the visible text in spine documents; chapters are contents entries labelled so.
+    """
+
+    def titles(parts):
+        for part in parts:
+            yield pd.DataFrame({"book_id": part["path"], "title": [package(x)[3] for x in part["content"]]})
+
+    entries = members(books)
+    chapters = contents_of(books).where(F.col("label").rlike(X.CHAPTER)).groupBy("book_id").agg(F.count("*").alias("chapters"))
+    counted = documents(entries).groupBy("book_id").agg(F.count("*").alias("documents"), F.sum(F.length(M.visible_text(F.col("html")))).alias("characters"))
+    named = books.select("path", "content").mapInPandas(titles, "book_id string, title string")
+    d = named.join(counted, "book_id", "left").join(page_counts(entries), "book_id", "left").join(chapters, "book_id", "left")
+    return d.select("book_id", "title", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("documents", "characters")], "pages", F.coalesce("chapters", F.lit(0)).alias("chapters"))
+
+
+def _without_language(tags: list[tuple[str, dict]]) -> list[tuple[str, dict]]:
+    return [(name, {k: v for k, v in attrs.items() if k not in ("lang", "xml:lang")}) for name, attrs in tags]
+
+
+def compare(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Members (of members()) of two editions, by book and name: same, and for documents structure, links, cells.
+
+    structure: equal elements and attributes but for the language; links: equal targets in order; cells: equal
+    numbers in table cells. A member of one side alone is not the same; null where nothing is compared.
+    """
+
+    @F.pandas_udf("structure boolean, links boolean, cells boolean")
+    def check(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(a, b):
+            x, y = (bytes(v or b"").decode("utf-8", "replace") for v in (x, y))
+            s, t = (_without_language(M.structure(v)) for v in (x, y))
+            links = [[at.get("href") for _, at in v if "href" in at] for v in (s, t)]
+            cells = [[re.findall(r"[0-9]+(?:[.,][0-9]+)*%?", v[n.inner : n.close]) for n in M.nodes(v) if n.name in ("td", "th")] for v in (x, y)]
+            rows.append((s == t, links[0] == links[1], cells[0] == cells[1]))
+        return pd.DataFrame(rows, columns=["structure", "links", "cells"])
+
+    side = lambda d, n: d.select("book_id", "name", F.col("bytes").alias(n), F.col("media_type").isin(*DOCUMENTS).alias(f"{n}_doc"))
+    d = side(before, "a").join(side(after, "b"), ["book_id", "name"], "full_outer")
+    d = d.withColumn("same", F.col("a").eqNullSafe(F.col("b")))
+    d = d.withColumn("c", F.when(F.col("a_doc") & F.col("b_doc"), check("a", "b")))
+    return d.select("book_id", "name", "same", "c.structure", "c.links", "c.cells")
+
+
+def broken_links(entries: DataFrame) -> DataFrame:
+    """(book_id, name, anchor): links within a document whose target no element of it has as id."""
+    d = documents(entries)
+    pick = lambda r: d.select("book_id", "name", F.explode(F.regexp_extract_all("html", F.lit(r), F.lit(1))).alias("anchor"))
+    return pick("""\\bhref=["']#([^"']*)["']""").join(pick("""\\bid=["']([^"']*)["']"""), ["book_id", "name", "anchor"], "left_anti").distinct()
+
+
+def excerpt(data: bytes, docs: list[str]) -> list[str]:
+    """Members that documents need, themselves included: images, styles, and what styles name, sorted."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        held, open_, out = set(z.namelist()), list(docs), set()
+        while open_:
+            name = open_.pop()
+            if name in out or name not in held:
+                continue
+            out.add(name)
+            body = z.read(name).decode("utf-8", "replace") if re.search(r"(?i)\.(xhtml|html?|css|svg)$", name) else ""
+            found = re.findall(r"""url\(\s*["']?([^"')]+)""", body) + re.findall(r"""\bsrc\s*=\s*["']([^"']+)""", body) + re.findall(r"""<link\b[^>]*?\bhref\s*=\s*["']([^"']+)""", body)
+            open_ += [resolve(name, x) for x in found if not re.match(r"[a-z][a-z0-9+.-]*:", x, re.I)]
+    return sorted(out)
+
+
+def lock(folder_files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files (path, content) against a manifest (path, sha256): path and state (same, changed, missing, extra)."""
+    have = folder_files.select("path", F.sha2("content", 256).alias("h"))
+    d = have.join(manifest.select("path", "sha256"), "path", "full_outer")
+    state = F.when(F.col("h").isNull(), "missing").when(F.col("sha256").isNull(), "extra").when(F.col("h") == F.col("sha256"), "same").otherwise("changed")
+    return d.select("path", state.alias("state"))
+
+
+#: Attributes that the transform adds for itself, and that no written document keeps.
+HELPERS = r"""\sdata-(?:item|src|href)=("[^"]*"|'[^']*')"""
+
+
+def translate(data: bytes, values: dict[str, dict[int, str]], lang: str = "pt-BR") -> bytes:
+    """The package with the inner markup of some elements replaced: values by member, then by element index.
+
+    Only those places, the helper attributes and the language of the root change; other members stay equal.
+    """
+    changed = {}
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for name, new in values.items():
+            html = z.read(name).decode("utf-8")
+            out, last, index = [], 0, -1
+            for n in M.nodes(html):
+                index += n.name in M.BLOCKS
+                if n.name in M.BLOCKS and index in new and n.at >= last:
+                    out += [html[last : n.inner], new[index]]
+                    last = n.close
+            body = re.sub(HELPERS, "", "".join([*out, html[last:]]))
+            root = re.search(r"<html\b[^>]*>", body)
+            if root:
+                tag = re.sub(r"""\s(?:xml:)?lang=("[^"]*"|'[^']*')""", "", root[0])
+                body = body[: root.start()] + tag[:-1] + f' lang="{lang}" xml:lang="{lang}">' + body[root.end() :]
+            changed[name] = body.encode("utf-8")
+    return rewrite(data, changed)
+
+
+def fingerprint(path: str) -> str:
+    """SHA-256 of a file, read in blocks."""
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()

@@ -189,3 +189,19 @@ def test_audit_key(spark):
     one = spark.createDataFrame([(1,)], "id long")
     key = lambda d, sel=one, model="m": flow.audit_key(d, sel, model, "v1").first()[0]
     assert key(p("x")) == key(p("x").orderBy(F.desc("id"))) and len({key(p("x")), key(p("z")), key(p("x"), one.limit(0)), key(p("x"), model="n")}) == 4
+
+
+def test_epub_checks(spark):
+    data = epub.sample("T", ['<p data-item="1">a</p><table><tr><td>2</td></tr></table><a href="#x"/><a href="#y"/><i id="y"/>', '<img src="i/a.png"/>'])
+    new = epub.translate(data, {"OPS/c1.xhtml": {0: "novo"}})
+    frame = lambda x: spark.createDataFrame([("b", x)], "path string, content binary")
+    entries = epub.members(frame(data))
+    assert [tuple(r) for r in epub.broken_links(entries).collect()] == [("b", "OPS/c1.xhtml", "x")]
+    by = {r["name"]: r for r in epub.members(frame(new)).collect()}
+    text = bytes(by["OPS/c1.xhtml"]["bytes"]).decode()
+    assert text.startswith('<html lang="pt-BR" xml:lang="pt-BR">') and "<p>novo</p>" in text
+    worse = epub.rewrite(data, {"OPS/c1.xhtml": b'<html><body><p>a</p><table><tr><td>3</td></tr></table><a href="#z"/></body></html>'})
+    r = epub.compare(entries, epub.members(frame(worse))).where("name = 'OPS/c1.xhtml'").first()
+    assert (r["same"], r["structure"], r["links"], r["cells"]) == (False, False, False, False)
+    assert tuple(epub.page_counts(entries).first()) == ("b", None)
+    assert epub.excerpt(data, ["OPS/c2.xhtml", "OPS/none"]) == ["OPS/c2.xhtml"]
