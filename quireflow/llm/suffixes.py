@@ -179,6 +179,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, ho
     """
     classes = _classes(docs, length, size)
     counts = classes.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", (F.col("c") > hot).alias("hot"))
+    counts = stage_table(counts, "classes")  # a join of two plain tables: the engine can split a hot key's rows
     hits = classes.join(counts, "key")
     contexts = stage_table(_contexts(docs, hits, length), "contexts")
     spans = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
@@ -223,7 +224,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, ho
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(np.ascontiguousarray(h2).view(np.int64)), pa.array(np.full(len(h1), doc)), pa.array(np.arange(len(h1)) + place - left)], names=["h1", "h2", "doc_id", "start"])
 
     every = contexts.where("hot").select("doc_id", "place", "left", "context").mapInArrow(strings, "h1 long, h2 long, doc_id long, start long")
-    often = every.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
+    often = stage_table(every.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "often")
     return found.union(every.join(often, ["h1", "h2"]).select("doc_id", "start", (F.col("start") + length).alias("end")))
 
 
