@@ -12,29 +12,51 @@ from .components import connected_components
 
 #: Nearest pivots that describe a vector, how many of them two vectors must share, and the most pivots.
 PREFIX, SHARED, MOST_PIVOTS = 12, 2, 1024
-#: A list of more vectors is parted by a second shared pivot; a block of a list holds so many.
+#: A list of more vectors is parted by a second shared pivot; a block of a list or cell holds so many.
 LONG, BLOCK = 3000, 1500
+#: Cosine from which a vector is at home in its nearest pivot's cell; no two pivots are as near.
+NEAR = 0.8
 
 
 def draw_pivots(vectors: DataFrame, n: int, most: int = MOST_PIVOTS) -> dict[int, np.ndarray]:
-    """Unit reference points by dimension: 4 * sqrt(n), at most `most`, of the vectors of smallest hash."""
+    """Unit reference points by dimension: 4 * sqrt(n), at most `most`, of the vectors of smallest hash.
+
+    A vector at NEAR or above to a pivot before it is passed over, so a dense group has few pivots however
+    many of the rows it holds; up to four times as many vectors are looked at.
+    """
     r = int(min(most, max(16, 4 * n**0.5)))
-    rows = vectors.orderBy(F.xxhash64("rep", F.lit("pivot"))).limit(r).select("unit").collect()
-    out: dict[int, list] = {}
+    rows = vectors.orderBy(F.xxhash64("rep", F.lit("pivot"))).limit(4 * r).select("unit").collect()
+    out: dict[int, np.ndarray] = {}
+    taken: dict[int, int] = {}
     for (x,) in rows:
-        out.setdefault(len(x), []).append(x)
-    return {d: np.array(x) for d, x in out.items()}
+        d = len(x)
+        k, at = taken.get(d, 0), out.setdefault(d, np.zeros((r, d)))
+        if k == 0 or (at[:k] @ np.array(x)).max() < NEAR:
+            at[k], taken[d] = x, k + 1
+            if sum(taken.values()) == r:
+                break
+    return {d: at[: taken[d]] for d, at in out.items()}
+
+
+def _reach(low: float, cosine: float) -> float:
+    """The least cosine to a pivot of what can link with a vector at `low` to it, less a rounding error."""
+    return float(np.cos(min(np.pi, np.arccos(np.clip(low, -1, 1)) + np.arccos(np.clip(cosine, -1, 1))))) - 1e-9
+
 
+def _described(vectors: DataFrame, pivots: dict[int, np.ndarray], cosine: float) -> DataFrame:
+    """Per vector its ordered nearest pivots, the cell it is at home in, if any, and the cells in reach.
 
-def _described(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Per vector its ordered nearest pivots; a dimension without pivots has one list of its own."""
-    out = pa.schema([("rep", pa.int64()), ("m", pa.int64()), ("x", pa.binary()), ("prefix", pa.list_(pa.int32()))])
+    A dimension without pivots has one list of its own.
+    """
+    out = pa.schema([("rep", pa.int64()), ("m", pa.int64()), ("x", pa.binary()), ("prefix", pa.list_(pa.int32())), ("home", pa.int32()), ("top", pa.float64()), ("cells", pa.list_(pa.int32())), ("sims", pa.list_(pa.float64()))])
+    floor = _reach(NEAR, cosine)
     first = dict(zip(sorted(pivots), np.cumsum([0] + [len(pivots[d]) for d in sorted(pivots)]).tolist()))
 
     def run(batches):
         for b in batches:
             xs = [np.array(x) for x in b.column(2).to_pylist()]
             near: list = [None] * len(xs)
+            home, top, cells, at = ([None] * len(xs) for _ in range(4))
             for d in {len(x) for x in xs}:
                 own = [i for i, x in enumerate(xs) if len(x) == d]
                 if d not in pivots:
@@ -43,11 +65,74 @@ def _described(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                     continue
                 sims = np.stack([xs[i] for i in own]) @ pivots[d].T
                 order = np.argsort(-sims, axis=1, kind="stable")[:, :PREFIX] + first[d]
-                for i, o in zip(own, order.tolist()):
+                for i, o, sim in zip(own, order.tolist(), sims):
                     near[i] = o
-            yield record_batch(out, {"rep": b.column(0), "m": b.column(1), "x": [x.tobytes() for x in xs], "prefix": near})
+                    inside = np.nonzero(sim >= floor)[0]
+                    cells[i], at[i] = inside + first[d], sim[inside]
+                    if sim.max() >= NEAR:
+                        home[i], top[i] = int(sim.argmax()) + first[d], sim.max()
+            yield record_batch(out, {"rep": b.column(0), "m": b.column(1), "x": [x.tobytes() for x in xs], "prefix": near, "home": home, "top": top, "cells": cells, "sims": at})
+
+    return vectors.select("rep", "m", "unit").mapInArrow(run, "rep long, m long, x binary, prefix array<int>, home int, top double, cells array<int>, sims array<double>")
+
+
+def _forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row and column of a block of links the first row it is connected with, or -1."""
+    rows, columns = np.full(hit.shape[0], -1), np.full(hit.shape[1], -1)
+    for s in np.nonzero(hit.any(axis=1))[0]:
+        if rows[s] >= 0:
+            continue
+        rows[s], edge = s, np.array([s])
+        while len(edge):
+            new = np.nonzero(hit[edge].any(axis=0) & (columns < 0))[0]
+            columns[new] = s
+            edge = np.nonzero(hit[:, new].any(axis=1) & (rows < 0))[0]
+            rows[edge] = s
+    return rows, columns
+
+
+def _cells(described: DataFrame, cosine: float) -> DataFrame:
+    """(rep, n, root) of every link with an end that is at home in a cell, exact by the triangle inequality.
+
+    What links with a vector is no further from its pivot than the vector and the link's angle together, so
+    each cell compares its own with all in that reach, in pairs of blocks. A vector at home counts its links
+    there, and those of its partners that are nowhere at home.
+    """
+    homes = stage_table(described.where("home is not null").groupBy(F.col("home").alias("p")).agg(F.count("*").alias("h"), F.min("top").alias("low")), "homes")
+    apart = F.acos(F.least(F.col("low"), F.lit(1.0))) + float(np.arccos(np.clip(cosine, -1, 1)))
+    homes = homes.withColumn("least", F.cos(F.least(apart, F.lit(np.pi))) - 1e-9)
+    near = described.select("rep", "m", "x", "home", F.explode(F.arrays_zip("cells", "sims")).alias("z"))
+    near = near.select("rep", "m", "x", "home", F.col("z.cells").alias("p"), F.col("z.sims").alias("sim"))
+    near = near.join(F.broadcast(homes), "p").where((F.col("sim") >= F.col("least")) | F.col("home").eqNullSafe(F.col("p"))).select("rep", "m", "x", "home", "p", "h")
+    size = stage_table(near.groupBy("p").agg(F.count("*").alias("c")), "cells")
+    near = near.join(F.broadcast(size), "p").withColumn("hb", F.ceil(F.col("h") / BLOCK).cast("int")).withColumn("cb", F.ceil(F.col("c") / BLOCK).cast("int"))
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = near.where("home = p").withColumn("i", part("hb")).withColumn("j", every("cb")).withColumn("own", F.lit(True))
+    met = near.withColumn("j", part("cb")).withColumn("i", every("hb")).withColumn("own", F.lit(False))
+    both = own.select("p", "i", "j", "own", "rep", "m", "x", "home").union(met.select("p", "i", "j", "own", "rep", "m", "x", "home"))
+    out = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
 
-    return vectors.select("rep", "m", "unit").mapInArrow(run, "rep long, m long, x binary, prefix array<int>")
+    def compare(t: pa.Table) -> pa.Table:
+        rep, m, own = (t.column(c).to_numpy() for c in ("rep", "m", "own"))
+        away = np.array(t.column("home").is_null().to_pylist())
+        x = t.column("x").to_pylist()
+        a, b = np.nonzero(own)[0], np.nonzero(~own)[0]
+        if not len(a) or not len(b):
+            return out.empty_table()
+        y = np.stack([np.frombuffer(x[k]) for k in b])
+        hit = np.zeros((len(a), len(b)), bool)
+        for k in range(0, len(a), 500):
+            hit[k : k + 500] = np.stack([np.frombuffer(x[i]) for i in a[k : k + 500]]) @ y.T >= cosine
+        hit &= rep[a][:, None] != rep[b][None, :]
+        total = np.concatenate([hit @ m[b], np.where(away[b], m[a] @ hit, 0)])
+        first, second = _forest(hit)
+        root = np.concatenate([first, second])
+        of = np.concatenate([rep[a], rep[b]])
+        some = root >= 0
+        return pa.table({"rep": of[some], "n": total[some], "root": rep[a][root[some]]}, schema=out)
+
+    return both.groupBy("p", "i", "j").applyInArrow(compare, "rep long, n long, root long")
 
 
 def _linked(left, right, same: bool, key: tuple, cosine: float, shared: int):
@@ -77,8 +162,9 @@ def _linked(left, right, same: bool, key: tuple, cosine: float, shared: int):
 def link_vectors(table: DataFrame, cosine: float = 0.9, shared: int = SHARED) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of table (vec_id, embedding; others ignored).
 
-    Equal vectors become one with a weight. Every vector is indexed: it is posted in the inverted list of
-    each of its nearest pivots. Two vectors of a list that share `shared` pivots or more are compared in
+    Equal vectors become one with a weight. A vector at NEAR or above to its nearest pivot is at home in that
+    pivot's cell, and all its links are found there (see _cells), so dense groups are exact. Every other
+    vector is posted in the inverted list of each of its nearest pivots. Two vectors of a list that share `shared` pivots or more are compared in
     double precision, in the list of their smallest shared pivot; a list above LONG is parted by the second
     smallest, and what is still long goes in pairs of blocks. Pairs are counted, not listed: a list returns
     a count and one link per vector. Vectors of other dimensions, null, empty or zero ones, and ones with
@@ -95,8 +181,8 @@ def link_vectors(table: DataFrame, cosine: float = 0.9, shared: int = SHARED) ->
     usable = stage_table(usable.withColumn("unit", F.transform("e", lambda x: x / F.col("norm"))).select("vec_id", "unit"), "units")
     reps = stage_table(usable.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")).select("rep", "m", "unit"), "vectors")
     n = reps.count()
-    described = stage_table(_described(reps, draw_pivots(reps, n)), "described")
-    posts = described.select("rep", "m", "x", "prefix", F.explode("prefix").alias("p"))
+    described = stage_table(_described(reps, draw_pivots(reps, n), cosine), "described")
+    posts = described.where("home is null").select("rep", "m", "x", "prefix", F.explode("prefix").alias("p"))
     counts = posts.groupBy("p").agg(F.count("*").alias("c"))
     long = counts.where(F.col("c") > LONG).select("p")
     short = posts.join(counts.where(F.col("c") <= LONG), "p").withColumn("q", F.lit(None).cast("int"))
@@ -141,7 +227,7 @@ def link_vectors(table: DataFrame, cosine: float = 0.9, shared: int = SHARED) ->
         hit = np.nonzero(total)[0]
         return pa.table({"rep": pa.array(rep[hit]), "n": pa.array(total[hit]), "root": pa.array(rep[[top(k) for k in hit]] if len(hit) else np.zeros(0, np.int64))}, schema=out)
 
-    met = stage_table(lists.select("rep", "m", "x", "prefix", "p", "q", "own", "i", "j").groupBy("p", "q", "i", "j").applyInArrow(compare, "rep long, n long, root long"), "met")
+    met = stage_table(lists.select("rep", "m", "x", "prefix", "p", "q", "own", "i", "j").groupBy("p", "q", "i", "j").applyInArrow(compare, "rep long, n long, root long").union(_cells(described, cosine)), "met")
     found = met.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = connected_components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     info = reps.join(found, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left").select("unit", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))

@@ -182,6 +182,18 @@ def test_vectors(spark, monkeypatch):
     assert vectors.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_a_dense_group(spark):
+    """A third of the rows are unequal near copies of one vector: every link is found."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64))
+    x[::3] = x[0] + 0.23 * rng.normal(size=(1000, 64))
+    got = {r[0]: tuple(r[1:3]) for r in vectors.link_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    want = brute_components([(i, i) for i in range(0, 3000, 3)], lambda a, b: near[a, b])
+    assert all(got[i][0] == near[i].sum() - 1 for i in range(3000)) and all(got[i][1] == want[i] for i in want)
+
+
 def test_lines(spark, odd, empty):
     docs = [("a\nb\nc\nd\ne\nf\ng\nh\ni\nj\n" * 3)[:-1]]
     docs = [(i, t) for i, t in enumerate(docs + [docs[0], docs[0] + "\nz", "q", None, ""])]
