@@ -166,7 +166,7 @@ def link_vectors(table: DataFrame, cosine: float = 0.9, shared: int = SHARED) ->
     pivot's cell, and all its links are found there (see _cells), so dense groups are exact. Every other
     vector is posted in the inverted list of each of its nearest pivots. Two vectors of a list that share `shared` pivots or more are compared in
     double precision, in the list of their smallest shared pivot; a list above LONG is parted by the second
-    smallest, and what is still long goes in pairs of blocks. Pairs are counted, not listed: a list returns
+    smallest, where there is one, and what is still long goes in pairs of blocks. Pairs are counted, not listed: a list returns
     a count and one link per vector. Vectors of other dimensions, null, empty or zero ones, and ones with
     null or non-finite components link with nothing. A null vec_id has a null component. Rows that repeat a
     vec_id are vectors of their own and share the id. Pivots are a bounded sample (MOST_PIVOTS).
@@ -185,8 +185,9 @@ def link_vectors(table: DataFrame, cosine: float = 0.9, shared: int = SHARED) ->
     posts = described.where("home is null").select("rep", "m", "x", "prefix", F.explode("prefix").alias("p"))
     counts = posts.groupBy("p").agg(F.count("*").alias("c"))
     long = counts.where(F.col("c") > LONG).select("p")
-    short = posts.join(counts.where(F.col("c") <= LONG), "p").withColumn("q", F.lit(None).cast("int"))
-    parted = posts.join(long, "p").withColumn("q", F.explode("prefix")).where("q > p")
+    # a vector with one pivot has no second to part by: such a list stays whole
+    short = posts.join(counts, "p").where((F.col("c") <= LONG) | (F.size("prefix") == 1)).withColumn("q", F.lit(None).cast("int"))
+    parted = posts.where(F.size("prefix") > 1).join(long, "p").withColumn("q", F.explode("prefix")).where("q > p")
     parted = parted.join(parted.groupBy("p", "q").agg(F.count("*").alias("c")), ["p", "q"])
     lists = short.select("rep", "m", "x", "prefix", "p", "q", "c").union(parted.select("rep", "m", "x", "prefix", "p", "q", "c"))
     lists = lists.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))

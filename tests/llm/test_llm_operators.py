@@ -194,6 +194,22 @@ def test_vectors_of_a_dense_group(spark):
     assert all(got[i][0] == near[i].sum() - 1 for i in range(3000)) and all(got[i][1] == want[i] for i in want)
 
 
+def test_vectors_of_a_rare_dimension(spark, monkeypatch):
+    """Lists above LONG of vectors that have no pivot, or one: every link is found."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 8))
+    x[30:] = x[:30] + 0.1 * rng.normal(size=(30, 8))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vectors, "LONG", 20)
+    monkeypatch.setattr(vectors, "BLOCK", 25)
+    for pivots in ({}, {8: rng.normal(size=(1, 8))}):
+        monkeypatch.setattr(vectors, "draw_pivots", lambda *_, p=pivots: {d: v / np.linalg.norm(v, axis=1, keepdims=True) for d, v in p.items()})
+        got = {r["vec_id"]: r["n_links"] for r in vectors.link_vectors(table).collect()}
+        assert [got[i] for i in range(60)] == want.tolist()
+
+
 def test_lines(spark, odd, empty):
     docs = [("a\nb\nc\nd\ne\nf\ng\nh\ni\nj\n" * 3)[:-1]]
     docs = [(i, t) for i, t in enumerate(docs + [docs[0], docs[0] + "\nz", "q", None, ""])]
