@@ -37,7 +37,10 @@ def clean_text(t: Column) -> Column:
 
 
 def page_marker(page: Column) -> Column:
-    return F.concat(F.lit("<!-- PAGINA_FISICA_"), F.lpad(page.cast("string"), 3, "0"), F.lit(" -->"))
+    """Three digits at least, as many as the page needs; above five, which no reader of MARKER takes, an error."""
+    n = page.cast("string")
+    n = F.when(F.length(n) > 5, F.raise_error(F.concat(F.lit("page above 99999: "), n))).otherwise(F.lpad(n, F.greatest(F.lit(3), F.length(n)), F.lit("0")))
+    return F.concat(F.lit("<!-- PAGINA_FISICA_"), n, F.lit(" -->"))
 
 
 def expected_markers(t: Column) -> Column:

@@ -44,6 +44,15 @@ def test_pages_last_wins(spark):
     assert [(r["page"], r["body"]) for r in one(spark, X.pages_of(F.col("t")), t=t)] == [(2, "b"), (1, "c")]
 
 
+def test_pages_above_999(spark):
+    d = spark.range(1, 1103).select(F.lit(1).alias("k"), F.struct("id", F.concat(X.page_marker(F.col("id")), F.lit("p"), "id").alias("t")).alias("x"))
+    d = d.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "").alias("t"))
+    got = d.select(F.explode(X.pages_of(F.col("t"))).alias("p")).select("p.page", "p.body").collect()
+    assert [tuple(r) for r in got] == [(i, f"p{i}") for i in range(1, 1103)]
+    with pytest.raises(Exception, match="page above 99999"):
+        one(spark, X.page_marker(F.col("n")), n=100000)
+
+
 def test_greedy_and_blocks(spark):
     items = spark.createDataFrame([("k", i, n) for i, n in enumerate((10, 20, 30, 5, 40))], "k string, i int, n int")
     assert [r[0] for r in flow.greedy_chunks(items, "k", "i", F.col("n"), 50).orderBy("i").select("chunk_id").collect()] == [0, 0, 1, 1, 2]
