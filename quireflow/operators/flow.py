@@ -18,6 +18,8 @@ from ..functions import text as X
 #: US dollars per million tokens (input, cached input, output).
 PRICES = {"gpt-5.6-sol": ("4.00", "0.40", "20.00"), "gpt-5.6-terra": ("2.00", "0.20", "12.00"), "gpt-5.6-luna": ("0.20", "0.02", "1.20")}
 _LETTER = "A-Za-zÀ-ÿ"
+#: Fixed value: what a token of a page boundary is made of.
+TOKEN = "0-9A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 def parse_pages(spec: str, total: int) -> list[int]:
@@ -59,6 +61,33 @@ def longest_blocks(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     return best.select(key, (-F.col("x.s")).alias("size"), F.col("x.a").cast("long").alias("a"), F.col("x.b").cast("long").alias("b"))
 
 
+def remove_boundary_overlaps(pages: DataFrame, key: str = "doc_id", ord_: str = "page") -> DataFrame:
+    """pages with text cut where its tail stands again at the next page's head, plus removed (null: nothing).
+
+    The longest common block of a page's last and the next page's first 40 tokens goes from the left page where
+    it has 8 tokens or more, ends the page and starts at the next one's sixth token or before. A page gives up
+    its tail only, and is a right page before that, so every pair is judged on the texts as they came. key and
+    ord_ together name a page.
+    """
+    w = W.partitionBy(key).orderBy(ord_)
+    d = pages.select(key, ord_, F.transform(F.regexp_extract_all("text", F.lit(f"[{TOKEN}]+"), F.lit(0)), F.lower).alias("w"))
+    d = d.select(key, ord_, F.expr("slice(w, greatest(1, size(w) - 39), 40)").alias("lhs"), F.slice("w", 1, 40).alias("head"))
+    d = d.withColumn("rhs", F.lead("head").over(w)).drop("head")
+    # only pairs with some block of this kind can have it as their longest one
+    ends = "filter(sequence(7, 39), j -> get(rhs, j) = get(lhs, size(lhs) - 1))"
+    meet = "exists(sequence(0, 5), b -> j - b between 7 and size(lhs) - 1 and slice(rhs, b + 1, j - b + 1) = slice(lhs, size(lhs) - (j - b), j - b + 1))"
+    d = d.where("size(lhs) >= 8 and size(rhs) >= 8").where(f"exists({ends}, j -> {meet})").withColumn("pair", F.struct(key, ord_))
+    b = longest_blocks(d.select("pair", "lhs", "rhs"), "pair").withColumnRenamed("pair", "_pair")
+    b = b.join(d.select("pair", F.size("lhs").alias("n")), F.col("_pair").eqNullSafe(F.col("pair"))).where("size >= 8 and a + size = n and b <= 5")
+    cuts = b.select(F.col(f"_pair.{key}").alias("_k"), F.col(f"_pair.{ord_}").alias("_o"), F.col("size").alias("_n"))
+    rows = pages.join(cuts, F.col(key).eqNullSafe(F.col("_k")) & F.col(ord_).eqNullSafe(F.col("_o")), "left")
+    tail = F.concat(F.lit(f"(?:^|[^{TOKEN}])((?:[{TOKEN}]+[^{TOKEN}]+){{"), (F.col("_n") - 1).cast("string"), F.lit(f"}}[{TOKEN}]+[^{TOKEN}]*)$"))
+    rows = rows.withColumn("_tail", F.when(F.col("_n").isNotNull(), F.call_function("regexp_extract", F.col("text"), tail, F.lit(1))))
+    left = F.rtrim(F.expr("left(text, length(text) - length(_tail))"), F.lit(X.BLANK))
+    rows = rows.withColumn("text", F.when(F.col("_tail").isNotNull(), left).otherwise(F.col("text"))).withColumn("removed", X.trimmed(F.col("_tail")))
+    return rows.select(*pages.columns, "removed")
+
+
 def greedy_chunks(items: DataFrame, key: str, ord_: str, size: Column, limit: int) -> DataFrame:
     """items plus chunk_id: a chunk closes when the next item would pass the limit; an oversize item stands alone.
 

@@ -121,6 +121,24 @@ def boundary_overlap(spark, sf_dir):
     return b.join(p.select("doc_id", F.size("lhs").alias("n")), "doc_id").select("doc_id", "size", "a", "b", ((F.col("size") >= 8) & (F.col("a") + F.col("size") == F.col("n")) & (F.col("b") <= 5)).alias("overlaps"))
 
 
+@query(f"""WITH s AS ({_PAGES_SQL}), v AS (SELECT *, lag(regexp_extract_all(text, '[{flow.TOKEN}]+')) OVER (PARTITION BY doc_id ORDER BY page) AS u FROM s),
+p AS (SELECT doc_id, page, CASE WHEN doc_id % 3 = 0 AND len(u) > 0 THEN array_to_string(u[-12:], ' ') || ' ' || text ELSE text END AS text FROM v),
+t AS (SELECT doc_id, page, list_transform(regexp_extract_all(text, '[{flow.TOKEN}]+'), lambda x: lower(x)) AS w FROM p),
+h AS (SELECT doc_id, page, w[-40:] AS l, lead(w[1:40]) OVER (PARTITION BY doc_id ORDER BY page) AS r FROM t),
+l AS (SELECT doc_id, page, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS i FROM h), r AS (SELECT doc_id, page, unnest(r) AS t, generate_subscripts(r, 1) - 1 AS j FROM h),
+m AS (SELECT l.doc_id, l.page, i, j, i - row_number() OVER (PARTITION BY l.doc_id, l.page, i - j ORDER BY i) AS g FROM l JOIN r ON l.doc_id = r.doc_id AND l.page = r.page AND l.t = r.t),
+q AS (SELECT doc_id, page, min(i) AS a, min(j) AS b, count(*) AS k FROM m GROUP BY doc_id, page, i - j, g),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY k DESC, a, b) AS rn FROM q),
+c AS (SELECT b.doc_id, b.page, b.k FROM b JOIN h ON h.doc_id = b.doc_id AND h.page = b.page WHERE rn = 1 AND k >= 8 AND a + k = len(h.l) AND b <= 5),
+x AS (SELECT p.doc_id, p.page, p.text, CASE WHEN k IS NOT NULL THEN regexp_extract(p.text, '(?:^|[^{flow.TOKEN}])((?:[{flow.TOKEN}]+[^{flow.TOKEN}]+){{' || (k - 1)::VARCHAR || '}}[{flow.TOKEN}]+[^{flow.TOKEN}]*)$', 1) END AS tail FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.page = p.page)
+SELECT doc_id, page::INT AS page, CASE WHEN tail IS NULL THEN text ELSE rtrim(left(text, length(text) - length(tail)), {TRIM}) END AS text, trim(tail, {TRIM}) AS removed FROM x""")
+def page_overlaps(spark, sf_dir):
+    p = pages(spark, sf_dir).withColumn("u", F.lag(F.regexp_extract_all("text", F.lit(f"[{flow.TOKEN}]+"), F.lit(0))).over(W.partitionBy("doc_id").orderBy("page")))
+    again = F.concat(F.expr("array_join(slice(u, greatest(1, size(u) - 11), 12), ' ')"), F.lit(" "), "text")
+    p = p.withColumn("text", F.when((F.col("doc_id") % 3 == 0) & (F.size("u") > 0), again).otherwise(F.col("text"))).drop("u")
+    return flow.remove_boundary_overlaps(p)
+
+
 @query(f"SELECT lang, sum(len(regexp_extract_all(coalesce(text, ''), '{X.RESIDUAL}')))::BIGINT AS hits, sum(len(regexp_extract_all(coalesce(text, ''), '{X.RESIDUAL_REPORT}')))::BIGINT AS report_hits FROM documents GROUP BY lang")
 def residual_language(spark, sf_dir):
     return docs(spark, sf_dir).groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(X.RESIDUAL))).alias("hits"), F.sum(F.regexp_count("text", F.lit(X.RESIDUAL_REPORT))).alias("report_hits"))

@@ -1,5 +1,6 @@
 import difflib
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -64,6 +65,27 @@ def test_greedy_and_blocks(spark):
         assert got.get(k, (0, 0, 0)) == ((m.a, m.b, m.size) if m.size else (0, 0, 0))
 
 
+def test_boundary_overlaps_are_cut(spark):
+    """Every adjacent pair of pages against difflib; short pages and a page cut on both sides among them."""
+    rng = random.Random(2)
+    rows = []
+    for k in range(40):
+        before = []
+        for page in range(rng.randint(1, 6)):
+            words = [rng.choice("ab") + str(rng.randint(0, 9)) for _ in range(rng.choice((3, 9, 60)))]
+            head = [rng.choice("xyz") for _ in range(rng.randint(0, 7))] + [w.upper() for w in before[-rng.randint(6, 14) :]] if rng.random() < 0.7 else []
+            before = head + words
+            rows.append((k, page, "; ".join(before) + rng.choice((" ", ".\n", ""))))
+    token, want = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ0-9]+"), {}
+    for k, page, text in rows:
+        l, r = (list(token.finditer(t)) for t in (text, next((t for d, p, t in rows if (d, p) == (k, page + 1)), "")))
+        m = difflib.SequenceMatcher(None, [x[0].lower() for x in l[-40:]], [x[0].lower() for x in r[:40]], autojunk=False).find_longest_match()
+        cut = l[-40:][m.a].start() if m.size >= 8 and m.a + m.size == len(l[-40:]) and m.b <= 5 else None
+        want[k, page] = (text, None) if cut is None else (text[:cut].rstrip(), text[cut:].strip())
+    got = flow.remove_boundary_overlaps(spark.createDataFrame(rows, "doc_id long, page int, text string"))
+    assert {(r["doc_id"], r["page"]): (r["text"], r["removed"]) for r in got.collect()} == want and sum(v[1] is not None for v in want.values()) > 20
+
+
 def test_costs(spark):
     c = spark.createDataFrame([(1, "gpt-5.6-sol", 1000, 200, 300), (2, "?", 1, 0, 0)], "call_id long, model string, input_tokens long, cached_input_tokens long, output_tokens long")
     usd = {r["call_id"]: r["usd"] for r in flow.call_cost(c).collect()}
