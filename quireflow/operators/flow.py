@@ -69,23 +69,23 @@ def remove_boundary_overlaps(pages: DataFrame, key: str = "doc_id", ord_: str =
     its tail only, and is a right page before that, so every pair is judged on the texts as they came. key and
     ord_ together name a page.
     """
-    w = W.partitionBy(key).orderBy(ord_)
-    d = pages.select(key, ord_, F.transform(F.regexp_extract_all("text", F.lit(f"[{TOKEN}]+"), F.lit(0)), F.lower).alias("w"))
-    d = d.select(key, ord_, F.expr("slice(w, greatest(1, size(w) - 39), 40)").alias("lhs"), F.slice("w", 1, 40).alias("head"))
-    d = d.withColumn("rhs", F.lead("head").over(w)).drop("head")
-    # only pairs with some block of this kind can have it as their longest one
-    ends = "filter(sequence(7, 39), j -> get(rhs, j) = get(lhs, size(lhs) - 1))"
-    meet = "exists(sequence(0, 5), b -> j - b between 7 and size(lhs) - 1 and slice(rhs, b + 1, j - b + 1) = slice(lhs, size(lhs) - (j - b), j - b + 1))"
-    d = d.where("size(lhs) >= 8 and size(rhs) >= 8").where(f"exists({ends}, j -> {meet})").withColumn("pair", F.struct(key, ord_))
-    b = longest_blocks(d.select("pair", "lhs", "rhs"), "pair").withColumnRenamed("pair", "_pair")
-    b = b.join(d.select("pair", F.size("lhs").alias("n")), F.col("_pair").eqNullSafe(F.col("pair"))).where("size >= 8 and a + size = n and b <= 5")
-    cuts = b.select(F.col(f"_pair.{key}").alias("_k"), F.col(f"_pair.{ord_}").alias("_o"), F.col("size").alias("_n"))
-    rows = pages.join(cuts, F.col(key).eqNullSafe(F.col("_k")) & F.col(ord_).eqNullSafe(F.col("_o")), "left")
-    tail = F.concat(F.lit(f"(?:^|[^{TOKEN}])((?:[{TOKEN}]+[^{TOKEN}]+){{"), (F.col("_n") - 1).cast("string"), F.lit(f"}}[{TOKEN}]+[^{TOKEN}]*)$"))
-    rows = rows.withColumn("_tail", F.when(F.col("_n").isNotNull(), F.call_function("regexp_extract", F.col("text"), tail, F.lit(1))))
-    left = F.rtrim(F.expr("left(text, length(text) - length(_tail))"), F.lit(X.BLANK))
-    rows = rows.withColumn("text", F.when(F.col("_tail").isNotNull(), left).otherwise(F.col("text"))).withColumn("removed", X.trimmed(F.col("_tail")))
-    return rows.select(*pages.columns, "removed")
+    # joined by blanks: short strings pass the shuffle, and a text passes it once
+    tokens = F.regexp_extract_all("text", F.lit(f"[{TOKEN}]+"), F.lit(0))
+    head = F.lower(F.array_join(F.slice(tokens, 1, 40), " "))
+    d = pages.withColumn("_head", head).withColumn("_next", F.lead("_head").over(W.partitionBy(key).orderBy(ord_)))
+    tail = F.split(F.lower(F.array_join(F.reverse(F.slice(F.reverse(tokens), 1, 40)), " ")), " ")
+    # bound as lambda variables, so that each is computed once
+    both = F.array(F.struct(tail.alias("l"), F.split("_next", " ").alias("r"), F.concat(F.lit(" "), "_next", F.lit(" ")).alias("s")))
+    # the largest block of this kind is the longest of all where no earlier run of its size stands in the next page
+    ends = "filter(sequence(7, 39), j -> get(c.r, j) = get(c.l, size(c.l) - 1))"
+    run = "case when j - b between 7 and size(c.l) - 1 and slice(c.r, b + 1, j - b + 1) = slice(c.l, size(c.l) - j + b, j - b + 1) then j - b + 1 end"
+    other = "exists(sequence(0, 32), i -> i < size(c.l) - k and instr(c.s, concat(' ', array_join(slice(c.l, i + 1, k), ' '), ' ')) > 0)"
+    size = f"get(transform(_both, c -> get(transform(array(array_max(transform(sequence(0, 5), b -> array_max(transform({ends}, j -> {run}))))), k -> case when k is not null and not {other} then k end), 0)), 0)"
+    d = d.withColumn("_both", both).withColumn("_n", F.expr(size))
+    end = F.concat(F.lit(f"(?:^|[^{TOKEN}])((?:[{TOKEN}]+[^{TOKEN}]+){{"), (F.col("_n") - 1).cast("string"), F.lit(f"}}[{TOKEN}]+[^{TOKEN}]*)$"))
+    cut = F.when(F.col("_n").isNotNull(), F.call_function("regexp_extract", F.col("text"), end, F.lit(1)))
+    parts = F.transform(F.array(cut), lambda x: F.struct(F.when(x.isNull(), F.col("text")).otherwise(F.rtrim(F.left("text", F.length("text") - F.length(x)), F.lit(X.BLANK))).alias("text"), X.trimmed(x).alias("removed")))[0]
+    return d.withColumn("_parts", parts).select(*[F.col("_parts.text").alias("text") if c == "text" else F.col(c) for c in pages.columns], F.col("_parts.removed").alias("removed"))
 
 
 def greedy_chunks(items: DataFrame, key: str, ord_: str, size: Column, limit: int) -> DataFrame:

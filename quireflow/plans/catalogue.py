@@ -133,9 +133,10 @@ c AS (SELECT b.doc_id, b.page, b.k FROM b JOIN h ON h.doc_id = b.doc_id AND h.pa
 x AS (SELECT p.doc_id, p.page, p.text, CASE WHEN k IS NOT NULL THEN regexp_extract(p.text, '(?:^|[^{flow.TOKEN}])((?:[{flow.TOKEN}]+[^{flow.TOKEN}]+){{' || (k - 1)::VARCHAR || '}}[{flow.TOKEN}]+[^{flow.TOKEN}]*)$', 1) END AS tail FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.page = p.page)
 SELECT doc_id, page::INT AS page, CASE WHEN tail IS NULL THEN text ELSE rtrim(left(text, length(text) - length(tail)), {TRIM}) END AS text, trim(tail, {TRIM}) AS removed FROM x""")
 def page_overlaps(spark, sf_dir):
-    p = pages(spark, sf_dir).withColumn("u", F.lag(F.regexp_extract_all("text", F.lit(f"[{flow.TOKEN}]+"), F.lit(0))).over(W.partitionBy("doc_id").orderBy("page")))
-    again = F.concat(F.expr("array_join(slice(u, greatest(1, size(u) - 11), 12), ' ')"), F.lit(" "), "text")
-    p = p.withColumn("text", F.when((F.col("doc_id") % 3 == 0) & (F.size("u") > 0), again).otherwise(F.col("text"))).drop("u")
+    last = F.array_join(F.reverse(F.slice(F.reverse(F.regexp_extract_all("text", F.lit(f"[{flow.TOKEN}]+"), F.lit(0))), 1, 12)), " ")
+    p = pages(spark, sf_dir).withColumn("u", F.lag(last).over(W.partitionBy("doc_id").orderBy("page")))
+    again = F.concat("u", F.lit(" "), "text")
+    p = p.withColumn("text", F.when((F.col("doc_id") % 3 == 0) & (F.col("u") != ""), again).otherwise(F.col("text"))).drop("u")
     return flow.remove_boundary_overlaps(p)
 
 
