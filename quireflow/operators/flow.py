@@ -80,7 +80,7 @@ def remove_boundary_overlaps(pages: DataFrame, key: str = "doc_id", ord_: str =
     ends = "filter(sequence(7, 39), j -> get(c.r, j) = get(c.l, size(c.l) - 1))"
     run = "case when j - b between 7 and size(c.l) - 1 and slice(c.r, b + 1, j - b + 1) = slice(c.l, size(c.l) - j + b, j - b + 1) then j - b + 1 end"
     other = "exists(sequence(0, 32), i -> i < size(c.l) - k and instr(c.s, concat(' ', array_join(slice(c.l, i + 1, k), ' '), ' ')) > 0)"
-    size = f"get(transform(_both, c -> get(transform(array(array_max(transform(sequence(0, 5), b -> array_max(transform({ends}, j -> {run}))))), k -> case when k is not null and not {other} then k end), 0)), 0)"
+    size = f"get(transform(_both, c -> get(transform(array(array_max(transform({ends}, j -> array_max(transform(sequence(0, 5), b -> {run}))))), k -> case when k is not null and not {other} then k end), 0)), 0)"
     d = d.withColumn("_both", both).withColumn("_n", F.expr(size))
     end = F.concat(F.lit(f"(?:^|[^{TOKEN}])((?:[{TOKEN}]+[^{TOKEN}]+){{"), (F.col("_n") - 1).cast("string"), F.lit(f"}}[{TOKEN}]+[^{TOKEN}]*)$"))
     cut = F.when(F.col("_n").isNotNull(), F.call_function("regexp_extract", F.col("text"), end, F.lit(1)))
