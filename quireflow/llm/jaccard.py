@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,11 @@ WORDS = 5
 SHARE, PER = 80, 100
 #: Cells of the table of common shingles (fixed size: 16 MB); a quarter of them at most is filled.
 CELL_BITS = 24
-#: Most sets of one group, whose shingles are one column of the matrix; so many ids (8 MB) are broadcast.
-GROUP, FEW_IDS = 64, 1_000_000
+#: Sets of one group, whose shingles are one column of the matrix; groups of a component until they grow, up to
+#: so many listed shingles (16 MB held).
+GROUP, GROUPS, POSTS = 64, 16, 1_000_000
+#: So many ids (8 MB) are broadcast; above, rows are shuffled by id.
+FEW_IDS = 1_000_000
 #: Times that the groups are formed, each time around other members.
 ROUNDS = 2
 
@@ -221,6 +225,82 @@ def _bounded(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return p.where(_reaches(F.size(F.array_intersect("tokens", "others")), F.greatest(_beyond(F.col("n")), _beyond(F.col("m"))), F.col("n") + F.col("m"))).select("a", "b")
 
 
+def _composed(group: np.ndarray, tokens: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash of its group and the token) of each token of each row."""
+    row = np.repeat(np.arange(len(tokens)), pa.compute.list_value_length(tokens).to_numpy())
+    flat = pa.compute.list_flatten(tokens).to_numpy().view(np.uint64)
+    return row, mix64(flat ^ mix64(group.view(np.uint64))[row])
+
+
+def _bounded_members(t: pa.Table, most: int = 4_000_000):
+    """(a, b) arrays: of rows (g, asks, id, n, size, comp, tokens) of whole groups, each asking set with each member
+    of its group, in a larger component, that can link by the listed shingles both have (see _bounded)."""
+    g, asks, ids, n, size, comp = (t.column(c).to_numpy() for c in ("g", "asks", "id", "n", "size", "comp"))
+    row, key = _composed(g, t.column("tokens"))
+    own = ~asks[row]
+    order = np.argsort(key[own], kind="stable")
+    held, member = key[own][order], row[own][order]
+    key, row = key[~own], row[~own]
+    lo, hi = np.searchsorted(held, key), np.searchsorted(held, key, "right")
+    cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    met = np.add.reduceat(hi - lo, cuts) if len(cuts) else cuts
+    part = np.cumsum(met) // most  # asking sets looked up together
+    for k in np.unique(part):
+        at = cuts[part == k]
+        end = cuts[np.flatnonzero(part == k)[-1] + 1] if part[-1] != k else len(row)
+        at, many = np.arange(at[0], end), (hi - lo)[at[0] : end]
+        x = np.repeat(row[at], many)
+        y = member[np.repeat(lo[at] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())]
+        pair, both = np.unique(x * len(ids) + y, return_counts=True)
+        x, y = pair // len(ids), pair % len(ids)
+        beyond = -(-n * SHARE // PER) - 1
+        can = (size[x] < size[y]) | (size[x] == size[y]) & (comp[x] < comp[y])
+        can &= PER * np.minimum(n[x], n[y]) >= SHARE * np.maximum(n[x], n[y])
+        can &= (PER + SHARE) * (both + np.maximum(beyond[x], beyond[y])) >= SHARE * (n[x] + n[y])
+        yield ids[x[can]], ids[y[can]]
+
+
+def _open(asks: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): the asking sets (g, id, n, size, comp, tokens) with the members of their groups (same columns).
+
+    A group and who asks it meet in one task, which emits only pairs that can link; a group asked by many is
+    given to several tasks, its members with each. A task holds one group's members and one part of who asks.
+    """
+    length = F.sum(F.size("tokens").cast("long"))
+    asked = stage_table(asks.groupBy("g").agg(length.alias("posts")).select("g", F.ceil(F.col("posts") / POSTS).cast("int").alias("parts")), "asked")
+    asks = asks.join(asked, "g").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    members = members.join(asked, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = F.xxhash64("g", "part").alias("g")  # groups of one hash would only meet more sets
+    columns = ["id", "n", "size", "comp", "tokens"]
+    rows = asks.select(key, F.lit(True).alias("asks"), *columns).union(members.select(key, F.lit(False).alias("asks"), *columns))
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def bounded(held):
+        for a, b in _bounded_members(pa.Table.from_batches(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=out)
+
+    def run(batches):
+        held, posts = [], 0
+        for b in batches:
+            g = b.column(0).to_numpy()
+            if posts > POSTS:  # up to the end of the group at hand
+                other = g != held[-1].column(0)[-1].as_py()
+                end = int(np.argmax(other)) if other.any() else len(g)
+                if end:
+                    held.append(b.slice(0, end))
+                if end < len(g):
+                    yield from bounded(held)
+                    held, posts = [], 0
+                b = b.slice(end)
+            if b.num_rows:
+                held.append(b)
+                posts += int(pa.compute.sum(pa.compute.list_value_length(b.column("tokens"))).as_py())
+        if held:
+            yield from bounded(held)
+
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
+
+
 def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links): one row per row of docs.
 
@@ -228,13 +308,15 @@ def link_documents(docs: DataFrame) -> DataFrame:
        repeat are counted into a table of fixed size, which puts common shingles last in everyone's order.
     2. By the prefix bound, two linked sets share one of their first shingles. Each posted set is compared
        with its list's smallest id, so a list gives as many pairs as it has sets; what links forms groups,
-       of at most GROUP sets; sets that link with nothing are grouped by the component that is largest
-       around them. Sets apart from the largest component of a list meet other members of it, a
-       few times over, which leaves few components in a list of near copies.
+       of GROUP sets or so; sets that link with nothing are grouped by the component that is largest
+       around them. Sets apart from the largest component of a list meet another member of it,
+       which leaves few components in a list of near copies.
     3. Token-group matrix: per group the union of its members' listed shingles, as rows (token, group). A set
        that shares one with a group of another, larger component is bounded by its overlap with that union and what
-       lies beyond the prefixes; only groups that reach the bound are opened, and their members bounded and
-       compared. Lists whose sets are all of one component need nothing.
+       lies beyond the prefixes; only groups that reach the bound are opened, and their members bounded in
+       place, as arrays: rows are made for the pairs that can link alone, and those are compared. A component has
+       at most GROUPS groups until they hold POSTS shingles, so that rows follow the sets that ask and not the
+       component's size. Lists whose sets are all of one component need nothing.
     No link between different sets is lost; pairs within a component are not listed. Texts without words,
     null texts and null ids link with nothing (a null id's component is null). Rows that repeat a doc_id
     count as one document. Only doc_id and text are read; an empty table gives no rows.
@@ -246,7 +328,10 @@ def link_documents(docs: DataFrame) -> DataFrame:
     common = spark.sparkContext.broadcast(_common(profile))
     own = profile.where("token is null").select("doc_id", "n", "k1", "k2")
     valid = own.where("doc_id is not null and n > 0")
-    reps = stage_table(valid.join(valid.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), ["k1", "k2"]).groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n").alias("n")), "reps")
+    # a join of two plain tables: the engine can split the rows of a digest of very many copies
+    equal = stage_table(valid.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "equal")
+    reps = valid.join(equal, ["k1", "k2"], "left").groupBy("doc_id").agg(F.min(F.coalesce("rep", "doc_id")).alias("rep"), F.max("n").alias("n"))
+    reps = stage_table(reps, "reps")
 
     posted = stage_table(_prefixes(docs.where("doc_id is not null"), common), "prefixes")
     lists = posted.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
@@ -275,21 +360,24 @@ def link_documents(docs: DataFrame) -> DataFrame:
     label = label.join(mixed, "token", "left_semi")
     label = stage_table(label.withColumn("rank", F.struct("size", "comp")), "mixed")
     tops = label.groupBy("token").agg(F.max("rank").alias("top"))
-    single = label.where("size = 1").join(tops, "token").groupBy(F.col("a").alias("s")).agg(F.min("top.comp").alias("near"))
-    counts = single.groupBy("near").agg(F.count("*").alias("c"))
-    single = single.join(counts, "near").select("s", F.concat_ws(".", F.lit("~"), F.col("near"), F.pmod(F.xxhash64("s"), F.ceil(F.col("c") / GROUP))).alias("g1"))
-    group = F.coalesce("g1", F.concat_ws(".", F.col("comp"), F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / GROUP))))
-    label = stage_table(label.join(single, F.col("a") == F.col("s"), "left").select("token", "a", "n", "rank", group.alias("g")), "labels")
-    groups = label.select("a", "n", "rank", "g").distinct()
+    single = label.where("size = 1").join(tops, "token").groupBy(F.col("a").alias("s")).agg(F.min("top.comp").alias("near"), F.count("*").alias("p"))
+    # groups of a component: of GROUP sets, GROUPS at most until they would hold more than POSTS shingles
+    groups_of = lambda sets, posts: F.least(F.ceil(sets / GROUP), F.greatest(F.lit(GROUPS), F.ceil(posts / POSTS)))
+    counts = single.groupBy("near").agg(F.count("*").alias("c"), F.sum("p").alias("posts"))
+    single = single.join(counts, "near").select("s", F.concat_ws(".", F.lit("~"), F.col("near"), F.pmod(F.xxhash64("s"), groups_of(F.col("c"), F.col("posts")))).alias("g1"))
+    posts = label.where("size > 1").groupBy("comp").agg(F.count("*").alias("posts"))
+    group = F.coalesce("g1", F.concat_ws(".", F.col("comp"), F.pmod(F.xxhash64("a"), groups_of(F.col("size"), F.col("posts")))))
+    label = label.join(posts, "comp", "left").join(single, F.col("a") == F.col("s"), "left").select("token", "a", "n", "rank", group.alias("g"))
+    label = stage_table(label, "labels")
+    groups = label.groupBy("a", "n", "rank", "g").agg(F.collect_list("token").alias("tokens"))
     columns = label.groupBy("token", "g").agg(F.max("rank").alias("other"))  # the matrix: which shingles a group has
     spans = groups.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asks = label.select("token", "a", "n", "rank").join(columns, "token").where("rank < other").groupBy("a", "n", "rank", "g").agg(F.count("*").alias("both")).join(spans, "g")
-    n, least, most = F.col("n"), F.col("least"), F.col("most")
-    can = _reaches(F.col("both"), _beyond(n), n + F.greatest(least, F.ceil(n * SHARE / F.lit(PER)))) | _reaches(F.col("both"), _beyond(most) + 1, n + most)
-    opened = asks.where((PER * most >= SHARE * n) & (PER * n >= SHARE * least) & can).select("a", "n", "rank", "g")
-    members = groups.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("rank").alias("other"), "g")
-    pairs = opened.join(members, "g").where("rank < other").where(_alike("n", "m")).select("a", "b")
-    more = stage_table(_verified(stage_table(_bounded(pairs, rows), "open"), docs), "more")
+    asks = label.select("token", "a", "n", "rank").join(columns, "token").where("rank < other").groupBy("a", "n", "rank", "g").agg(F.collect_list("token").alias("tokens")).join(spans, "g")
+    n, least, most, both = F.col("n"), F.col("least"), F.col("most"), F.size("tokens").cast("long")
+    can = _reaches(both, _beyond(n), n + F.greatest(least, F.ceil(n * SHARE / F.lit(PER)))) | _reaches(both, _beyond(most) + 1, n + most)
+    put = ["g", F.col("a").alias("id"), "n", "rank.size", "rank.comp", "tokens"]
+    opened = stage_table(asks.where((PER * most >= SHARE * n) & (PER * n >= SHARE * least) & can).select(put), "opened")
+    more = stage_table(_verified(stage_table(_open(opened, groups.select(put)), "open"), docs), "more")
     parts = connected_components(links.union(more))
     parts = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("d"), F.coalesce("component", "rep").alias("c"))
     return own.join(parts, F.col("doc_id") == F.col("d"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))

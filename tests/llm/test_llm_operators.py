@@ -165,6 +165,38 @@ def test_jaccard(spark, odd, empty, monkeypatch):
     assert jaccard.link_documents(empty).count() == 0
 
 
+def near_group(rng, n, words=60, most=5):
+    base = prose(rng, words, 10**6).split()
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, most)):
+            w[rng.randrange(words)] = prose(rng, 1, 10**6)
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_jaccard_of_a_hot_near_group(spark, monkeypatch):
+    """2,000 near copies around the threshold among others, with few and with many groups: equal to brute force."""
+    rng = random.Random(12)
+    docs = near_group(rng, 2000) + [(5000 + i, prose(rng, 40, 10**6)) for i in range(300)]
+    sets = [words_set(t) for _, t in docs]
+    known = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(docs), len(known)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [known[x] for x in s]] = 1
+    both, size = m @ m.T, m.sum(axis=1)
+    near = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    place = {d: i for i, (d, _) in enumerate(docs)}
+    want = brute_components([(d, d) for d, _ in docs], lambda a, b: near[place[a], place[b]])
+    assert 1 < sum(want[d] == d for d, _ in docs[:2000]) < 1900
+    for group, groups, posts in ((64, 16, 1_000_000), (8, 3, 500)):
+        for k, v in (("GROUP", group), ("GROUPS", groups), ("POSTS", posts)):
+            monkeypatch.setattr(jaccard, k, v)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.link_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+        assert got == want
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(vectors, "LONG", 60)
     monkeypatch.setattr(vectors, "BLOCK", 25)
