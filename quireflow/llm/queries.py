@@ -54,7 +54,7 @@ def op7_line_chunks(spark, sf_dir):
 
 def op8_column_suffixes(spark, sf_dir):
     d = suffixes.dedup_bytes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), "kept_text")
 
 
 def op9_pivotal_mix(spark, sf_dir):

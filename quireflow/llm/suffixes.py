@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, record_batch, small_batches, stage_table
-from .jaccard import is_set, with_bit
+from .jaccard import FEW_IDS
 
 #: Length of the strings, of the anchors in them, and of the segments in which a text is searched for anchors.
 LENGTH, ANCHOR, SEGMENT = 400, 64, 1 << 20
@@ -34,10 +34,12 @@ def _hashes(b: np.ndarray, n: int, powers: _Powers) -> np.ndarray:
 
 
 def anchors(text: bytes, powers: _Powers, length: int = LENGTH, size: int = ANCHOR):
-    """(key, place, left, starts) arrays: the anchors of all strings of `length` bytes, for runs of starts.
+    """(key, place, left, starts, count) arrays: the anchors of all strings of `length` bytes, for runs of starts.
 
     A string's anchor is its `size`-byte part of smallest hash, of equal ones the last; so equal strings have
     equal anchors at equal distances. `left` is the distance from the first start of the run to the anchor.
+    In a text that repeats with a short period, runs alike in all follow each other, `starts` apart; `count` of
+    them are one row, so a text of one byte gives few rows, not one for each byte.
     """
     found = []
     for at in range(0, max(0, len(text) - length + 1), SEGMENT):
@@ -53,8 +55,11 @@ def anchors(text: bytes, powers: _Powers, length: int = LENGTH, size: int = ANCH
         place = (_LOW - (low & _LOW)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         a = place[first]
-        found.append((h[a].view(np.int64), a + at, a - first, np.diff(np.r_[first, len(place)])))
-    return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
+        key, left, starts = h[a].view(np.int64), a - first, np.diff(np.r_[first, len(place)])
+        alike = (key[1:] == key[:-1]) & (left[1:] == left[:-1]) & (starts[1:] == starts[:-1])
+        of = np.flatnonzero(np.r_[True, ~alike])
+        found.append((key[of], a[of] + at, left[of], starts[of], np.diff(np.r_[of, len(key)])))
+    return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 5
 
 
 def repeated_starts(contexts: list[bytes], left: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -124,50 +129,59 @@ def repeated_starts(contexts: list[bytes], left: np.ndarray, length: int = LENGT
 
 
 def _classes(docs: DataFrame, length: int, size: int) -> DataFrame:
-    out = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("left", pa.int32()), ("starts", pa.int32())])
+    out = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("left", pa.int32()), ("starts", pa.int32()), ("count", pa.int32())])
 
     def run(batches):
         powers = _Powers()
         for b in batches:
             parts = []
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                key, place, left, n = anchors((t or "").encode("utf-8", "surrogatepass"), powers, length, size)
+                key, place, *sizes = anchors((t or "").encode("utf-8", "surrogatepass"), powers, length, size)
                 if len(key):
-                    parts.append((key, np.full(len(key), doc, np.int64), place, left.astype(np.int32), n.astype(np.int32)))
+                    parts.append((key, np.full(len(key), doc, np.int64), place, *(x.astype(np.int32) for x in sizes)))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], schema=out)
 
-    return stage_table(docs.mapInArrow(run, "key long, doc_id long, place long, left int, starts int"), "anchors")
+    return stage_table(docs.mapInArrow(run, "key long, doc_id long, place long, left int, starts int, count int"), "anchors")
 
 
-def _contexts(docs: DataFrame, hits: DataFrame, length: int) -> DataFrame:
-    """(key, salt, doc_id, place, left, context): the bytes of all strings of a run, around its anchor."""
-    by_doc = hits.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("key", "hot", "place", "left", "starts")).alias("hits"))
-    by_doc = stage_table(by_doc, "hits")
-    rows, table = with_bit(docs, by_doc.select("id"))
+def _with_ids(docs: DataFrame, by_doc: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(docs with the columns of by_doc, where there are some; the rows of docs that have none, if told apart).
 
-    def near(batches):
-        held = table.value
-        for b in batches:
-            b = b.filter(pa.array(is_set(held, b.column(2).to_numpy())))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["doc_id", "text"])
+    A few ids are broadcast, and only their texts move; of many, all texts are dealt by id, and rows without
+    are among the first with nulls.
+    """
+    at = F.col("doc_id") == F.col("id")
+    ids = by_doc.select("id")
+    if ids.count() > FEW_IDS:
+        return docs.join(by_doc, at, "left"), None
+    known = docs.join(F.broadcast(ids), at, "left_semi").join(by_doc, at)
+    return known, docs.join(F.broadcast(ids), at, "left_anti")
 
-    out = pa.schema([("key", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("place", pa.int64()), ("left", pa.int32()), ("context", pa.binary())])
+
+def _contexts(docs: DataFrame, hits: DataFrame, length: int) -> DataFrame:
+    """(key, hot, doc_id, place, left, starts, count, context): the bytes of all strings of a row's runs."""
+    by_doc = hits.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("key", "hot", "place", "left", "starts", "count")).alias("hits"))
+    by_doc = stage_table(by_doc, "hits")
+    out = pa.schema([("key", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("place", pa.int64()), ("left", pa.int32()), ("starts", pa.int32()), ("count", pa.int32()), ("context", pa.binary())])
 
     def cut(batches):
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for doc, t, own in zip(*(b.column(i).to_pylist() for i in range(3))):
-                t = t.encode("utf-8", "surrogatepass")
-                rows += [(h["key"], h["hot"], doc, h["place"], h["left"], t[h["place"] - h["left"] : h["place"] - h["left"] + h["starts"] + length - 1]) for h in own]
-                if len(rows) > 2000:
-                    yield record_batch(out, dict(zip(out.names, zip(*rows))))
-                    rows = []
+                t = (t or "").encode("utf-8", "surrogatepass")
+                for h in own:
+                    first = h["place"] - h["left"]
+                    rows.append((h["key"], h["hot"], doc, h["place"], h["left"], h["starts"], h["count"], t[first : first + h["starts"] * h["count"] + length - 1]))
+                    held += len(rows[-1][-1])
+                    if held > 1 << 21:
+                        yield record_batch(out, dict(zip(out.names, zip(*rows))))
+                        rows, held = [], 0
             if rows:
                 yield record_batch(out, dict(zip(out.names, zip(*rows))))
 
-    texts = rows.mapInArrow(near, "doc_id long, text string")
-    return texts.join(by_doc, F.col("doc_id") == F.col("id")).select("doc_id", "text", "hits").mapInArrow(cut, "key long, hot boolean, doc_id long, place long, left int, context binary")
+    texts = _with_ids(docs, by_doc)[0].where("id is not null").select("doc_id", "text", "hits")
+    return texts.mapInArrow(cut, "key long, hot boolean, doc_id long, place long, left int, starts int, count int, context binary")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
@@ -178,39 +192,44 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, ho
     A class above `hot` members is dealt by its strings: a 128-bit hash per string, counted with partial sums.
     """
     classes = _classes(docs, length, size)
-    counts = classes.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", (F.col("c") > hot).alias("hot"))
+    counts = classes.groupBy("key").agg(F.sum("count").alias("c")).where("c > 1").select("key", (F.col("c") > hot).alias("hot"))
     counts = stage_table(counts, "classes")  # a join of two plain tables: the engine can split a hot key's rows
     hits = classes.join(counts, "key")
     contexts = stage_table(_contexts(docs, hits, length), "contexts")
     spans = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def build(held):
-        key, doc, place, left = (np.concatenate([h[i] for h in held]) for i in range(4))
-        first, last = repeated_starts([c for h in held for c in h[4]], left.astype(np.int64), length)
+        key, doc, place, left, starts, count = (np.concatenate([h[i] for h in held]) for i in range(6))
+        own = [c for h in held for c in h[6]]
+        if (count > 1).any():  # runs alike, `starts` apart
+            nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            of = np.repeat(np.arange(len(count)), count)
+            own = [own[i][k * n : (k + 1) * n + length - 1] for i, k, n in zip(of.tolist(), nth.tolist(), starts[of].tolist())]
+            doc, place, left = doc[of], place[of] + nth * starts[of], left[of]
+        first, last = repeated_starts(own, left.astype(np.int64), length)
         on = np.flatnonzero(last >= first)
         return pa.RecordBatch.from_arrays([pa.array(doc[on]), pa.array(place[on] + first[on]), pa.array(place[on] + last[on] + length)], schema=spans)
 
     def run(batches):
         held, n = [], 0
         for b in batches:
-            key, doc, place, left = (b.column(i).to_numpy() for i in range(4))
-            own, at = b.column(4).to_pylist(), 0
+            part = [*(b.column(i).to_numpy() for i in range(6)), b.column(6).to_pylist()]
+            key = part[0]
             if n >= chunk:  # up to the end of the class at hand
                 end = int(np.argmax(key != held[-1][0][-1])) if (key != held[-1][0][-1]).any() else len(key)
                 if end:
-                    held.append((key[:end], doc[:end], place[:end], left[:end], own[:end]))
-                    n += end
+                    held.append([x[:end] for x in part])
                 if end < len(key):
                     yield build(held)
                     held, n = [], 0
-                at = end
-            if at < len(key):
-                held.append((key[at:], doc[at:], place[at:], left[at:], own[at:]))
-                n += len(key) - at
+                part = [x[end:] for x in part]
+            if len(part[0]):
+                held.append(part)
+                n += int(part[5].sum())
         if held:
             yield build(held)
 
-    dealt = contexts.where("not hot").select("key", "doc_id", "place", "left", "context").repartition("key").sortWithinPartitions("key")
+    dealt = contexts.where("not hot").select("key", "doc_id", "place", "left", "starts", "count", "context").repartition("key").sortWithinPartitions("key")
     found = dealt.mapInArrow(run, "doc_id long, start long, end long")
     if counts.where("hot").isEmpty():
         return found
@@ -229,34 +248,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, ho
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans, kept (null if nothing went), kept_sha256: one row per row of docs.
+    """doc_id, n_bytes, n_removed, n_spans, spans, kept, kept_sha256, kept_text: one row per row of docs.
 
     Texts are UTF-8 bytes, null ones empty. What goes is each byte of a `length`-byte string that also starts
-    anywhere else, in this document or another, judged on the input; kept bytes are concatenated. Texts
-    shorter than that stay whole. A null doc_id is not searched; rows that repeat a doc_id share its spans.
-    Only documents with repeats move between tasks; an empty table gives no rows.
+    anywhere else, in this document or another, judged on the input; kept bytes are concatenated (kept, null if
+    nothing went). kept_text is the same as text, without letters that lost a byte; where nothing went, the
+    text itself. Texts shorter than that stay whole. A null doc_id is not searched; rows that repeat a doc_id
+    share its spans. Only documents with repeats move between tasks; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     small_batches(docs.sparkSession)
     spans = repeated_spans(docs.where("doc_id is not null"), length, size, hot)
     by_doc = stage_table(spans.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
-    rows, table = with_bit(docs, by_doc.select("id"))
-
-    def near(batches):
-        held = table.value
-        for b in batches:
-            b = b.filter(pa.array(is_set(held, b.column(2).to_numpy())))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["doc_id", "text"])
-
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    out = pa.schema([("doc_id", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", span), ("kept", pa.binary()), ("sha", pa.string())])
+    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", span), ("kept", pa.binary()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
     def cut(batches):
         for b in batches:
             made = []
-            for doc, t, own in zip(*(b.column(i).to_pylist() for i in range(3))):
-                t, runs, kept, at = t.encode("utf-8", "surrogatepass"), [], [], 0
-                for s in own:
+            for doc, text, own in zip(*(b.column(i).to_pylist() for i in range(3))):
+                t, runs, kept, at = (text or "").encode("utf-8", "surrogatepass"), [], [], 0
+                for s in own or ():
                     if runs and s["start"] <= runs[-1]["end"]:
                         runs[-1]["end"] = max(runs[-1]["end"], s["end"])
                     else:
@@ -264,14 +276,14 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, hot:
                 for s in runs:
                     kept.append(t[at : s["start"]])
                     at = s["end"]
-                kept = b"".join([*kept, t[at:]])
-                made.append((doc, len(t) - len(kept), len(runs), runs, kept, hashlib.sha256(kept).hexdigest()))
+                left = b"".join([*kept, t[at:]])
+                made.append((doc, len(t), len(t) - len(left), len(runs), runs or None, left if runs else None, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if runs else text))
             if made:
                 yield record_batch(out, dict(zip(out.names, zip(*made))))
 
-    texts = rows.mapInArrow(near, "doc_id long, text string").join(by_doc, F.col("doc_id") == F.col("id")).select("doc_id", "text", "spans")
-    kept = texts.mapInArrow(cut, "id long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary, sha string").dropDuplicates(["id"])
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    whole = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
-    d = whole.join(kept, F.col("doc_id") == F.col("id"), "left")
-    return d.select("doc_id", "n_bytes", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")], "spans", "kept", F.coalesce("sha", "whole").alias("kept_sha256"))
+    known, others = _with_ids(docs, by_doc)
+    made = known.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: bigint, end: bigint>>, kept binary, kept_sha256 string, kept_text string")
+    if others is None:
+        return made
+    text, none = F.coalesce("text", F.lit("")).cast("binary"), F.lit(0).cast("long")
+    return made.union(others.select("doc_id", F.octet_length(text).cast("long"), none, none, F.lit(None), F.lit(None), F.sha2(text, 256), "text"))

@@ -267,9 +267,28 @@ def test_suffixes(spark, odd, empty, hot):
         kept = bytes(x for x, c in zip(b, cut) if not c)
         r = got[d]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), len(b) - len(kept), int((np.diff(np.r_[0, cut]) == 1).sum()), hashlib.sha256(kept).hexdigest())
+        assert r["kept_text"] == (t if kept == b else kept.decode("utf-8", "ignore")) and (r["kept"] is None) == (kept == b)
     assert suffixes.dedup_bytes(odd).count() == len(ODD) and suffixes.dedup_bytes(empty).count() == 0
 
 
+def test_suffixes_of_texts_with_short_periods(spark):
+    """A run of one byte and others of short periods: few anchor rows, all removed but what is not covered."""
+    powers = suffixes._Powers()
+    assert len(suffixes.anchors(b"a" * 200_000, powers)[0]) <= 3
+    docs = [(1, "x" + "a" * 200_000 + "y"), (2, "abc" * 300 + "q"), (3, "zabc" + "abc" * 200), (4, "a" * 450), (5, "b" * 400)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.dedup_bytes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (200_002, 200_000, 1), 2: (901, 900, 1), 3: (604, 603, 1), 4: (450, 450, 1), 5: (400, 0, 0)}
+
+
+def test_suffixes_by_id(spark, monkeypatch):
+    """Broadcast ids and dealt texts give the same rows."""
+    docs = spark.createDataFrame(corpus() + [(None, "x" * 500), (7, "y" * 500)], "doc_id long, text string")
+    rows = lambda: sorted(map(str, suffixes.dedup_bytes(docs, length=120, size=32).collect()))
+    few = rows()
+    monkeypatch.setattr(suffixes, "FEW_IDS", 0)
+    assert rows() == few and len(few) == docs.count()
+
+
 def test_mixing(spark, odd, empty):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randint(0, 60)), "src%d" % (i % 4) if i % 9 else None) for i in range(3000)]
