@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import accumulate, groupby
+from collections import deque
+from itertools import groupby
 
 import public_tokenizers
 import pyarrow as pa
@@ -43,42 +44,58 @@ def parse(formatted: str) -> list[tuple[str, str, int]]:
     return out
 
 
+def formatted_turn(role: str, text: str) -> tuple[str, str]:
+    """What a turn is in a window: its head, and its text up to the stop mark."""
+    return f"{HEAD}{escape_role(role)}: ", escape(text)
+
+
 class Windows:
-    """Streams the turns of one conversation into windows; holds one window and the history to repeat."""
+    """Streams the turns of one conversation into windows; holds one window and the history to repeat.
+
+    Sums are kept as turns come and go, so a turn costs the same however many there are. Each formatted turn
+    has tokens, its marks at least, so a window always closes. Token ids never cross the marks between two
+    turns: a window has the sum of its turns' tokens.
+    """
 
     def __init__(self, conv, budget: int, history: int):
         self.conv, self.budget, self.history, self.n = conv, budget, history, 0
-        self.system, self.context, self.new, self.past = None, [], [], []
+        self.system, self.context, self.new, self.past = None, [], [], deque()
+        self.used = self.behind = 0  # tokens of the window at hand, and of past
 
-    def add(self, role: str, text: str, tokens: int):
-        """turn: (role, text, tokens). Yields a window once this turn does not fit in it."""
-        turn = (role, text, tokens)
+    def add(self, role: str, head: str, own: str, tokens: int):
+        """Yields a window once this turn does not fit in it."""
+        turn = (role, head, own, tokens)
         if self.system is None and not self.n and not self.new and role == "system":
             self.system = turn
-        if self.new and sum(t[2] for t in self.context + self.new) + tokens > self.budget:
+        if self.new and self.used + tokens > self.budget:
             yield self.window()
-            # prefix sums of what came before, newest first, choose how many whole turns are repeated
-            keep = [self.system] if self.system else []
-            room = min(self.history, self.budget - tokens - sum(t[2] for t in keep))
-            sums = list(accumulate(t[2] for t in reversed(self.past)))
-            n = sum(s <= room for s in sums)
-            self.context = keep + (self.past[-n:] if n else [])
+            # sums of what came before, newest first, choose how many whole turns are repeated
+            self.context = [self.system] if self.system else []
+            self.used = sum(t[3] for t in self.context)
+            room, at, again = min(self.history, self.budget - tokens - self.used), 0, []
+            for t in reversed(self.past):
+                at += t[3]
+                if at > room:
+                    break
+                again.append(t)
+            self.context += reversed(again)
+            self.used += sum(t[3] for t in again)
         self.new.append(turn)
+        self.used += tokens
         if turn is not self.system:
             self.past.append(turn)
-            while len(self.past) > 1 and sum(t[2] for t in self.past[1:]) >= self.history:
-                del self.past[0]
+            self.behind += tokens
+            while len(self.past) > 1 and self.behind - self.past[0][3] >= self.history:
+                self.behind -= self.past.popleft()[3]
 
     def window(self):
         text, loss, at = [], [], 0
-        for k, (role, body, _) in enumerate(self.context + self.new):
-            head, own = f"{HEAD}{escape_role(role)}: ", escape(body)
+        for k, (role, head, own, _) in enumerate(self.context + self.new):
             if role == "assistant" and k >= len(self.context):  # repeated targets stay masked
                 loss.append({"start": at + len(head), "end": at + len(head) + len(own)})
             text.append(head + own + STOP)
             at += len(text[-1])
-        n = sum(t[2] for t in self.context + self.new)
-        row = (self.conv, self.n, "".join(text), loss, len(self.context), n, n > self.budget)
+        row = (self.conv, self.n, "".join(text), loss, len(self.context), self.used, self.used > self.budget)
         self.n, self.new = self.n + 1, []
         return row
 
@@ -91,11 +108,13 @@ def format_conversations(df: DataFrame, vocabulary: str | None = None, budget: i
     """One row per window: conv_id, window, formatted, loss spans, n_context, n_tokens, over_budget.
 
     A window holds the conversation's leading system turn, up to `history` tokens of whole earlier turns
-    (both masked: the first n_context turns), then new turns while the budget lasts. A turn longer than the
-    budget stands alone in an over_budget window, whole. Turns are ordered by turn, role and text (nulls
+    (both masked: the first n_context turns), then new turns while the budget lasts. n_tokens counts the ids of
+    formatted, marks and roles included. A turn longer than the budget, alone or with the system turn, stands
+    alone with it in an over_budget window, whole. Turns are ordered by turn, role and text (nulls
     first); ties and repeated rows are all kept. Null texts and roles count as empty; a null conv_id is a
     conversation of its own; no rows give no windows; other columns are ignored.
-    Rows are dealt by conv_id and sorted, then streamed: memory is a window, however long a conversation.
+    Rows are dealt by conv_id and sorted, then streamed: memory is a window and an Arrow batch, however long a
+    conversation, and time is in proportion to its turns.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     out = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("n_context", pa.int64()), ("n_tokens", pa.int64()), ("over_budget", pa.bool_())])
@@ -106,11 +125,12 @@ def format_conversations(df: DataFrame, vocabulary: str | None = None, budget: i
         for b in batches:
             conv, role, text = (b.column(i).to_pylist() for i in range(3))
             rows = []
-            for c, r, t, ids in zip(conv, role, text, enc.many(text)):
+            for c, r, t in zip(conv, role, text):
                 if now is None or now.conv != c:
                     rows.extend(now.end() if now else ())
                     now = Windows(c, budget, history)
-                rows.extend(now.add(r, t, len(ids)))
+                head, own = formatted_turn(r, t)
+                rows.extend(now.add(r, head, own, len(enc.one(head + own + STOP))))
             if rows:
                 yield record_batch(out, dict(zip(out.names, zip(*rows))))
         if now and (rows := list(now.end())):

@@ -70,11 +70,11 @@ def test_components(spark):
 
 
 def test_encoder_equals_tokenizers():
-    import public_tokenizers
-
-    e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    for t in ("", "a  b\n\n c", "don't 12,5% <|endoftext|>", "naïve café — ünï", "日本語 x", "\x85 \xa0a\x1c", "a \t b"):
-        assert e.one(t).tolist() == e.tok.encode(t, add_special_tokens=False).ids
+    """Against a fresh tokenizer as it is loaded; the text of a special token is that token."""
+    e, fresh = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")), Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    for t in ("", "a  b\n\n c", "don't 12,5% <|endoftext|>", "a <|endoftext|> b", "<|endoftext", "naïve café — ünï", "日本語 x", "日本 <|endoftext|>", "\x85 \xa0a\x1c", "a \t b"):
+        assert e.one(t).tolist() == fresh.encode(t, add_special_tokens=False).ids
+    assert e.one("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
 
 
 def test_packing(spark, odd, empty):
@@ -346,7 +346,9 @@ def test_chat(spark):
     rows += [(50, 0, None, None), (None, 0, "user", "x"), (51, 1, "user", "t"), (51, 1, "user", "t"), (51, None, "assistant", "n")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, window long")
     windows = chat.format_conversations(df, budget=120, history=40)
-    assert all(r["n_tokens"] <= 120 or r["over_budget"] for r in windows.collect())
+    fresh = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    for r in windows.collect():
+        assert r["n_tokens"] == len(fresh.encode(r["formatted"], add_special_tokens=False).ids) and r["over_budget"] == (r["n_tokens"] > 120)
     got = {r["conv_id"]: r for r in chat.read_back(windows).collect()}
     by = defaultdict(list)
     for c, t, r, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
@@ -359,6 +361,21 @@ def test_chat(spark):
     assert chat.read_back(chat.format_conversations(spark.createDataFrame([], df.schema))).count() == 0
 
 
+def test_chat_of_many_turns():
+    """Empty turns cost their marks: windows close, and each turn costs the same."""
+    import time
+
+    def run(n):
+        w, began, rows = chat.Windows(1, 1024, 256), time.perf_counter(), []
+        for k in range(n):
+            rows += w.add("user" if k % 2 else "assistant", "### user: ", "", 8)
+        return [*rows, *w.end()], time.perf_counter() - began
+
+    rows, took = run(20_000)
+    assert all(r[5] <= 1024 and not r[6] for r in rows) and max(len(r[2]) for r in rows) <= 128 * 18
+    assert sum(r[2].count("### ") - r[4] for r in rows) == 20_000 and took < 3
+
+
 def brute_lines(docs):
     """(doc_id, text left) of documents whose lines are not all repeats of multi-line chunks."""
     seen, out = set(), []
