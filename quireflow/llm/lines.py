@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import stage_table, unused
 
 #: A chunk ends after a line where the rolling hash of it and the line before is a multiple of this.
 DIVISOR = 4
@@ -32,7 +32,8 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     Of equal chunks (same bytes) the first by doc_id and line stays, nulls first. Chunks meet by a 64-bit
     hash; a hash whose smallest and largest chunk differ in a byte is told apart by the chunk itself.
     Chunks of one line, null texts (n_lines 0) and texts without repeats stay as they are; an emptied text is
-    ''. Rows that repeat a doc_id count as one document. Columns n_lines and n_removed are replaced.
+    ''. Rows that repeat a doc_id count as one document. Columns n_lines and n_removed are replaced, all others
+    kept, whatever their names.
     Hashes are counted first, without texts; then only repeated chunks are compared, by minimum and maximum,
     which combine before the shuffle. Repeats join back to their hash, so a hot hash is split like any join.
     """
@@ -52,12 +53,13 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
         told = told.join(firsts, "chunk").where(~where.eqNullSafe(F.col("first")))
         again = again.select("doc_id", "start", "end").union(told.select("doc_id", "start", "end"))
     cuts = again.select("doc_id", "start", "end").distinct()
-    cuts = cuts.groupBy(F.col("doc_id").alias("_d")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    rows = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("_d")), "left").withColumn("_lines", F.split("text", "\n", -1))
-    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long"))
-    rows = rows.withColumn("n_removed", F.expr("coalesce(aggregate(_cuts, 0, (n, c) -> n + c.end - c.start + 1), 0)").cast("long"))
-    left = F.expr("array_join(flatten(transform(sequence(0, size(_cuts)), i -> slice(_lines, coalesce(get(_cuts, i - 1).end, 0) + 1, coalesce(get(_cuts, i).start, size(_lines) + 1) - coalesce(get(_cuts, i - 1).end, 0) - 1))), '\n')")
-    return rows.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(left)).select(*docs.columns, "n_lines", "n_removed")
+    d, own, cut = unused(docs, "_d", "_lines", "_cuts")
+    cuts = cuts.groupBy(F.col("doc_id").alias(d)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut))
+    rows = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col(d)), "left").withColumn(own, F.split("text", "\n", -1))
+    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(own)).cast("long"))
+    rows = rows.withColumn("n_removed", F.expr(f"coalesce(aggregate({cut}, 0, (n, c) -> n + c.end - c.start + 1), 0)").cast("long"))
+    left = F.expr(f"array_join(flatten(transform(sequence(0, size({cut})), i -> slice({own}, coalesce(get({cut}, i - 1).end, 0) + 1, coalesce(get({cut}, i).start, size({own}) + 1) - coalesce(get({cut}, i - 1).end, 0) - 1))), '\n')")
+    return rows.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(left)).select(*docs.columns, "n_lines", "n_removed")
 
 
 ORACLE = f"""
