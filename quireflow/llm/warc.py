@@ -21,6 +21,10 @@ from .common import record_batch, scratch_path, small_batches, stage_table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 BIG = 0xFFFFFFFF
+#: Bytes of records that one task reads, or so.
+READ_BYTES = 64 << 20
+#: What stands before a payload in a record's block; and the date of records whose pages have none.
+HTTP, NO_DATE = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n", "1970-01-01T00:00:00Z"
 
 
 class PackageWriter:
@@ -121,11 +125,11 @@ def urn(page) -> str:
     return f"<urn:page:{'null' if page is None else page}>"
 
 
-def record(page, url, payload: bytes, winner) -> bytes:
+def record(page, url, payload: bytes, winner, date: str = NO_DATE) -> bytes:
     """One gzip member: a response with its payload, or where winner is another page a revisit without."""
     kind = "response" if winner is None or winner == page else "revisit"
-    body = b"" if kind == "revisit" else payload
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {urn(page)}", f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url or '')}", f"WARC-Payload-Digest: sha1:{digest(payload)}", f"X-Payload-Length: {len(payload)}", f"Content-Length: {len(body)}"]
+    body = HTTP if kind == "revisit" else HTTP + payload
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {urn(page)}", f"WARC-Date: {date}", "Content-Type: application/http; msgtype=response", f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url or '')}", f"WARC-Payload-Digest: sha1:{digest(payload)}", f"X-Payload-Length: {len(payload)}", f"Content-Length: {len(body)}"]
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(winner)}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 4, mtime=0)
@@ -135,7 +139,7 @@ def parse_record(raw: bytes) -> dict:
     data = gzip.decompress(raw)
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    return fields | {"payload": rest[: int(fields["Content-Length"])]}
+    return fields | {"payload": rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]}
 
 
 def page_of(mark: str | None):
@@ -200,10 +204,11 @@ def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0, roll_byt
 
 
 def read_packages(packages: DataFrame, per_read: int = 200) -> DataFrame:
-    """Every record of the packages (column path): page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to.
+    """Every record of the packages (path, bytes): page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to.
 
-    Directories and indexes are read first; then runs of neighbouring records are dealt out and each run is
-    read as one byte range. A response's length and digest come from its bytes and must equal its header's.
+    Directories and indexes are read first; then runs of neighbouring records are dealt out, to as many tasks as
+    the packages' bytes ask for (READ_BYTES each; shuffle partitions at least), and each run is
+    read as one byte range. A run is a row of a few numbers, so sizes of rows say nothing about the work. A response's length and digest come from its bytes and must equal its header's.
     """
     found = pa.schema([("path", pa.string()), ("at", pa.int64()), ("lengths", pa.list_(pa.int64()))])
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
@@ -230,8 +235,10 @@ def read_packages(packages: DataFrame, per_read: int = 200) -> DataFrame:
                     rows.append((page_of(r["WARC-Record-ID"]), r["WARC-Target-URI"], kind, r["payload"], size, sha, page_of(r.get("WARC-Refers-To"))))
                 yield record_batch(out, dict(zip(out.names, zip(*rows))))
 
-    runs = packages.select("path").repartition(F.col("path")).mapInArrow(locate, "path string, at long, lengths array<long>")
-    return runs.repartition("path", "at").mapInArrow(read, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
+    n, total = packages.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // READ_BYTES))
+    runs = packages.select("path").repartition(max(1, min(n, tasks)), "path").mapInArrow(locate, "path string, at long, lengths array<long>")
+    return runs.repartition(tasks, "path", "at").mapInArrow(read, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
