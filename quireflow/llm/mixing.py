@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words, stage_table
+from .common import n_words, stage_table, unused
 
 WEIGHTS = (3, 1, 2)
 EPS = 1e-9
@@ -56,7 +56,7 @@ def pivotal(items: DataFrame, block: int = 256, seed: int = 11) -> DataFrame:
 
     Blocks of about `block` items of a source are folded, large items first; each block leaves one item that
     is still fractional. The leftovers are folded again, level by level, until a source has one, which is
-    rounded to the nearer. So a hot source is many blocks, and no task holds more than a block.
+    drawn by its fraction. So a hot source is many blocks, and no task holds more than a block.
     """
     step = STEP.format(seed=seed, done_a0=_with("z.a", "0"), done_a1=_with("z.a", "1"), done_b0=_with("z.b", "0"), done_b1=_with("z.b", "1"),
                        b_up=_with("z.b", "least(1D, z.b.f + z.ab / z.b.w)"), a_down=_with("z.a", "greatest(0D, z.a.f - z.ab / z.a.w)"), a_up=_with("z.a", "least(1D, z.a.f + z.ba / z.a.w)"), b_down=_with("z.b", "greatest(0D, z.b.f - z.ba / z.b.w)"))
@@ -78,20 +78,42 @@ def pivotal(items: DataFrame, block: int = 256, seed: int = 11) -> DataFrame:
         if most == 1:
             break
         now, level = now.select(columns), level + 1
-    decided.append(now.withColumn("f", F.when(F.col("f") >= 0.5, 1.0).otherwise(0.0)))
+    drawn = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed), F.lit("last")), F.lit(1000003)) / 1000003 < F.col("f")
+    decided.append(now.withColumn("f", F.when(drawn, 1.0).otherwise(0.0)))
     out = None
     for d in decided:
-        d = d.select("source", "doc_id", "size", "m", (F.col("k") + F.col("f").cast("long")).alias("copies"))
+        d = d.select("source", "doc_id", "size", "m", "k", (F.col("k") + F.col("f").cast("long")).alias("copies"))
         out = d if out is None else out.union(d)
     return out
 
 
+def settled(drawn: DataFrame, items: DataFrame, seed: int = 11) -> DataFrame:
+    """drawn with the words that a source's last draw missed given to or taken from one document of it.
+
+    The miss is at most that one document's size. Of the documents that can make up for it (one copy more
+    where words are missing, else one less) the one nearest to it in size changes, if the source comes nearer
+    its target by that; ties go to the smallest hash, and so at random. A minimum a source, no gathering.
+    """
+    want = items.groupBy("source").agg(F.sum((F.col("k") + F.col("f")) * F.col("size") * F.col("m")).alias("want"))
+    have = drawn.groupBy("source").agg(F.sum(F.col("copies") * F.col("size") * F.col("m")).alias("have"))
+    miss = want.join(have.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select("_s", (F.col("want") - F.col("have")).alias("_miss"))
+    miss = stage_table(miss, "misses")
+    at = F.col("source").eqNullSafe(F.col("_s"))
+    open_ = F.when(F.col("_miss") > 0, F.col("copies") == F.col("k")).otherwise(F.col("copies") > F.col("k"))
+    off = F.abs(F.abs("_miss") - F.col("size") * F.col("m"))
+    best = drawn.join(miss, at).where(open_ & (off < F.abs("_miss"))).groupBy("_s").agg(F.min(F.struct(off.alias("off"), F.xxhash64("doc_id", "size", F.lit(seed)).alias("h"), "doc_id", "size", F.signum("_miss").cast("long").alias("by"))).alias("x"))
+    best = stage_table(best.select("_s", F.col("x.doc_id").alias("_d"), F.col("x.size").alias("_n"), F.col("x.by").alias("_by")), "settled")
+    d = drawn.join(best, at & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_n")), "left")
+    return d.select("source", "doc_id", "size", "m", (F.col("copies") + F.coalesce("_by", F.lit(0))).alias("copies"))
+
+
 def plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, block: int = 256, seed: int = 11) -> DataFrame:
     """Copies of each document: source, doc_id, size (words), m (rows that repeat it), source_size, target, copies.
 
     Needs doc_id, text and source; other columns are ignored. Rows of equal doc_id, source and size share one
     decision and count m times. Null texts have size 0, a null source is a source. Documents without words
     take the whole part of their copies. Draws hash ids and sizes, so reruns agree. An empty table: no rows.
+    A source's words miss its target by less than the draw of its last document leaves (see settled).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
     rows = stage_table(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")), "sizes")
@@ -101,14 +123,16 @@ def plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS
     x = x.withColumn("x", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     x = x.withColumn("k", F.floor(F.col("x") + EPS)).withColumn("f", F.greatest(F.lit(0.0), F.col("x") - F.col("k")))
     open_ = (F.col("f") > EPS) & (F.col("size") > 0)
-    drawn = pivotal(x.where(open_).select("source", "doc_id", "size", "m", "k", "f"), block, seed)
+    items = x.where(open_).select("source", "doc_id", "size", "m", "k", "f")
+    drawn = settled(pivotal(items, block, seed), items, seed)
     whole = x.where(~open_).select("source", "doc_id", "size", "m", F.col("k").alias("copies"))
     return whole.union(drawn).join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """docs, each row as often as its copies say (none, once or twice), with all its columns."""
-    p = plan(docs, **how).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("copies").alias("_copies"))
-    rows = docs.withColumn("_words", n_words(F.col("text")))
-    rows = rows.join(p, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_words") == F.col("_n"))).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    """docs, each row as often as its copies say (none, once or twice), with all its columns, whatever their names."""
+    d, s, n, copies, words, copy = unused(docs, "_d", "_s", "_n", "_copies", "_words", "_copy")
+    p = plan(docs, **how).select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n), F.col("copies").alias(copies))
+    rows = docs.withColumn(words, n_words(F.col("text")))
+    rows = rows.join(p, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(words) == F.col(n))).where(F.col(copies) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(docs.columns)
