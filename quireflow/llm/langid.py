@@ -74,14 +74,15 @@ class CodeModel:
         return [self.langs[i] for i in cost.argmin(axis=1)], share.max(axis=1)
 
 
-def train(labelled: DataFrame, most_rows: int = 1500, bits: int = 12, steps: int = 150) -> CodeModel:
+def train(labelled: DataFrame, most_rows: int = 1500, bits: int = 12, steps: int = 150, most_langs: int = 500) -> CodeModel:
     """Fit on a bounded sample: at most about most_rows rows of (doc_id, text, lang), spread evenly over languages.
 
     The sample is the rows of smallest hash within each language, by a threshold from the language's
-    count, so that nothing is sorted or gathered but it. Texts without a letter teach nothing.
+    count, so that nothing is sorted or gathered but it. Texts without a letter teach nothing. Of dirty labels
+    the most_langs most frequent are learned (ties in code point order).
     """
     small_batches(labelled.sparkSession)
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # as many rows as languages
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     langs = sorted(sizes)
     each = max(1, most_rows // max(1, len(langs)))
     spans = F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(1.0, each / sizes[lang]))]) if langs else F.lit(None)
