@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 PARAGRAPH = r"[^\n]{1,160}[^\n.!?]{0,160}[.!?]?"
 #: Cells of a sketch: at first, and of each larger one after a failure.
 SIZES = (12, 48, 192, 768)
+#: Cells of a part's last retries, each with digests hashed anew, so that a failure before it says nothing.
+ANEW = (768, 3072)
 #: Digests that a part of a retried sketch should hold per side, and the deepest partition (4 to this power).
 PER_PART, DEEPEST = 2, 10
 
@@ -82,6 +84,7 @@ def with_likeness(df: DataFrame, name: str, a: str, b: str, cells_a: str, cells_
 
     First the fingerprints themselves are subtracted and peeled. If cells stay, larger sketches are built:
     one per part of the digests, as many parts as the larger set needs, and a part that fails grows alone.
+    The last two retries hash the digests anew; both fail for a part about once in 1e15 times, which is an error.
     Each retry is a column of its own, so that the plan evaluates it once.
     """
     m = SIZES[0]
@@ -92,8 +95,10 @@ def with_likeness(df: DataFrame, name: str, a: str, b: str, cells_a: str, cells_
     df = df.withColumn("_gaps", F.expr(f"transform(_pairs, p -> {differing('p.a', 'p.b', SIZES[0])})"))
     for m in SIZES[1:]:
         df = df.withColumn("_gaps", F.expr(f"if(exists(_gaps, g -> g < 0), transform(_gaps, (g, i) -> if(g >= 0, g, {_let('_pairs[i]', lambda p: differing(f'{p}.a', f'{p}.b', m))})), _gaps)"))
-    last = "size(array_except(_pairs[i].a, _pairs[i].b)) + size(array_except(_pairs[i].b, _pairs[i].a))"
-    df = df.withColumn("_gaps", F.expr(f"transform(_gaps, (g, i) -> if(g >= 0, g, {last}))"))
+    for salt, m in enumerate(ANEW, 1):
+        again = _let(f"struct(transform(_pairs[i].a, x -> xxhash64(x, {salt})) as a, transform(_pairs[i].b, x -> xxhash64(x, {salt})) as b)", lambda p: differing(f"{p}.a", f"{p}.b", m))
+        df = df.withColumn("_gaps", F.expr(f"if(exists(_gaps, g -> g < 0), transform(_gaps, (g, i) -> if(g >= 0, g, {again})), _gaps)"))
+    df = df.withColumn("_gaps", F.expr("if(exists(_gaps, g -> g < 0), raise_error('sketches of all sizes kept cells'), _gaps)"))
     df = df.withColumn("_gap", F.expr("if(_gap >= 0, _gap, aggregate(_gaps, 0, (t, g) -> t + g))"))
     both = f"(size({a}) + size({b}))"
     return df.withColumn(name, F.expr(f"if({both} = 0, 1D, cast({both} - _gap as double) / ({both} + _gap))")).drop("_gap", "_depth", "_pairs", "_gaps")
@@ -104,12 +109,12 @@ def encode(keys: str, cells: str) -> str:
     return f"concat('ibl{SIZES[0]}:', size({keys}), ':', array_join(transform({cells}, {c} -> concat(hex({c}.n), '.', hex({c}.k), '.', hex({c}.h))), ','))"
 
 
-def with_next(docs: DataFrame, rows_per_bucket: int = 4000, most_buckets: int = 65_536) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_bucket: int = 1000, most_buckets: int = 1 << 20, few: int = 65_536) -> DataFrame:
     """docs (doc_id, text) plus next_text: the text after it by descending doc_id, around the end; one text shuffle.
 
     Ids are cut into ranges at quantiles, which are halved evenly until a range has few rows; a range's first
     row is also given to the range before it. Null ids come last; ties are ordered by text, nulls first.
-    At most most_buckets first ids are broadcast (about 1 MB).
+    Of `few` ranges or less (about 1 MB) the first ids are broadcast; at most most_buckets are made.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n, cuts = d.select(F.count("*"), F.percentile_approx("doc_id", [i / 64 for i in range(65)], 2000)).first()
@@ -123,7 +128,7 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 4000, most_buckets: int =
     order = W.orderBy(F.col("bucket").desc())
     heads = d.groupBy("bucket").agg(F.max("doc_id").alias("head")).withColumn("prev", F.lag("bucket").over(order)).withColumn("last", F.min("bucket").over(W.partitionBy()))
     heads = heads.select(F.col("bucket").alias("own"), "head", F.coalesce("prev", "last").alias("goes"))
-    guests = d.join(F.broadcast(heads), (F.col("bucket") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("goes").alias("bucket"), F.lit(True).alias("guest"))
+    guests = d.join(F.broadcast(heads) if each * (len(cuts) + 1) <= few else heads, (F.col("bucket") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("goes").alias("bucket"), F.lit(True).alias("guest"))
     rows = d.withColumn("guest", F.lit(False)).union(guests)
     w = W.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
     return rows.withColumn("next_text", F.lead(F.coalesce("text", F.lit(""))).over(w)).where("not guest").select("doc_id", "text", "next_text")
