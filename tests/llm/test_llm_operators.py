@@ -1,5 +1,6 @@
 """The operators of the llm folder against brute force on small tables, with awkward rows."""
 
+import gzip
 import hashlib
 import random
 import zipfile
@@ -110,6 +111,16 @@ def test_languages(spark, odd, empty):
     assert min((a != b).sum() for i, a in enumerate(code) for b in code[:i]) >= 8
 
 
+def test_languages_held_out(spark):
+    """Accuracy on documents that taught nothing, and a few hundred dirty labels among them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    got = langid.identify(docs.where(langid.held_out()), langid.train(langid.learnable(docs))).where("lang is not null and lang_pred <> 'und'")
+    right, n = got.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 200 and right >= 0.98 * n
+    dirty = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("ka lo mi").alias("text"), F.concat(F.lit("x"), "id").alias("lang"))
+    assert len(langid.train(dirty.union(dirty.limit(5)), most_rows=50, most_langs=4, steps=2).langs) == 4
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "u", "<p>x"), (2, None, "<p>x"), (3, "v\r\nX: y", None), (4, "w", ""), (5, "z", "é" * 5000), (5, "z", "é" * 5000), (None, "n", "n")]
     for zip64 in (False, True):
@@ -122,6 +133,8 @@ def test_warc(spark, tmp_path):
         for r in made.collect():
             with zipfile.ZipFile(r["path"].removeprefix("file://")) as z:
                 assert z.testzip() is None and {i.compress_type for i in z.infolist()} == {0}
+                head = gzip.decompress(z.read(warc.DATA)).split(b"\r\n\r\n")[0]
+                assert all(x in head for x in (b"WARC/1.1\r\n", b"\r\nWARC-Date: ", b"\r\nContent-Type: application/http", b"\r\nContent-Length: "))
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -316,9 +329,33 @@ def test_mixing(spark, odd, empty):
     assert len(p) == 3000 and all(abs(taken[s] - target[s]) <= 60 for s in names)
     assert sorted(map(tuple, p), key=str) == sorted(map(tuple, mixing.plan(docs, block=32).collect()), key=str)
     assert mixing.mix(docs, block=32).count() == sum(r["copies"] for r in p)
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in names)  # after the last draw is settled
     assert mixing.plan(empty).count() == 0 and mixing.plan(odd).agg(F.sum("m")).first()[0] == len(ODD)
 
 
+def test_mixing_of_few_documents(spark):
+    """A source of one document, of equal ones, and one with a document that holds most words."""
+    rows = [(0, "w " * 70, "a")] + [(i, "w " * 10, "b") for i in range(1, 42)] + [(i, "w " * (400 if i == 60 else 7), "c") for i in range(50, 90)]
+    p = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    miss, most = Counter(), {}
+    for r in p:
+        miss[r["source"]] += r["copies"] * r["size"]
+        most[r["source"]] = r["target"]
+    assert len(p) == len(rows) and all(0 <= r["copies"] <= 2 for r in p)
+    assert abs(miss["a"] - most["a"]) <= 70 and abs(miss["b"] - most["b"]) <= 10 and abs(miss["c"] - most["c"]) <= 200
+
+
+def test_private_columns_give_way(spark):
+    """Input columns of the names that the operators use inside come out as they went in."""
+    names = ["_d", "_s", "_n", "_copies", "_words", "_copy", "_lines", "_cuts"]
+    rows = [(i, "a b c\nd e f\ng h i\nj k l", "s", *(k * 10 + i for k in range(len(names)))) for i in range(3)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    for out in (mixing.mix(df), lines.dedup_lines(df).select(df.columns)):
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert [r[n] for n in names] == [k * 10 + r["doc_id"] for k in range(len(names))]
+
+
 def test_fingerprints(spark, odd, empty):
     docs = corpus()[:30] + [(100 + i, t) for i, t in enumerate((None, "", "one", "one", "x. " * 3000))]
     got = {r["doc_id"]: r for r in fingerprints.compare_versions(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
@@ -336,6 +373,9 @@ def test_fingerprints(spark, odd, empty):
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
         assert abs(r["near_edited"] - near(t, e)) < 1e-9 and abs(r["near_next"] - near(t, x)) < 1e-9
     assert got[102]["fingerprint"] == got[103]["fingerprint"] and got[100]["fingerprint"] == got[101]["fingerprint"]
+    for few in (0, 10**6):  # first ids joined and broadcast
+        next_ = fingerprints.with_next(spark.createDataFrame(docs, "doc_id long, text string"), rows_per_bucket=3, few=few).collect()
+        assert {r["doc_id"]: r["next_text"] for r in next_} == {d: order[(i + 1) % len(order)][1] or "" for i, (d, _) in enumerate(order)}
     assert fingerprints.compare_versions(odd).count() == len(ODD) and fingerprints.compare_versions(empty).count() == 0
 
 
