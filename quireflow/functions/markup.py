@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
+#: Elements without an end tag; elements whose text is a unit; elements kept as they are.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {"h1", "h2", "h3", "h4", "p", "li", "th", "td", "caption", "figcaption", "summary"}
 OPAQUE = {"img", "math", "svg"}
@@ -30,6 +31,15 @@ def count_tag(h: Column, *names: str) -> Column:
     return F.size(F.filter(tag_signature(h), lambda t: t.isin(*names))).cast("long")
 
 
+#: What counts as an equation.
+EQUATION = r"""(?i)<math\b|<figure\b[^>]*\bclass=["'](?:[^"']*\s)?(?:IMGE|IMGD)(?=[\s"'])|<[a-z][a-z0-9]*\b[^>]*\bclass=["'](?:[^"']*\s)?math(?=[\s"'])"""
+
+
+def count_equations(h: Column) -> Column:
+    """How many elements are formulas: by name, by class, or as a figure that stands for one."""
+    return F.regexp_count(shown(h), F.lit(EQUATION)).cast("long")
+
+
 class _Tokens(HTMLParser):
     """(kind, name or text, attributes, place, end) in document order."""
 
@@ -143,6 +153,70 @@ def valid_value(source: str, tokens, value) -> bool:
     return isinstance(value, str) and value.strip() != "" and structure(source) == structure(value) and all(value.count(t) == 1 for t in tokens)
 
 
+def valid_value_of(source: Column, tokens: Column, value: Column) -> Column:
+    """valid_value() of rows: source and value are HTML, tokens an array (null: none); a null value is not valid."""
+    def run(s: pd.Series, t: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([valid_value(a or "", () if b is None else b, c) for a, b, c in zip(s, t, v)])
+
+    return F.pandas_udf(run, "boolean")(source, tokens, value)
+
+
+#: Elements that count within their document, and elements inside which no page may end.
+COUNTED = {"h1", "h2", "h3", "h4", "h5", "p", "figcaption", "th", "td"}
+UNCUT = {"p", "li", "td", "th", "figcaption"}
+
+
+def numbered(html: str | None) -> list[tuple[str, int, str, str]]:
+    """(kind, number, tag, inner HTML) of elements with text: e for COUNTED, l for list items, c for captions.
+
+    e counts all COUNTED elements, empty ones too; l and c count those with text.
+    """
+    html, out, n = html or "", [], {"e": 0, "l": 0, "c": 0}
+    for x in nodes(html):
+        kind = "e" if x.name in COUNTED else {"li": "l", "caption": "c"}.get(x.name)
+        if kind is None:
+            continue
+        inner = html[x.inner : x.close]
+        text = re.sub(r"<[^>]*>", "", re.sub(r"(?s)<!--.*?-->", "", inner)).strip()
+        n[kind] += 1 if kind == "e" or text else 0
+        if text:
+            out.append((kind, n[kind], x.name, inner))
+    return out
+
+
+def numbered_of(h: Column) -> Column:
+    """array<struct<kind, number, tag, source>> of numbered(), in Arrow batches."""
+    def run(h: pd.Series) -> pd.Series:
+        return h.map(lambda x: [{"kind": k, "number": n, "tag": t, "source": s} for k, n, t, s in numbered(x)])
+
+    return F.pandas_udf(run, "array<struct<kind: string, number: long, tag: string, source: string>>")(h)
+
+
+def page_cut(html: str, end: int) -> tuple[str, bool]:
+    """(markup up to the first mark of a page past end, whether that mark is inside an element of UNCUT).
+
+    The mark goes; elements open at it are closed. Without such a mark, the markup is whole.
+    """
+    all_ = nodes(html)
+    for x in all_:
+        m = re.fullmatch(r"pg_([0-9]+)", x.attrs.get("id") or "")
+        if m and int(m[1]) > end:
+            up, k = [], x.parent
+            while k >= 0:
+                up.append(all_[k].name)
+                k = all_[k].parent
+            return html[: x.at] + "".join(f"</{n}>" for n in up), bool(UNCUT & set(up))
+    return html, False
+
+
+def cut_at_page(h: Column, end: Column) -> Column:
+    """struct<kept, inside> of page_cut(), in Arrow batches."""
+    def run(h: pd.Series, e: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([page_cut(x or "", int(n)) for x, n in zip(h, e)], columns=["kept", "inside"])
+
+    return F.pandas_udf(run, "kept string, inside boolean")(h, end)
+
+
 def elements(html: str) -> list[tuple[int, str, str]]:
     """(index among all candidates, tag, inner HTML) of block elements with text outside other blocks (a p in a figcaption counts)."""
     out, stack, index = [], [], 0

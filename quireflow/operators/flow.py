@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 from collections.abc import Callable
 from decimal import Decimal
@@ -144,9 +146,17 @@ def scope_characters(chars: Column, part: Column, whole: Column) -> Column:
     return F.greatest(F.lit(1), share.cast("long"))
 
 
-def chunk_key(chunk: Column, model: str, instructions: str = "", version: int = 3) -> Column:
-    """Key of a chunk's result: its array of (id, source), the model and the rules; its neighbours are no part of it."""
-    return F.sha2(F.to_json(F.struct(chunk.alias("chunk"), F.lit(instructions).alias("instructions"), F.lit(model).alias("model"), F.lit(version).alias("version"))), 256)
+def canonical(glossary: dict[str, str] | None) -> str:
+    """A glossary as one string, whatever the order of its terms."""
+    return json.dumps(glossary or {}, ensure_ascii=False, sort_keys=True)
+
+
+def chunk_key(chunk: Column, model: str, instructions: str = "", version: int = 3, glossary: dict[str, str] | None = None) -> Column:
+    """Key of a chunk's result: what it holds, the model, rules and glossary; its neighbours are no part of it.
+
+    A chunk of elements is an array of (id, source) at version 3, a chunk of pages its marked text at version 2.
+    """
+    return F.sha2(F.to_json(F.struct(chunk.alias("chunk"), F.lit(canonical(glossary)).alias("glossary"), F.lit(instructions).alias("instructions"), F.lit(model).alias("model"), F.lit(version).alias("version"))), 256)
 
 
 def audit_key(pairs: DataFrame, selected: DataFrame, model: str, rules: str, key: str | None = None) -> DataFrame:
@@ -162,17 +172,29 @@ def audit_key(pairs: DataFrame, selected: DataFrame, model: str, rules: str, key
     return d
 
 
-def memory_key(source: Column, model: str, instructions: str = "", version: int = 4) -> Column:
-    return F.sha2(F.to_json(F.struct(F.lit(instructions).alias("instructions"), F.lit(model).alias("model"), F.lit(version).alias("pipeline"), source.alias("source"))), 256)
+def memory_key(source: Column, model: str, instructions: str = "", version: int = 4, glossary: dict[str, str] | None = None) -> Column:
+    """Key of a remembered value: its source, the model, rules, glossary and version; change one, and it is another."""
+    return F.sha2(F.to_json(F.struct(F.lit(canonical(glossary)).alias("glossary"), F.lit(instructions).alias("instructions"), F.lit(model).alias("model"), F.lit(version).alias("pipeline"), source.alias("source"))), 256)
 
 
-def lookup(items: DataFrame, memory: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits with translation, pending) by memory_key."""
-    return items.join(memory.select("memory_key", "translation"), "memory_key"), items.join(memory, "memory_key", "left_anti")
+def lookup(items: DataFrame, memory: DataFrame, valid: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(hits with translation, pending) of items (memory_key, ..), each row in one of the two.
+
+    A hit's value must be valid, a condition of it and the items' columns; else the row is pending.
+    Of a key that the memory holds more than once one value counts, the newest if there is created_at, else the
+    greatest. Null keys and null values are no hits.
+    """
+    held = F.max(F.struct(*[c for c in ("created_at", "translation") if c in memory.columns]))["translation"]
+    one = memory.where("translation is not null").groupBy("memory_key").agg(held.alias("translation"))
+    both = items.join(one, "memory_key", "left")
+    hit = F.col("translation").isNotNull()
+    if valid is not None:
+        both = both.withColumn("translation", F.when(hit & F.coalesce(valid(F.col("translation")), F.lit(False)), F.col("translation")))
+    return both.where(hit), both.where(~hit).drop("translation")
 
 
 def upsert(memory: DataFrame, new: DataFrame) -> DataFrame:
-    """Of each key the newest row; new rows win ties."""
+    """Of each key the newest row; new rows win ties, then the greater value; null times are the oldest."""
     both = memory.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     columns = [c for c in both.columns if c not in ("memory_key", "_new")]
     return both.groupBy("memory_key").agg(F.max(F.struct("created_at", "_new", *[c for c in columns if c != "created_at"])).alias("x")).select("memory_key", *[F.col(f"x.{c}").alias(c) for c in columns])
@@ -222,16 +244,39 @@ def toc_slice(toc: DataFrame, spine: DataFrame, n: int) -> DataFrame:
 
 
 def ensure_checkpoints(spark) -> None:
-    """The folder that the session names; only where it names none, one of our own (tests)."""
+    """The folder that the session names; one of our own only where it names none and all runs in one process."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp())
+
 
+def accepted(affected: DataFrame, answer: DataFrame, valid: Callable[[Column], Column] | None = None, batch: str | None = None) -> DataFrame:
+    """(id, value) of the answers (id, value) to affected rows that are whole, batch by batch (all, without one).
 
-def quality_rounds(pairs: DataFrame, review: Callable[[DataFrame], DataFrame], repair: Callable[[DataFrame], DataFrame], rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    A batch's answer holds each of its ids once and no other, each value not blank and valid, a condition of
+    it and the affected rows' columns. One that breaks this leaves the batch as it was. An answer's id
+    that no batch knows breaks them all, as nobody can say whose it is.
+    """
+    ensure_checkpoints(affected.sparkSession)
+    a = answer.groupBy("id").agg(F.count("*").alias("_n"), F.min("value").alias("value"))
+    key = F.col(batch) if batch else F.lit(0)
+    both = affected.withColumn("_batch", key).withColumn("_asked", F.lit(True)).join(a, "id", "full_outer")
+    ok = (F.col("_n") == 1) & (F.trim("value") != "") & (F.lit(True) if valid is None else F.coalesce(valid(F.col("value")), F.lit(False)))
+    both = both.withColumn("_ok", F.coalesce(F.col("_asked") & ok, F.lit(False))).checkpoint()
+    if not both.where("_asked is null").isEmpty():
+        return both.select("id", "value").limit(0)
+    whole = both.groupBy("_batch").agg(F.bool_and("_ok").alias("_w")).where("_w").select(F.col("_batch").alias("_b"))
+    return both.join(whole, F.col("_batch").eqNullSafe(F.col("_b")), "left_semi").select("id", "value")
+
+
+def quality_rounds(pairs: DataFrame, review: Callable[[DataFrame], DataFrame], repair: Callable[[DataFrame], DataFrame], rounds: int = 2, valid: Callable[[Column], Column] | None = None, batch: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, passes): audit, repair what has problems, and audit the repaired ones again, at most `rounds` times.
 
-    review: pairs -> (id, kind); repair: pairs -> (id, value). Problems that no repair touched stay open.
-    Each round is cut by checkpoint(), as calls must not be made twice.
+    review: pairs -> (id, kind); repair: pairs -> (id, value). A repair counts as accepted() says, whole or not
+    at all; without any the rounds end. Problems that no repair touched stay open. Each round is cut by
+    checkpoint(), as calls must not be made twice. ids are unique; batch names a column of pairs.
     """
     spark, log = pairs.sparkSession, []
     ensure_checkpoints(spark)
@@ -242,7 +287,10 @@ def quality_rounds(pairs: DataFrame, review: Callable[[DataFrame], DataFrame], r
         ids = open_.where("id is not null").select("id").distinct()
         if ids.isEmpty():
             break
-        new = repair(pairs.join(ids, "id", "left_semi")).where(F.trim("value") != "").checkpoint()
+        affected = pairs.join(ids, "id", "left_semi")
+        new = accepted(affected, repair(affected), valid, batch).checkpoint()
+        if new.isEmpty():
+            break
         pairs = pairs.join(new.withColumnRenamed("value", "_v"), "id", "left").withColumn("target", F.coalesce("_v", "target")).drop("_v").checkpoint()
         fresh = review(pairs.join(new, "id", "left_semi"))
         open_ = open_.join(new, "id", "left_anti").unionByName(fresh).checkpoint()

@@ -6,9 +6,10 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from quireflow import __main__ as main_module
 from quireflow.functions import markup as M
 from quireflow.functions import text as X
-from quireflow.operators import edition, flow, jobs
+from quireflow.operators import book, edition, flow, jobs, run
 from quireflow.sources import epub
 from quireflow.streaming.usage import usage_totals
 
@@ -236,3 +237,143 @@ def test_epub_checks(spark):
     assert (r["same"], r["structure"], r["links"], r["cells"]) == (False, False, False, False)
     assert tuple(epub.page_counts(entries).first()) == ("b", None)
     assert epub.excerpt(data, ["OPS/c2.xhtml", "OPS/none"]) == ["OPS/c2.xhtml"]
+
+
+def keyed(rows, spark, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_chunk_files(spark, tmp_path):
+    p = keyed([(1, 1, "aa"), (1, 2, ""), (1, 3, None), (2, 1, "b" * 90)], spark, "doc_id long, page int, text string")
+    chunks, manifest = book.chunked_pages(p, 80)
+    got = {(r["doc_id"], r["chunk"]): r["text"] for r in chunks.collect()}
+    assert got[1, 1] == "<!-- PAGINA_FISICA_001 -->\n\naa\n" and got[2, 1].endswith("b" * 90 + "\n") and "sem texto" in got[1, 2]
+    assert {(r["doc_id"], r["pages"]) for r in manifest.collect()} == {(1, 3), (2, 1)}
+    book.write_chunks(chunks, manifest, f"file://{tmp_path}")
+    back = spark.read.text(f"file://{tmp_path}/chunks", wholetext=True)
+    assert sorted(r["value"].strip("\n") for r in back.collect()) == sorted(t.strip("\n") for t in got.values())
+    assert spark.read.json(f"file://{tmp_path}/manifest").count() == 2
+    assert book.chunk_limit(100) == 5000 and book.chunk_limit(3000) == 6000 and book.chunk_limit(10**6) == 12000
+
+
+def test_glossary(spark, tmp_path):
+    (tmp_path / "b.json").write_text('{"loss": "perda"}')
+    assert book.load_glossary(spark, f"file://{tmp_path}/a.json", f"file://{tmp_path}/b.json") == {"loss": "perda"}
+    assert book.load_glossary(spark, f"file://{tmp_path}/a.json") == {}
+    key = lambda **k: one(spark, flow.memory_key(F.col("t"), "m", **k), t="x")
+    assert key() == key(glossary={}) and key(glossary={"a": "b", "c": "d"}) == key(glossary={"c": "d", "a": "b"}) != key()
+
+
+def test_outputs(spark):
+    """Absent, extra and repeated pages, a folio, and a tail that the next page repeats."""
+    tail = "alpha beta gamma delta epsilon zeta eta theta iota"
+    mark = "<!-- PAGINA_FISICA_%03d -->"
+    blocks = [(1, 1, f"{mark % 1}\none start {tail}\n12\n"), (1, 2, f"{mark % 2}\n{tail} goes on\n{mark % 9}\nx"), (2, 1, None)]
+    source = [(1, i, "s" * 60) for i in (1, 2, 3)] + [(2, 1, None)]
+    out = book.outputs(keyed(blocks, spark, "doc_id long, block int, text string"), keyed(source, spark, "doc_id long, page int, text string"))
+    pages = {(r["doc_id"], r["page"]): r["body"] for r in out.pages.collect()}
+    assert pages == {(1, 1): "one start", (1, 2): f"{tail} goes on", (1, 3): "", (2, 1): ""}
+    assert [tuple(r) for r in out.corrections.collect()] == [(1, 1, tail)]
+    r = {x["doc_id"]: x for x in out.report.collect()}
+    assert (r[1]["missing"], r[1]["extra"], r[1]["untranslated"], r[1]["overlaps"], r[1]["status"]) == ([3], [9], [3], 0, "review")
+    assert (r[2]["ratio"], r[2]["missing"], r[2]["warnings"]) == (0.0, [1], ["untranslated", "ratio", "pages"])
+    text = {x["doc_id"]: x["text"] for x in out.text.collect()}
+    assert text[1] == f"{mark % 1}\n\none start\n\n{mark % 2}\n\n{tail} goes on\n\n{mark % 3}\n" and text[2] == f"{mark % 1}\n"
+    assert "<p>one start</p>" in {x["doc_id"]: x["html"] for x in out.html.collect()}[1]
+
+
+def test_page_cut(spark):
+    html = '<div><p>a</p><section><span id="pg_4"></span><p>b</p><span id="pg_5"></span><p>c</p></section></div>'
+    assert M.page_cut(html, 4) == ('<div><p>a</p><section><span id="pg_4"></span><p>b</p></section></div>', False)
+    assert M.page_cut(html, 9) == (html, False)
+    assert M.page_cut('<p>x <i><a id="pg_7"></a>y</i></p>', 6) == ("<p>x <i></i></p>", True)
+    d = keyed([("k", 1, "<p>one</p>"), ("k", 2, html), ("k", 3, "<p>three</p>"), ("l", 1, None), ("m", 1, '<p><a id="pg_9"></a></p>')], spark, "book string, pos int, html string")
+    got = {(r["book"], r["pos"]): (r["html"], r["error"]) for r in book.cut_book(d, F.lit(3), strict=False).collect()}
+    assert set(got) == {("k", 1), ("k", 2), ("l", 1), ("m", 1)} and got["k", 2] == ("<div><p>a</p><section></section></div>", None)
+    assert got["m", 1][0] == '<p><a id="pg_9"></a></p>' and "inside" in got["m", 1][1]
+    with pytest.raises(Exception, match="inside an element"):
+        book.cut_book(d, F.lit(3)).collect()
+
+
+def test_chapter_guard(spark):
+    toc = keyed([("a", "d1", "Chapter 1"), ("a", "d1", "Chapter 2"), ("b", "d1", "1. One"), ("b", "d2", "x"), ("c", "d1", "Chapter 1"), ("c", "d2", "Chapter 2"), ("d", None, None)], spark, "book string, doc string, label string")
+    got = {r["book"]: r["error"] for r in book.chapter_errors(toc, F.lit(2)).collect()}
+    assert got == {"a": "two chapters in one document", "b": "fewer chapters than wanted", "c": None, "d": "fewer chapters than wanted"}
+    with pytest.raises(ValueError, match="two chapters"):
+        book.require_chapters(toc, 2)
+    book.require_chapters(toc.where("book = 'c'"), 2)
+
+
+def test_numbered_elements(spark):
+    a = "<h1>t</h1><p></p><ul><li><p>x</p></li><li> </li></ul><table><caption>c</caption><tr><td>1</td></tr></table>"
+    d = keyed([("k", 1, a), ("k", 2, a), ("l", 1, None)], spark, "book string, ord int, html string")
+    got = [(r["id"], r["tag"], r["source"]) for r in book.numbered_elements(d).orderBy("id").collect()]
+    assert got == [("d01c0001", "caption", "c"), ("d01e0001", "h1", "t"), ("d01e0003", "p", "x"), ("d01e0004", "td", "1"), ("d01l0001", "li", "<p>x</p>"), ("d02c0002", "caption", "c"), ("d02e0001", "h1", "t"), ("d02e0003", "p", "x"), ("d02e0004", "td", "1"), ("d02l0002", "li", "<p>x</p>")]
+    h = '<figure><figcaption><span class="object-label">1</span></figcaption></figure><figure><figcaption>x</figcaption></figure><table><caption><b class="x object-label">1</b></caption></table>'
+    assert one(spark, book.caption_warnings(F.col("h")), h=h) == ["figures: 1"]
+    assert one(spark, M.count_equations(F.col("h")), h='<math></math><span class="a math b"><i class="mathx"></i></span><figure class="IMGE"></figure><p class=\'math\'>') == 4
+
+
+def test_answers_and_memory(spark):
+    expected = keyed([(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (3, 0, "d"), (4, 0, "e")], spark, "batch int, ord int, id string")
+    answers = keyed([(1, '```json\n{"a":"x","b":"y"}\n```'), (2, '{"c":" "}'), (3, '{"d":"1","q":"2"}'), (4, "no")], spark, "batch int, json string")
+    assert [tuple(r) for r in book.parsed_answers(answers, expected).orderBy("id").collect()] == [(1, "a", "x"), (1, "b", "y")]
+    assert book.parsed_answers(keyed([(1, '{"b":"y","a":"x"}')], spark, "batch int, json string"), expected).count() == 0
+    assert {r["id"]: r["kinds"] for r in book.known_problems(keyed([(2, "a", "n"), (1, "a", "f"), (0, "zz", "n")], spark, "ord int, id string, kind string"), expected).collect()} == {"a": ["f", "n"]}
+    items = keyed([("k1", "10"), ("k2", "20"), ("k3", "30"), (None, "40")], spark, "memory_key string, source string")
+    memory = keyed([("k1", "10 a", 1), ("k1", "10 b", 2), ("k2", "99", 1), ("k3", None, 1), (None, "40", 1)], spark, "memory_key string, translation string, created_at int")
+    hits, pending = flow.lookup(items, memory, lambda v: X.numbers(F.col("source")) == X.numbers(v))
+    assert [tuple(r) for r in hits.collect()] == [("k1", "10", "10 b")] and sorted(r["source"] for r in pending.collect()) == ["20", "30", "40"]
+    pairs = keyed([("k5", "v", "approved"), ("k6", "w", "approved")], spark, "memory_key string, target string, status string")
+    assert run.remember(memory, pairs, F.lit(9)).where("memory_key in ('k5', 'k6')").count() == 2
+    assert run.remember(memory, pairs.union(keyed([("k7", "v", "review")], spark, pairs.schema)), F.lit(9)) is memory
+    assert book.block_gaps(keyed([(1, "a"), (1, "b"), (2, "a")], spark, "k int, block string"), keyed([(1, "a"), (2, "a")], spark, "k int, block string"), "k").collect()[0].asDict() == {"k": 1, "sources": 2, "targets": 1}
+
+
+def test_repairs_count_whole(spark):
+    """A batch with an invalid, missing or repeated answer stays as it was; an unknown id breaks them all."""
+    rows = [(1, "a", "s1"), (2, "a", "s2"), (3, "b", "s3"), (4, "b", "s4"), (5, "c", "s5"), (6, None, "s6")]
+    affected = keyed(rows, spark, "id int, batch string, source string")
+    good = [(1, "x1"), (2, "x2"), (3, "x3"), (4, " "), (5, "x5"), (5, "y5"), (6, "x6")]
+    answer = lambda extra=(): keyed([*good, *extra], spark, "id int, value string")
+    take = lambda a, **k: sorted(tuple(r) for r in flow.accepted(affected, a, **k).collect())
+    assert take(answer(), batch="batch") == [(1, "x1"), (2, "x2"), (6, "x6")] and take(answer()) == []
+    assert take(answer([(9, "z")]), batch="batch") == []
+    same = lambda v: F.right(v, F.lit(1)) == F.right("source", F.lit(1))
+    assert take(answer(), batch="batch", valid=same) == [(1, "x1"), (2, "x2"), (6, "x6")]
+    assert take(answer(), batch="batch", valid=lambda v: v == "x1") == []
+
+
+def test_element_job(spark):
+    """Values from an earlier chunk, the memory and three rounds; a repair; the memory after an approved job."""
+    items = keyed([("k", i, f"e{i}", f"text {i}") for i in range(40)], spark, "book string, ord int, id string, source string")
+    config = jobs.JobConfig("s", "o", chunk_chars=1)
+    keyed_items = run.with_chunk_keys(items, 5000, config.model)
+    assert keyed_items.select("chunk_id").distinct().count() == 1
+    memory = items.where("ord % 4 = 0").select(flow.memory_key(F.col("source"), config.model).alias("memory_key"), F.concat(F.lit("m "), F.col("ord")).alias("translation"), F.lit(1).alias("created_at"))
+    valid = lambda v: X.numbers(v) == X.numbers(F.col("source"))
+    answer = lambda p, name: p.select("id", F.when((F.col("ord") % 4 != 3) | (F.lit(name) == "single"), F.concat(F.lit("t "), "ord")).alias("target"))
+    bad = lambda p: p.select("id", F.when(F.col("target").startswith("t 5"), "style").alias("kind"))
+    fix = lambda p: p.select("id", F.concat(F.lit("fixed "), "ord").alias("value"))
+    job = run.run_elements(items, config, answer, bad, fix, valid, memory=memory, created_at=F.lit(2))
+    got = {r["ord"]: (r["target"], r["origin"], r["status"]) for r in job.pairs.collect()}
+    assert got[4] == ("m 4", "memory", "approved") and got[3] == ("t 3", "single", "approved") and got[1][1] == "first"
+    assert job.report.first()["status"] == "approved" and job.memory.count() == 40
+    results = job.pairs.select("chunk_key", "id", "target")
+    again = run.run_elements(items, config, lambda *_: pytest.fail("asked"), bad, fix, valid, results=results, memory=job.memory, created_at=F.lit(3))
+    assert {r["origin"] for r in again.pairs.collect()} == {"chunk"}
+    half = run.translated(keyed_items.withColumn("memory_key", F.lit("")), answer, valid, results=results.where("id <> 'e7'"))
+    assert {r["origin"] for r in half.collect()} == {"first", "single"}  # a chunk comes back whole or not at all
+    with pytest.raises(ValueError, match="no valid translation"):
+        run.run_elements(items, config, lambda p, n: p.select("id", F.lit("").alias("target")), bad, fix, valid)
+
+
+def test_page_job_and_reports(spark, tmp_path):
+    main_module.self_test(spark)
+    spark.createDataFrame([(1, i, f"page {i} has words") for i in range(1, 6)], "doc_id long, page int, text string").write.parquet(str(tmp_path / "in"))
+    main_module.translate(spark, main_module.parser().parse_args(["translate", "--input", str(tmp_path / "in"), "--output", f"file://{tmp_path}/out", "--pages", "2-3", "--concurrency", "9"]))
+    assert {r["page"]: r["body"] for r in spark.read.json(f"file://{tmp_path}/out/pages").collect()} == {2: "page 2 has words", 3: "page 3 has words"}
+    assert spark.read.json(f"file://{tmp_path}/out/report").first()["status"] == "approved"
+    calls = keyed([("gpt-5.6-luna", 1000, 0, 100), ("x", 1, 0, 1)], spark, "model string, input_tokens long, cached_input_tokens long, output_tokens long")
+    got = {r["model"]: (r["usd"], r["brl"]) for r in run.cost_report(calls).collect()}
+    assert got == {"gpt-5.6-luna": (Decimal("0.000320"), Decimal("0.00")), "x": (None, None)}
