@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 BLANK = " \n\t\r"
 #: Fixed value: the page marker of exchanged files.
 MARKER = r"<!--\s*PAGINA_FISICA_([0-9]{3,5})\s*-->"
+#: A printed page number at a text's end; a number; a chapter's label; number words.
 FOLIO = r"(?i)\n\s*([ivxlcdm]+|[0-9]{1,4})\s*$"
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*%?"
 #: Words whose hits mark a text left in the source language; the report counts two more.
@@ -76,10 +77,15 @@ def number_words(t: Column) -> Column:
 
 def same_numbers(source: Column, target: Column) -> Column:
     """Equal multisets, where each number word of the source may cancel one surplus copy in the target."""
-    s, t, w = numbers(source), numbers(target), number_words(source)
     n = lambda a, v: F.size(F.filter(a, lambda x: x == v))
-    left = lambda v: F.greatest(F.least(n(t, v), n(s, v)), n(t, v) - n(w, v))
-    return F.when(s == t, True).otherwise(F.forall(F.array_distinct(F.concat(s, t)), lambda v: left(v) == n(s, v)))
+
+    def same(s: Column, t: Column, w: Column) -> Column:
+        left = lambda v: F.greatest(F.least(n(t, v), n(s, v)), n(t, v) - n(w, v))
+        return F.forall(F.array_distinct(F.concat(s, t)), lambda v: left(v) == n(s, v))
+
+    # bound as lambda variables, so that each is computed once, and number words only where numbers differ
+    both = F.array(F.struct(numbers(source).alias("s"), numbers(target).alias("t")))
+    return F.transform(both, lambda x: F.when(x["s"] == x["t"], True).otherwise(F.transform(F.array(number_words(source)), lambda w: same(x["s"], x["t"], w))[0]))[0]
 
 
 def html_escape(t: Column) -> Column:

@@ -50,17 +50,20 @@ def dehyphenate(pages: DataFrame, key: str = "doc_id", ord_: str = "page") -> Da
 
 
 def longest_blocks(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Longest common run of tokens of `lhs` and `rhs` (arrays): key, size, a, b (0-based); earliest in lhs, then rhs.
+    """Longest common run of tokens of `lhs` and `rhs` (arrays): key, size, a, b (0-based), n_lhs; earliest in lhs, then rhs.
 
-    Gaps and islands: equal tokens at (i, j) lie on diagonals; a run is consecutive i on one diagonal.
+    A row per row with a common token; null tokens and arrays have none. It is found in the row, without a
+    shuffle: per token of lhs the lengths of the runs that end there at each token of rhs, by those of the token
+    before. Work is size(lhs) * size(rhs), meant for short arrays.
     """
-    l = pairs.select(key, F.posexplode("lhs").alias("i", "t"))
-    r = pairs.select(key, F.posexplode("rhs").alias("j", "t"))
-    m = l.join(r, [key, "t"]).withColumn("d", F.col("i") - F.col("j"))
-    m = m.withColumn("g", F.col("i") - F.row_number().over(W.partitionBy(key, "d").orderBy("i")))
-    runs = m.groupBy(key, "d", "g").agg(F.min("i").alias("a"), F.min("j").alias("b"), F.count("*").alias("size"))
-    best = runs.groupBy(key).agg(F.min(F.struct((-F.col("size")).alias("s"), "a", "b")).alias("x"))
-    return best.select(key, (-F.col("x.s")).alias("size"), F.col("x.a").cast("long").alias("a"), F.col("x.b").cast("long").alias("b"))
+    ends = "transform(rhs, (t, j) -> if(coalesce(t = get(lhs, i), false), if(j = 0, 0, get(s.p, j - 1)) + 1, 0))"
+    # of equal lengths the largest struct has the smallest a, then b
+    best = "array_max(transform(c, (n, j) -> struct(n as n, n - 1 - i as a, n - 1 - j as b)))"
+    step = f"(s, i) -> transform(array({ends}), c -> named_struct('p', c, 'best', greatest(s.best, {best})))[0]"
+    start = "named_struct('p', array_repeat(0, size(rhs)), 'best', struct(0 as n, 0 as a, 0 as b))"
+    found = F.expr(f"if(size(lhs) > 0 and size(rhs) > 0, aggregate(sequence(0, size(lhs) - 1), {start}, {step}).best, null)")
+    d = pairs.select(key, found.alias("x"), F.size("lhs").alias("n_lhs")).where("x.n > 0")
+    return d.select(key, F.col("x.n").cast("long").alias("size"), (-F.col("x.a")).cast("long").alias("a"), (-F.col("x.b")).cast("long").alias("b"), "n_lhs")
 
 
 def remove_boundary_overlaps(pages: DataFrame, key: str = "doc_id", ord_: str = "page") -> DataFrame:

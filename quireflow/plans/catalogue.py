@@ -118,7 +118,7 @@ def boundary_overlap(spark, sf_dir):
     tail = lambda n: F.expr(f"slice(w, greatest(1, size(w) - {n - 1}), {n})")
     p = d.select("doc_id", tail(40).alias("lhs"), F.when(F.col("doc_id") % 3 == 0, F.concat(tail(12), F.array(F.lit("alpha"), F.lit("beta")))).otherwise(F.slice("w", 1, 40)).alias("rhs"))
     b = flow.longest_blocks(p)
-    return b.join(p.select("doc_id", F.size("lhs").alias("n")), "doc_id").select("doc_id", "size", "a", "b", ((F.col("size") >= 8) & (F.col("a") + F.col("size") == F.col("n")) & (F.col("b") <= 5)).alias("overlaps"))
+    return b.select("doc_id", "size", "a", "b", ((F.col("size") >= 8) & (F.col("a") + F.col("size") == F.col("n_lhs")) & (F.col("b") <= 5)).alias("overlaps"))
 
 
 @query(f"""WITH s AS ({_PAGES_SQL}), v AS (SELECT *, lag(regexp_extract_all(text, '[{flow.TOKEN}]+')) OVER (PARTITION BY doc_id ORDER BY page) AS u FROM s),
@@ -387,7 +387,8 @@ def element_scan(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.explode(M.elements_of(F.col("html"))).alias("e")).select("page_id", "e.idx", "e.tag", "e.source")
 
 
-@query()
+@query("""WITH b AS (SELECT page_id - page_id % 10 AS book, row_number() OVER (PARTITION BY page_id - page_id % 10 ORDER BY page_id) AS k FROM pages)
+SELECT DISTINCT book::VARCHAR AS book, unnest(['mimetype', 'META-INF/container.xml', 'OPS/book.opf', 'OPS/toc.ncx']) AS name, true AS same FROM b UNION ALL SELECT book::VARCHAR, 'OPS/c' || k || '.xhtml', k <> 1 FROM b""")
 def epub_roundtrip(spark, sf_dir):
     """A package per ten pages is written, changed in one document and compared member by member."""
     p = read(spark, sf_dir, "pages").select((F.col("page_id") - F.col("page_id") % 10).alias("book"), "page_id", M.visible_text(F.col("html")).alias("t"))
@@ -404,8 +405,9 @@ def epub_roundtrip(spark, sf_dir):
     return a.join(b, ["book", "name"], "full_outer").select("book", "name", F.col("a").eqNullSafe(F.col("b")).alias("same"))
 
 
-@query()
+@query(f"WITH p AS ({_PAIRS_SQL}), {_same_numbers_sql(_PAIRS_SQL)} SELECT p.doc_id AS id, 'approved' AS status, CASE WHEN same THEN length(target) ELSE length(source) END AS n FROM p JOIN same ON same.doc_id = p.doc_id")
 def audit_cycle(spark, sf_dir):
+    """Pairs with other numbers are repaired by their source, and pass."""
     p = docs(spark, sf_dir).selectExpr("doc_id as id", "text as source", f"{_STUB} as target")
     review = lambda x: flow.triage(x).where(F.size("problems") > 0).select("id", F.explode("problems").alias("kind"))
     done, _ = flow.quality_rounds(p, review, lambda x: x.select("id", F.col("source").alias("value")))
@@ -609,7 +611,7 @@ _BOOKS_SQL = f"SELECT (page_id - page_id % 10)::VARCHAR AS book_id, page_id, row
 
 @query(f"SELECT book_id, 'Book' AS title, count(*)::BIGINT AS documents, sum(n)::BIGINT AS characters, max(page_id)::BIGINT AS pages, count(*)::BIGINT AS chapters FROM ({_BOOKS_SQL}) GROUP BY book_id")
 def epub_inventory(spark, sf_dir):
-    return epub.inventory(_books(spark, sf_dir))
+    return epub.inventory(_books(spark, sf_dir)).select("book_id", "title", "documents", "characters", "pages", "chapters")
 
 
 @query(f"SELECT book_id, k - 1 AS ord, 'OPS/c' || k || '.xhtml' AS doc, 'Chapter ' || k AS label, 1::BIGINT AS depth FROM ({_BOOKS_SQL})")
@@ -617,7 +619,7 @@ def epub_contents(spark, sf_dir):
     return epub.contents_of(_books(spark, sf_dir))
 
 
-@query(f"SELECT DISTINCT book_id, unnest(['mimetype', 'META-INF/container.xml', 'OPS/book.opf', 'OPS/toc.ncx']) AS name, true AS same, NULL::BOOLEAN AS structure, NULL::BOOLEAN AS links, NULL::BOOLEAN AS cells FROM ({_BOOKS_SQL}) UNION ALL SELECT book_id, 'OPS/c' || k || '.xhtml', k <> 1, true, true, true FROM ({_BOOKS_SQL})")
+@query(f"SELECT DISTINCT book_id, unnest(['mimetype', 'META-INF/container.xml', 'OPS/book.opf', 'OPS/toc.ncx']) AS name, true AS same, NULL::BOOLEAN AS structure, NULL::BOOLEAN AS links, NULL::BOOLEAN AS cells, NULL::BOOLEAN AS ids, NULL::BOOLEAN AS math FROM ({_BOOKS_SQL}) UNION ALL SELECT book_id, 'OPS/c' || k || '.xhtml', k <> 1, true, true, true, true, true FROM ({_BOOKS_SQL})")
 def epub_compare(spark, sf_dir):
     """Packages whose first document's first element is translated, against the originals."""
     books = _books(spark, sf_dir)

@@ -141,28 +141,54 @@ def documents(entries: DataFrame) -> DataFrame:
     return d.select("book_id", "name", "spine_pos", F.decode("bytes", "UTF-8").alias("html"))
 
 
-def page_counts(entries: DataFrame) -> DataFrame:
-    """(book_id, pages): the largest printed page number of a book; null where it marks none."""
+def page_counts(entries: DataFrame, strict: bool = False) -> DataFrame:
+    """(book_id, pages): the largest printed page number of a book; null, or where strict an error, if it marks none."""
     d = entries.where(F.col("name").rlike(PAGED)).select("book_id", M.last_page(F.decode("bytes", "UTF-8")).alias("n"))
-    return d.groupBy("book_id").agg(F.max("n").alias("pages"))
+    d = d.groupBy("book_id").agg(F.max("n").alias("pages"))
+    none = F.raise_error(F.concat(F.lit("no printed page is marked: "), "book_id")).cast("long")
+    return d.withColumn("pages", F.coalesce("pages", none)) if strict else d
 
 
-def inventory(books: DataFrame) -> DataFrame:
-    """(book_id, title, documents, characters, pages, chapters) of books (path, content).
+SCAN = "book_id string, title string, creator string, labels array<string>, css string, documents array<string>, paged array<string>"
+
 
-    Characters are those of the visible text in spine documents; chapters are contents entries labelled so.
+def scan(books: DataFrame) -> DataFrame:
+    """One row per book (path, content), its package parsed once: title, creator, contents labels, styles, texts.
+
+    documents: the spine's documents in order; paged: all members that may hold printed page marks; css: all
+    styles, a line end between. A row is as large as its book, as content is.
     """
 
-    def titles(parts):
+    def run(parts):
         for part in parts:
-            yield pd.DataFrame({"book_id": part["path"], "title": [package(x)[3] for x in part["content"]]})
+            rows = []
+            for path, data in zip(part["path"], part["content"]):
+                opf, manifest, spine, title = package(data)
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    names, text = z.namelist(), lambda n: z.read(n).decode("utf-8", "replace")  # noqa: B023
+                    makers = [e for e in ET.fromstring(z.read(opf)).iter() if _local(e) == "creator"]
+                    creator = "".join(makers[0].itertext()).strip().rstrip(";") if makers else ""
+                    css = "\n".join(text(resolve(opf, m["href"])) for m in manifest.values() if m.get("media-type") == "text/css" and resolve(opf, m["href"]) in names)
+                    inside = [resolve(opf, manifest[i]["href"]) for i in spine if i in manifest and manifest[i].get("media-type") in DOCUMENTS]
+                    rows.append((path, title, creator, [x[2] for x in contents(data)], css, [text(n) for n in inside if n in names], [text(n) for n in names if re.search(PAGED, n)]))
+            yield pd.DataFrame(rows, columns=["book_id", "title", "creator", "labels", "css", "documents", "paged"])
 
-    entries = members(books)
-    chapters = contents_of(books).where(F.col("label").rlike(X.CHAPTER)).groupBy("book_id").agg(F.count("*").alias("chapters"))
-    counted = documents(entries).groupBy("book_id").agg(F.count("*").alias("documents"), F.sum(F.length(M.visible_text(F.col("html")))).alias("characters"))
-    named = books.select("path", "content").mapInPandas(titles, "book_id string, title string")
-    d = named.join(counted, "book_id", "left").join(page_counts(entries), "book_id", "left").join(chapters, "book_id", "left")
-    return d.select("book_id", "title", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("documents", "characters")], "pages", F.coalesce("chapters", F.lit(0)).alias("chapters"))
+    return books.select("path", "content").mapInPandas(run, SCAN)
+
+
+def inventory(books: DataFrame) -> DataFrame:
+    """(book_id, title, documents, characters, pages, chapters, ..) of books (path, content), without a shuffle.
+
+    Characters are those of the visible text in spine documents; chapters are contents entries labelled so; then
+    creator, and how many images, figures, equations and tables the documents hold.
+    """
+    total = lambda c, count: F.coalesce(F.aggregate(F.transform(c, count), F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x, F.lit(0)).cast("long")), F.lit(0).cast("long"))
+    tags = lambda *names: total("documents", lambda h: M.count_tag(h, *names))
+    return scan(books).select(
+        "book_id", "title", F.size("documents").cast("long").alias("documents"), total("documents", lambda h: F.length(M.visible_text(h))).alias("characters"),
+        F.array_max(F.transform("paged", M.last_page)).alias("pages"), F.size(F.filter("labels", lambda x: x.rlike(X.CHAPTER))).cast("long").alias("chapters"),
+        "creator", tags("img").alias("images"), tags("figure").alias("figures"), total("documents", M.count_equations).alias("equations"), tags("table").alias("tables"),
+    )
 
 
 def _without_language(tags: list[tuple[str, dict]]) -> list[tuple[str, dict]]:
@@ -170,28 +196,31 @@ def _without_language(tags: list[tuple[str, dict]]) -> list[tuple[str, dict]]:
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Members (of members()) of two editions, by book and name: same, and for documents structure, links, cells.
+    """Members (of members()) of two editions, by book and name: same, and for documents what else is equal.
 
     structure: equal elements and attributes but for the language; links: equal targets in order; cells: equal
-    numbers in table cells. A member of one side alone is not the same; null where nothing is compared.
+    numbers in table cells; ids: equal ids in order; math: equal formulas. A member of one side alone is not the same; null where nothing is compared.
     """
 
-    @F.pandas_udf("structure boolean, links boolean, cells boolean")
+    @F.pandas_udf("structure boolean, links boolean, cells boolean, ids boolean, math boolean")
     def check(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         rows = []
         for x, y in zip(a, b):
             x, y = (bytes(v or b"").decode("utf-8", "replace") for v in (x, y))
             s, t = (_without_language(M.structure(v)) for v in (x, y))
             links = [[at.get("href") for _, at in v if "href" in at] for v in (s, t)]
-            cells = [[re.findall(r"[0-9]+(?:[.,][0-9]+)*%?", v[n.inner : n.close]) for n in M.nodes(v) if n.name in ("td", "th")] for v in (x, y)]
-            rows.append((s == t, links[0] == links[1], cells[0] == cells[1]))
-        return pd.DataFrame(rows, columns=["structure", "links", "cells"])
+            ids = [[at["id"] for _, at in v if "id" in at] for v in (s, t)]
+            trees = [M.nodes(v) for v in (x, y)]
+            cells = [[re.findall(r"[0-9]+(?:[.,][0-9]+)*%?", v[n.inner : n.close]) for n in nodes if n.name in ("td", "th")] for v, nodes in zip((x, y), trees)]
+            math = [[v[n.at : n.end] for n in nodes if n.name == "math" or n.has_class("math")] for v, nodes in zip((x, y), trees)]
+            rows.append((s == t, links[0] == links[1], cells[0] == cells[1], ids[0] == ids[1], math[0] == math[1]))
+        return pd.DataFrame(rows, columns=["structure", "links", "cells", "ids", "math"])
 
     side = lambda d, n: d.select("book_id", "name", F.col("bytes").alias(n), F.col("media_type").isin(*DOCUMENTS).alias(f"{n}_doc"))
     d = side(before, "a").join(side(after, "b"), ["book_id", "name"], "full_outer")
     d = d.withColumn("same", F.col("a").eqNullSafe(F.col("b")))
     d = d.withColumn("c", F.when(F.col("a_doc") & F.col("b_doc"), check("a", "b")))
-    return d.select("book_id", "name", "same", "c.structure", "c.links", "c.cells")
+    return d.select("book_id", "name", "same", "c.structure", "c.links", "c.cells", "c.ids", "c.math")
 
 
 def broken_links(entries: DataFrame) -> DataFrame:
@@ -228,10 +257,20 @@ def lock(folder_files: DataFrame, manifest: DataFrame) -> DataFrame:
 HELPERS = r"""\sdata-(?:item|src|href)=("[^"]*"|'[^']*')"""
 
 
+def _originals(tag: str) -> str:
+    """A tag with its source and target as they were before the transform, which kept them in helper attributes."""
+    for name in ("src", "href"):
+        kept = re.search(rf"""\sdata-{name}=("[^"]*"|'[^']*')""", tag)
+        if kept:
+            tag = re.sub(rf"""(\s){name}=("[^"]*"|'[^']*')""", lambda m: f"{m[1]}{name}={kept[1]}", tag)  # noqa: B023
+    return re.sub(HELPERS, "", tag)
+
+
 def translate(data: bytes, values: dict[str, dict[int, str]], lang: str = "pt-BR") -> bytes:
     """The package with the inner markup of some elements replaced: values by member, then by element index.
 
-    Only those places, the helper attributes and the language of the root change; other members stay equal.
+    Only those places, the helper attributes, what they kept of links and images, and the language of the root
+    change; other members stay equal.
     """
     changed = {}
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -243,7 +282,7 @@ def translate(data: bytes, values: dict[str, dict[int, str]], lang: str = "pt-BR
                 if n.name in M.BLOCKS and index in new and n.at >= last:
                     out += [html[last : n.inner], new[index]]
                     last = n.close
-            body = re.sub(HELPERS, "", "".join([*out, html[last:]]))
+            body = re.sub(r"<[a-zA-Z][^<>]*>", lambda m: _originals(m[0]), "".join([*out, html[last:]]))
             root = re.search(r"<html\b[^>]*>", body)
             if root:
                 tag = re.sub(r"""\s(?:xml:)?lang=("[^"]*"|'[^']*')""", "", root[0])

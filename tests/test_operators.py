@@ -377,3 +377,27 @@ def test_page_job_and_reports(spark, tmp_path):
     calls = keyed([("gpt-5.6-luna", 1000, 0, 100), ("x", 1, 0, 1)], spark, "model string, input_tokens long, cached_input_tokens long, output_tokens long")
     got = {r["model"]: (r["usd"], r["brl"]) for r in run.cost_report(calls).collect()}
     assert got == {"gpt-5.6-luna": (Decimal("0.000320"), Decimal("0.00")), "x": (None, None)}
+
+
+def test_book_scan(spark):
+    data = epub.sample("A", ['<p id="pg_3"><img src="x"/><span class="math">m</span></p><table><tr><td>1</td></tr></table>', "<p>y</p>"])
+    books = keyed([("p", bytearray(data))], spark, "path string, content binary")
+    r = epub.inventory(books).first()
+    assert (r["title"], r["documents"], r["pages"], r["chapters"], r["creator"], r["images"], r["equations"], r["tables"], r["figures"]) == ("A", 2, 3, 2, "", 1, 1, 1, 0)
+    bare = epub.members(keyed([("q", bytearray(epub.sample("B", ["<p>z</p>"])))], spark, "path string, content binary"))
+    assert epub.page_counts(bare).first()["pages"] is None
+    with pytest.raises(Exception, match="no printed page"):
+        epub.page_counts(bare, strict=True).collect()
+    html = epub.sample("C", ['<p><img data-src="a.png" src="ativos/1.png"/><a href="#n" data-href="b.xhtml">t</a></p>'])
+    with __import__("zipfile").ZipFile(__import__("io").BytesIO(epub.translate(html, {"OPS/c1.xhtml": {}}))) as z:
+        assert b'<p><img src="a.png"/><a href="b.xhtml">t</a></p>' in z.read("OPS/c1.xhtml")
+
+
+def test_longest_blocks_in_a_row(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.choice("abc") for _ in range(rng.randint(0, 12))], [rng.choice("abcd") for _ in range(rng.randint(0, 12))]) for i in range(200)] + [(900, None, ["a"]), (901, [None], [None])]
+    got = {r["doc_id"]: (r["a"], r["b"], r["size"]) for r in flow.longest_blocks(keyed(rows, spark, "doc_id int, lhs array<string>, rhs array<string>")).collect()}
+    for i, x, y in rows[:200]:
+        m = difflib.SequenceMatcher(None, x, y, autojunk=False).find_longest_match()
+        assert got.get(i, (0, 0, 0))[2] == m.size and (m.size == 0 or got[i] == tuple(m))
+    assert 900 not in got and 901 not in got
