@@ -363,9 +363,11 @@ def link_documents(docs: DataFrame) -> DataFrame:
     single = label.where("size = 1").join(tops, "token").groupBy(F.col("a").alias("s")).agg(F.min("top.comp").alias("near"), F.count("*").alias("p"))
     # groups of a component: of GROUP sets, GROUPS at most until they would hold more than POSTS shingles
     groups_of = lambda sets, posts: F.least(F.ceil(sets / GROUP), F.greatest(F.lit(GROUPS), F.ceil(posts / POSTS)))
-    counts = single.groupBy("near").agg(F.count("*").alias("c"), F.sum("p").alias("posts"))
+    single = stage_table(single, "single")
+    # written as tables: broadcast at once while they are small, and else joined so that a hot component is split
+    counts = stage_table(single.groupBy("near").agg(F.count("*").alias("c"), F.sum("p").alias("posts")), "around")
     single = single.join(counts, "near").select("s", F.concat_ws(".", F.lit("~"), F.col("near"), F.pmod(F.xxhash64("s"), groups_of(F.col("c"), F.col("posts")))).alias("g1"))
-    posts = label.where("size > 1").groupBy("comp").agg(F.count("*").alias("posts"))
+    posts = stage_table(label.where("size > 1").groupBy("comp").agg(F.count("*").alias("posts")), "posts")
     group = F.coalesce("g1", F.concat_ws(".", F.col("comp"), F.pmod(F.xxhash64("a"), groups_of(F.col("size"), F.col("posts")))))
     label = label.join(posts, "comp", "left").join(single, F.col("a") == F.col("s"), "left").select("token", "a", "n", "rank", group.alias("g"))
     label = stage_table(label, "labels")
