@@ -38,7 +38,15 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of stage_table that no plan still to run reads; what a result reads stays."""
+    for table in tables:
+        delete(table.sparkSession, table.scratch)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, record_batch, small_batches, stage_table
+from .common import discard, mix64, record_batch, small_batches, stage_table
 from .components import connected_components
 
 WORDS = 5
@@ -182,8 +182,8 @@ def _overlap(a: bytes, b: bytes) -> tuple[int, int, int]:
     return int((y[np.minimum(at, len(y) - 1)] == x).sum()), len(x), len(y)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
+def _verified(pairs: DataFrame, docs: DataFrame, name: str = "links") -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets, as a table; pairs is one too, and goes."""
     ids = stage_table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "asked")
     sets = stage_table(_sets(docs, ids), "tokens")
     p = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
@@ -198,7 +198,9 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             b = b.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=out)
 
-    return p.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    made = stage_table(p.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), name)
+    discard(pairs, ids, sets)
+    return made
 
 
 def _alike(m, n):
@@ -298,7 +300,9 @@ def _open(asks: DataFrame, members: DataFrame) -> DataFrame:
         if held:
             yield from bounded(held)
 
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
+    made = stage_table(rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long"), "open")
+    discard(asked)
+    return made
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
@@ -337,14 +341,16 @@ def link_documents(docs: DataFrame) -> DataFrame:
     lists = posted.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     shared = posted.join(lists, "token").join(reps, "doc_id").select("token", F.col("rep").alias("a"), "n").distinct()
     shared = stage_table(shared, "lists")
+    discard(posted, equal)
     hubs = shared.groupBy("token").agg(F.min(F.struct(F.col("a").alias("b"), F.col("n").alias("m"))).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", "h.b", "h.m")
     stars = stage_table(shared.join(hubs, "token").where(F.col("a") != F.col("b")).where(_alike("n", "m")).select("a", "b").distinct(), "stars")
     used = shared.join(hubs.select("token"), "token", "left_semi")
     rows = stage_table(used.groupBy("a").agg(F.max("n").alias("n"), F.collect_list("token").alias("tokens")), "rows")
-    links = stage_table(_verified(stage_table(_bounded(stars, rows), "near"), docs), "links")
+    links = _verified(stage_table(_bounded(stars, rows), "near"), docs)
+    discard(stars)
 
     for k in range(ROUNDS):  # docs apart from their list's largest component meet another member of it
-        parts = stage_table(connected_components(links), "parts")
+        parts = connected_components(links)
         sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
         label = used.join(parts.withColumnRenamed("node", "a"), "a", "left").join(sizes, "component", "left")
         label = label.select("token", "a", "n", F.coalesce("component", "a").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
@@ -355,22 +361,26 @@ def link_documents(docs: DataFrame) -> DataFrame:
         stars = stage_table(_bounded(stars, rows), "near")
         if stars.isEmpty():
             break
-        links = stage_table(links.union(_verified(stars, docs)), "links")
+        discard(parts)
+        fresh, known = _verified(stars, docs), links
+        links = stage_table(known.union(fresh), "links")
+        discard(known, fresh)
     mixed = label.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    label = label.join(mixed, "token", "left_semi")
-    label = stage_table(label.withColumn("rank", F.struct("size", "comp")), "mixed")
+    label = stage_table(label.join(mixed, "token", "left_semi").withColumn("rank", F.struct("size", "comp")), "mixed")
+    discard(parts)
     tops = label.groupBy("token").agg(F.max("rank").alias("top"))
     single = label.where("size = 1").join(tops, "token").groupBy(F.col("a").alias("s")).agg(F.min("top.comp").alias("near"), F.count("*").alias("p"))
     # groups of a component: of GROUP sets, GROUPS at most until they would hold more than POSTS shingles
     groups_of = lambda sets, posts: F.least(F.ceil(sets / GROUP), F.greatest(F.lit(GROUPS), F.ceil(posts / POSTS)))
     single = stage_table(single, "single")
     # written as tables: broadcast at once while they are small, and else joined so that a hot component is split
-    counts = stage_table(single.groupBy("near").agg(F.count("*").alias("c"), F.sum("p").alias("posts")), "around")
-    single = single.join(counts, "near").select("s", F.concat_ws(".", F.lit("~"), F.col("near"), F.pmod(F.xxhash64("s"), groups_of(F.col("c"), F.col("posts")))).alias("g1"))
+    around = stage_table(single.groupBy("near").agg(F.count("*").alias("c"), F.sum("p").alias("posts")), "around")
+    near = single.join(around, "near").select("s", F.concat_ws(".", F.lit("~"), F.col("near"), F.pmod(F.xxhash64("s"), groups_of(F.col("c"), F.col("posts")))).alias("g1"))
     posts = stage_table(label.where("size > 1").groupBy("comp").agg(F.count("*").alias("posts")), "posts")
     group = F.coalesce("g1", F.concat_ws(".", F.col("comp"), F.pmod(F.xxhash64("a"), groups_of(F.col("size"), F.col("posts")))))
-    label = label.join(posts, "comp", "left").join(single, F.col("a") == F.col("s"), "left").select("token", "a", "n", "rank", group.alias("g"))
+    mixed, label = label, label.join(posts, "comp", "left").join(near, F.col("a") == F.col("s"), "left").select("token", "a", "n", "rank", group.alias("g"))
     label = stage_table(label, "labels")
+    discard(mixed, single, around, posts)
     groups = label.groupBy("a", "n", "rank", "g").agg(F.collect_list("token").alias("tokens"))
     columns = label.groupBy("token", "g").agg(F.max("rank").alias("other"))  # the matrix: which shingles a group has
     spans = groups.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -379,8 +389,10 @@ def link_documents(docs: DataFrame) -> DataFrame:
     can = _reaches(both, _beyond(n), n + F.greatest(least, F.ceil(n * SHARE / F.lit(PER)))) | _reaches(both, _beyond(most) + 1, n + most)
     put = ["g", F.col("a").alias("id"), "n", "rank.size", "rank.comp", "tokens"]
     opened = stage_table(asks.where((PER * most >= SHARE * n) & (PER * n >= SHARE * least) & can).select(put), "opened")
-    more = stage_table(_verified(stage_table(_open(opened, groups.select(put)), "open"), docs), "more")
+    more = _verified(_open(opened, groups.select(put)), docs)
+    discard(opened, rows, label)
     parts = connected_components(links.union(more))
+    discard(links, more, shared)
     parts = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("d"), F.coalesce("component", "rep").alias("c"))
     return own.join(parts, F.col("doc_id") == F.col("d"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 

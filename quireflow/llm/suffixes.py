@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, record_batch, small_batches, stage_table
+from .common import discard, mix64, record_batch, small_batches, stage_table
 from .jaccard import FEW_IDS
 
 #: Length of the strings, of the anchors in them, and of the segments in which a text is searched for anchors.
@@ -181,11 +181,13 @@ def _contexts(docs: DataFrame, hits: DataFrame, length: int) -> DataFrame:
                 yield record_batch(out, dict(zip(out.names, zip(*rows))))
 
     texts = _with_ids(docs, by_doc)[0].where("id is not null").select("doc_id", "text", "hits")
-    return texts.mapInArrow(cut, "key long, hot boolean, doc_id long, place long, left int, starts int, count int, context binary")
+    made = stage_table(texts.mapInArrow(cut, "key long, hot boolean, doc_id long, place long, left int, starts int, count int, context binary"), "contexts")
+    discard(by_doc)
+    return made
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, start, end): byte spans made of `length`-byte strings that start elsewhere too (spans may overlap).
+    """(doc_id, start, end), a table: byte spans made of `length`-byte strings that start elsewhere too (spans may overlap).
 
     Every such string has an anchor that repeats; strings of equal anchors meet in one class, aligned. Classes
     are dealt out by key and built in chunks of whole classes, `chunk` members or so, so memory is bounded.
@@ -195,7 +197,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, ho
     counts = classes.groupBy("key").agg(F.sum("count").alias("c")).where("c > 1").select("key", (F.col("c") > hot).alias("hot"))
     counts = stage_table(counts, "classes")  # a join of two plain tables: the engine can split a hot key's rows
     hits = classes.join(counts, "key")
-    contexts = stage_table(_contexts(docs, hits, length), "contexts")
+    contexts = _contexts(docs, hits, length)
+    discard(classes)
     spans = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def build(held):
@@ -230,8 +233,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, ho
             yield build(held)
 
     dealt = contexts.where("not hot").select("key", "doc_id", "place", "left", "starts", "count", "context").repartition("key").sortWithinPartitions("key")
-    found = dealt.mapInArrow(run, "doc_id long, start long, end long")
+    found = stage_table(dealt.mapInArrow(run, "doc_id long, start long, end long"), "found")
     if counts.where("hot").isEmpty():
+        discard(contexts, counts)
         return found
 
     def strings(batches):
@@ -244,7 +248,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, ho
 
     every = contexts.where("hot").select("doc_id", "place", "left", "context").mapInArrow(strings, "h1 long, h2 long, doc_id long, start long")
     often = stage_table(every.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "often")
-    return found.union(every.join(often, ["h1", "h2"]).select("doc_id", "start", (F.col("start") + length).alias("end")))
+    both = stage_table(found.union(every.join(often, ["h1", "h2"]).select("doc_id", "start", (F.col("start") + length).alias("end"))), "found")
+    discard(found, contexts, counts, often)
+    return both
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, hot: int = HOT) -> DataFrame:
@@ -260,6 +266,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, hot:
     small_batches(docs.sparkSession)
     spans = repeated_spans(docs.where("doc_id is not null"), length, size, hot)
     by_doc = stage_table(spans.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
+    discard(spans)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", span), ("kept", pa.binary()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 

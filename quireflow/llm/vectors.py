@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, small_batches, stage_table
+from .common import discard, record_batch, small_batches, stage_table
 from .components import connected_components
 
 #: Nearest pivots that describe a vector, how many of them two vectors must share, and the most pivots.
@@ -229,6 +229,7 @@ def link_vectors(table: DataFrame, cosine: float = 0.9, shared: int = SHARED) ->
         return pa.table({"rep": pa.array(rep[hit]), "n": pa.array(total[hit]), "root": pa.array(rep[[top(k) for k in hit]] if len(hit) else np.zeros(0, np.int64))}, schema=out)
 
     met = stage_table(lists.select("rep", "m", "x", "prefix", "p", "q", "own", "i", "j").groupBy("p", "q", "i", "j").applyInArrow(compare, "rep long, n long, root long").union(_cells(described, cosine)), "met")
+    discard(described)
     found = met.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = connected_components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     info = reps.join(found, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left").select("unit", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
