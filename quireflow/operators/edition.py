@@ -85,6 +85,7 @@ def cite_as_notes(html: str, doc: int) -> tuple[str, int]:
         if side is None:
             continue
         n = len(notes) + 1
+        # fixed values: ids, classes and labels of a note and its call
         here, there = f"chamada-nota-{doc}-{n}", f"nota-{doc}-{n}"
         edits.append((x.at, x.end, f'<sup class="note-ref" id="{here}"><a href="#{there}" aria-label="Nota {n}">{n}</a></sup>'))
         notes.append(f'<li id="{there}">{html[side.inner : side.close]} <a href="#{here}" class="note-backlink" aria-label="Voltar à chamada da nota {n}">↩</a></li>')
@@ -145,6 +146,7 @@ def sections(docs: DataFrame) -> DataFrame:
     return d.select("book", "ord", "doc", "e.html", "e.notes", "c.figures", "c.tables", "e.title", anchor.alias("anchor"))
 
 
+#: The page around an edition, with the labels of its contents.
 HEAD = '<!doctype html>\n<html lang="pt-BR"><head><meta charset="utf-8"><title>{}</title></head><body>\n<section class="cover"><h1>{}</h1></section>\n<section class="front"><h1>Conteúdo desta edição</h1><ol>'
 
 

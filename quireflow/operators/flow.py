@@ -119,6 +119,18 @@ def greedy_chunks(items: DataFrame, key: str, ord_: str, size: Column, limit: in
     return rows.mapInArrow(run, StructType([*items.schema.fields, StructField("chunk_id", LongType())]))
 
 
+def missed_terms(source: Column, target: Column, glossary: dict[str, str] | None) -> Column:
+    """array<string>: terms of more than one word that source holds where target lacks their canonical form.
+
+    The glossary is one literal array, so a plan does not grow an expression a term; texts are lowered once.
+    """
+    terms = [(a, b) for a, b in (glossary or {}).items() if " " in a]
+    if not terms:
+        return F.array().cast("array<string>")
+    x = F.struct(F.lower(source).alias("s"), F.lower(target).alias("t"), F.lit([a for a, _ in terms]).alias("a"), F.lit([a.lower() for a, _ in terms]).alias("low"), F.lit([b.lower() for _, b in terms]).alias("b"))
+    return F.transform(F.array(x), lambda x: F.filter(x["a"], lambda _, i: F.contains(x["s"], F.get(x["low"], i)) & ~F.contains(x["t"], F.get(x["b"], i))))[0]
+
+
 def triage(pairs: DataFrame, glossary: dict[str, str] | None = None, markup: bool = False) -> DataFrame:
     """pairs (source, target) plus reasons (array) and status: blocking rules first, then reasons to look closer.
 
@@ -134,12 +146,12 @@ def triage(pairs: DataFrame, glossary: dict[str, str] | None = None, markup: boo
     blocking = [F.when(~X.same_numbers(s, t), "number_changed"), F.when(tokens(s) != tokens(t), "formula_changed")]
     if markup:
         blocking.insert(0, F.when(M.structure_of(html[0]) != M.structure_of(html[1]), "structure_changed"))
-    blocking += [F.when(F.lower(s).contains(a.lower()) & ~F.lower(t).contains(b.lower()), "glossary_missed") for a, b in (glossary or {}).items() if " " in a]
+    missed = F.transform(missed_terms(s, t, glossary), lambda _: F.lit("glossary_missed"))
     cjk = s.rlike(X.CJK)
     closer = F.when(n >= 800, "long_paragraph").when(cjk & (n >= 400), "dense_cjk").when((n >= 250) & s.rlike(X.RISK), "sensitive_relation")
     low, high = F.when(cjk, 0.4).otherwise(0.55), F.when(cjk, 4.0).otherwise(1.8)
     select = [closer, F.when(F.regexp_count(t, F.lit(X.RESIDUAL)) >= 3, "residual_language"), F.when((ratio < low) | (ratio > high), "atypical_length")]
-    d = pairs.withColumn("problems", F.array_compact(F.array(*blocking))).withColumn("reasons", F.concat("problems", F.array_compact(F.array(*select))))
+    d = pairs.withColumn("problems", F.concat(F.array_compact(F.array(*blocking)), missed)).withColumn("reasons", F.concat("problems", F.array_compact(F.array(*select))))
     return d.withColumn("status", F.when(F.size("problems") > 0, "review").otherwise("approved"))
 
 

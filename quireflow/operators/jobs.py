@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-import shutil
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
-from pathlib import Path
+from fnmatch import fnmatch
 
+from pyarrow import fs as afs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,29 +143,54 @@ def estimated_cost(model: Column, input_tokens: Column, output_tokens: Column) -
     return out
 
 
-def purge(folder: Path, pattern: str, current: set[str]) -> list[str]:
-    """Remove files of an earlier scope; gives their names."""
-    gone = sorted(p.name for p in folder.glob(pattern) if p.name not in current)
-    for name in gone:
-        (folder / name).unlink()
-    return gone
+def _store(path) -> tuple[afs.FileSystem, str]:
+    return afs.FileSystem.from_uri(str(path))
+
+
+def purge(folder, pattern: str, current: set[str]) -> list[str]:
+    """Remove files of an earlier scope from a folder of any store pyarrow opens; gives their names."""
+    store, at = _store(folder)
+    files = [f for f in store.get_file_info(afs.FileSelector(at, allow_not_found=True)) if f.is_file and fnmatch(f.base_name, pattern) and f.base_name not in current]
+    for f in files:
+        store.delete_file(f.path)
+    return sorted(f.base_name for f in files)
 
 
 #: The folders of a project.
 FOLDERS = ("01_original", "02_trabalho", "03_entrega_atual", "04_relatorios")
 
 
-def publish(root: Path, original: Path, delivery: list[Path], reports: dict[str, dict]) -> dict:
-    """A project's four folders: the original, what is delivered, and reports as JSON; gives project.json's content."""
-    for name in FOLDERS:
-        (root / name).mkdir(parents=True, exist_ok=True)
-    kept = root / FOLDERS[0] / original.name
-    if not kept.exists() or kept.read_bytes() != original.read_bytes():
-        shutil.copyfile(original, kept)
+def publish(root, original, delivery: list, reports: dict[str, dict]) -> dict:
+    """A project's four folders: the original, what is delivered, and reports as JSON; gives project.json's content.
+
+    Paths are local or URIs of any store pyarrow opens. An original that is there with the same hash stays.
+    """
+    store, at = _store(root)
+    name = lambda p: str(p).rstrip("/").rsplit("/", 1)[-1]
+    for f in FOLDERS:
+        store.create_dir(f"{at}/{f}", recursive=True)
+
+    def digest(fs, path) -> str:
+        with fs.open_input_stream(path) as stream:
+            h = hashlib.sha256()
+            while block := stream.read(1 << 20):
+                h.update(block)
+        return h.hexdigest()
+
+    def copy(p, folder: str) -> None:
+        source, to = _store(p), f"{at}/{folder}/{name(p)}"
+        if folder != FOLDERS[0] or not store.get_file_info(to).is_file or digest(store, to) != digest(*source):
+            afs.copy_files(source[1], to, source_filesystem=source[0], destination_filesystem=store)
+
+    def put(path: str, content: dict) -> None:
+        with store.open_output_stream(f"{at}/{path}") as out:
+            out.write(json.dumps(content, ensure_ascii=False, indent=2).encode())
+
+    copy(original, FOLDERS[0])
     for p in delivery:
-        shutil.copyfile(p, root / FOLDERS[2] / p.name)
-    for name, report in reports.items():
-        (root / FOLDERS[3] / f"{name}.json").write_text(json.dumps(report, ensure_ascii=False, indent=2), "utf-8")
-    project = {"original": original.name, "delivery": sorted(p.name for p in delivery), "reports": sorted(reports)}
-    (root / "project.json").write_text(json.dumps(project, ensure_ascii=False, indent=2), "utf-8")
+        copy(p, FOLDERS[2])
+    for k, report in reports.items():
+        put(f"{FOLDERS[3]}/{k}.json", report)
+    project = {"original": name(original), "delivery": sorted(map(name, delivery)), "reports": sorted(reports)}
+    put("project.json", project)
     return project

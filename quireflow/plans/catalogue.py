@@ -200,8 +200,7 @@ GLOSSARY = {"of the": "do", "in the": "no the", "and the": "e", "single": "x"}
 @query("SELECT doc_id, term FROM (" + _PAIRS_SQL + ") p, (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in GLOSSARY.items() if " " in a) + ") g(term, canonical) WHERE contains(lower(source), term) AND NOT contains(lower(target), canonical)")
 def glossary_check(spark, sf_dir):
     p = pairs(spark, sf_dir)
-    missed = F.array_compact(F.array(*[F.when(F.lower("source").contains(a) & ~F.lower("target").contains(b), F.lit(a)) for a, b in GLOSSARY.items() if " " in a]))
-    return p.select("doc_id", F.explode(missed).alias("term"))
+    return p.select("doc_id", F.explode(flow.missed_terms(F.col("source"), F.col("target"), GLOSSARY)).alias("term"))
 
 
 @query("""WITH RECURSIVE i AS (SELECT conv_id, turn, length(coalesce(text, '')) + 80 AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),

@@ -401,3 +401,13 @@ def test_longest_blocks_in_a_row(spark):
         m = difflib.SequenceMatcher(None, x, y, autojunk=False).find_longest_match()
         assert got.get(i, (0, 0, 0))[2] == m.size and (m.size == 0 or got[i] == tuple(m))
     assert 900 not in got and 901 not in got
+
+
+def test_missed_terms(spark):
+    pairs = keyed([("Of THE day in the end", "do dia"), ("in the x", "No The x"), ("single", None)], spark, "source string, target string")
+    terms = {"of the": "do", "in the": "no the", "single": "x"}
+    assert [r[0] for r in pairs.select(flow.missed_terms(F.col("source"), F.coalesce("target", F.lit("")), terms)).collect()] == [["in the"], [], []]
+    t = {r["source"]: r["problems"] for r in flow.triage(pairs, {**terms, "the end": "z z", "big one": "q"}).collect()}
+    assert t["Of THE day in the end"] == ["glossary_missed", "glossary_missed"] and t["in the x"] == []
+    many = {f"term {i}": "x" for i in range(5000)}
+    assert flow.triage(pairs, many).count() == 3
