@@ -191,7 +191,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, ho
 
     Every such string has an anchor that repeats; strings of equal anchors meet in one class, aligned. Classes
     are dealt out by key and built in chunks of whole classes, `chunk` members or so, so memory is bounded.
-    A class above `hot` members is dealt by its strings: a 128-bit hash per string, counted with partial sums.
+    A class above `hot` members is dealt by its strings: counted by hash with partial sums, compared by bytes.
     """
     classes = _classes(docs, length, size)
     counts = classes.groupBy("key").agg(F.sum("count").alias("c")).where("c > 1").select("key", (F.col("c") > hot).alias("hot"))
@@ -238,19 +238,64 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, ho
         discard(contexts, counts)
         return found
 
+    hot_spans = _hot_spans(contexts.where("hot").select("doc_id", "place", "left", "context"), length)
+    both = stage_table(found.union(hot_spans), "found")
+    discard(found, contexts, counts)
+    return both
+
+
+def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
+    """(doc_id, start, end) of the repeated strings of contexts (doc_id, place, left, context), one by one.
+
+    Strings are counted by a 128-bit hash. Then the bytes of equal hashes are compared: within a task each with
+    the first of its hash, and one of each task and hash by minimum and maximum. Strings of one hash that
+    differ, should there ever be any, are counted by their bytes.
+    """
+    def hashed(c: bytes, powers) -> tuple[np.ndarray, np.ndarray]:
+        b = np.frombuffer(c, np.uint8)
+        h1, h2 = _hashes(b, length, powers), _hashes(b[::-1], length, powers)[::-1]
+        return h1.view(np.int64), np.ascontiguousarray(h2).view(np.int64)
+
     def strings(batches):
         powers = _Powers()
         for b in batches:
             for doc, place, left, c in zip(*(b.column(i).to_pylist() for i in range(4))):
-                b2 = np.frombuffer(c, np.uint8)
-                h1, h2 = _hashes(b2, length, powers), _hashes(b2[::-1], length, powers)[::-1]
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(np.ascontiguousarray(h2).view(np.int64)), pa.array(np.full(len(h1), doc)), pa.array(np.arange(len(h1)) + place - left)], names=["h1", "h2", "doc_id", "start"])
+                h1, h2 = hashed(c, powers)
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.full(len(h1), doc)), pa.array(np.arange(len(h1)) + place - left)], names=["h1", "h2", "doc_id", "start"])
 
-    every = contexts.where("hot").select("doc_id", "place", "left", "context").mapInArrow(strings, "h1 long, h2 long, doc_id long, start long")
+    out = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("low", pa.binary()), ("same", pa.bool_())])
+
+    def compared(batches):
+        powers, first, differ = _Powers(), {}, set()
+
+        def flush():
+            rows = [(*k, v, k not in differ) for k, v in first.items()]
+            for at in range(0, len(rows), 5000):
+                yield record_batch(out, dict(zip(out.names, zip(*rows[at : at + 5000]))))
+            first.clear()
+
+        for b in batches:
+            for c in b.column(0).to_pylist():
+                for i, k in enumerate(zip(*(h.tolist() for h in hashed(c, powers)))):
+                    s = c[i : i + length]
+                    if first.setdefault(k, s) != s:
+                        differ.add(k)
+                if len(first) > 50_000:  # 20 MB
+                    yield from flush()
+        yield from flush()
+
+    every = contexts.mapInArrow(strings, "h1 long, h2 long, doc_id long, start long")
     often = stage_table(every.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "often")
-    both = stage_table(found.union(every.join(often, ["h1", "h2"]).select("doc_id", "start", (F.col("start") + length).alias("end"))), "found")
-    discard(found, contexts, counts, often)
-    return both
+    seen = contexts.select("context").mapInArrow(compared, "h1 long, h2 long, low binary, same boolean").join(often, ["h1", "h2"], "left_semi")
+    mixed = seen.groupBy("h1", "h2").agg(F.min("low").alias("a"), F.max("low").alias("b"), F.bool_and("same").alias("s")).where("a <> b or not s").select("h1", "h2")
+    mixed = stage_table(mixed, "mixed")
+    spans = lambda d: d.select("doc_id", "start", (F.col("start") + length).alias("end"))
+    if mixed.isEmpty():
+        return spans(every.join(often, ["h1", "h2"], "left_semi"))
+    told = contexts.select("doc_id", (F.col("place") - F.col("left")).alias("at"), "context").withColumn("i", F.explode(F.sequence(F.lit(0), F.octet_length("context") - length)))
+    told = told.select("doc_id", (F.col("at") + F.col("i")).alias("start"), F.expr(f"substring(context, i + 1, {length})").alias("s")).join(every.join(mixed, ["h1", "h2"], "left_semi").select("doc_id", "start"), ["doc_id", "start"], "left_semi")
+    again = told.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
+    return spans(every.join(often.join(mixed, ["h1", "h2"], "left_anti"), ["h1", "h2"], "left_semi")).union(spans(told.join(again, "s", "left_semi")))
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, hot: int = HOT) -> DataFrame:

@@ -284,6 +284,15 @@ def test_suffixes(spark, odd, empty, hot):
     assert suffixes.dedup_bytes(odd).count() == len(ODD) and suffixes.dedup_bytes(empty).count() == 0
 
 
+def test_suffixes_of_equal_hashes(spark, monkeypatch):
+    """Different strings of one hash in a hot class are told apart by their bytes."""
+    real = suffixes._hashes
+    monkeypatch.setattr(suffixes, "_hashes", lambda b, n, powers: real(b, n, powers) if n != 120 else np.zeros(len(b) - n + 1, np.uint64))
+    rows = [(i, 0, 0, bytearray(t.encode())) for i, t in enumerate(("a" * 120 + "b", "c" + "a" * 120, "d" * 130, "e" * 120))]
+    got = suffixes._hot_spans(spark.createDataFrame(rows, "doc_id long, place long, left int, context binary"), 120)
+    assert sorted(map(tuple, got.collect())) == [(0, 0, 120), (1, 1, 121)] + [(2, i, i + 120) for i in range(11)]
+
+
 def test_suffixes_of_texts_with_short_periods(spark):
     """A run of one byte and others of short periods: few anchor rows, all removed but what is not covered."""
     powers = suffixes._Powers()
