@@ -44,7 +44,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token windows, with their ids."""
+    """Pieces of token windows, with their ids; a null or empty text is the end id alone, a repeated row packs again."""
     return packing.pack(docs)
 
 
