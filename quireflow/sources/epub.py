@@ -149,6 +149,20 @@ def page_counts(entries: DataFrame, strict: bool = False) -> DataFrame:
     return d.withColumn("pages", F.coalesce("pages", none)) if strict else d
 
 
+def harvest(entries: DataFrame, strict: bool = True) -> DataFrame:
+    """(book_id, path, asset, bytes) of the images that spine documents show, each once a book.
+
+    path is the member's, resolved against its document; asset its name outside. An image that no member holds
+    is an error, or, where not strict, a row without bytes. Sources without a value and of other hosts are none.
+    """
+    src = F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)<img\b[^>]*\ssrc\s*=\s*["']([^"']+)["']"""), F.lit(1)))
+    shown = documents(entries).select("book_id", "name", src.alias("src")).where(~F.col("src").rlike("(?i)^([a-z][a-z0-9+.-]*:|//)"))
+    shown = shown.select("book_id", M.resolve(F.col("name"), F.col("src")).alias("path")).distinct()
+    d = shown.join(entries.select("book_id", F.col("name").alias("path"), "bytes"), ["book_id", "path"], "left")
+    none = F.raise_error(F.concat(F.lit("no member holds the image "), "path")).cast("binary")
+    return d.select("book_id", "path", M.asset_name(F.col("path")).alias("asset"), (F.coalesce("bytes", none) if strict else F.col("bytes")).alias("bytes"))
+
+
 SCAN = "book_id string, title string, creator string, labels array<string>, css string, documents array<string>, paged array<string>"
 
 

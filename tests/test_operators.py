@@ -411,3 +411,14 @@ def test_missed_terms(spark):
     assert t["Of THE day in the end"] == ["glossary_missed", "glossary_missed"] and t["in the x"] == []
     many = {f"term {i}": "x" for i in range(5000)}
     assert flow.triage(pairs, many).count() == 3
+
+
+def test_harvest(spark):
+    data = epub.sample("A", ['<p><img alt="" src="c2.xhtml#x"/><img src="c2.xhtml"/><img src="http://h/a.png"/></p>', "<p>y</p>"])
+    entries = epub.members(keyed([("p", bytearray(data))], spark, "path string, content binary"))
+    got = epub.harvest(entries).collect()
+    assert [(r["path"], bytes(r["bytes"])) for r in got] == [("OPS/c2.xhtml", b"<html><body><p>y</p></body></html>")] and got[0]["asset"].endswith(".xhtml")
+    lost = epub.members(keyed([("q", bytearray(epub.sample("B", ['<img src="../z.png">'])))], spark, "path string, content binary"))
+    assert [tuple(r) for r in epub.harvest(lost, strict=False).select("path", "bytes").collect()] == [("z.png", None)]
+    with pytest.raises(Exception, match="no member holds"):
+        epub.harvest(lost).collect()
