@@ -307,6 +307,28 @@ def test_suffixes_of_texts_with_short_periods(spark):
     assert got == {1: (200_002, 200_000, 1), 2: (901, 900, 1), 3: (604, 603, 1), 4: (450, 450, 1), 5: (400, 0, 0)}
 
 
+def test_very_long_texts(spark):
+    """Texts of 3 MB: a passage across the end of a segment, whole token counts, whole sets, a language, windows."""
+    rng = random.Random(21)
+    word = lambda: "%08x" % rng.getrandbits(32)
+    filler = lambda n: " ".join(word() for _ in range(n))
+    passage = "<" + " ".join(word() for _ in range(60)) + ">"
+    long = filler(116_000)[: suffixes.SEGMENT - 200] + passage + filler(200_000)
+    docs = [(1, long), (2, "[" + passage + "]"), (3, long[:-1]), (4, "short text"), (5, "tr " * 10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    only = df.where("doc_id in (1, 2, 4)")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.dedup_bytes(only).collect()}
+    assert got == {1: (len(long), len(passage), 1), 2: (len(passage) + 2, len(passage), 1), 4: (10, 0, 0)}
+    links = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(df).collect()}
+    assert links[1] == (len(words_set(long)), 1) and links[3][1] == 1 and links[2][1] == 2 and links[4][1] == 4
+    fresh = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    packed = packing.pack(df).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+    assert {(r["doc_id"], r["n"], r["t"]) for r in packed} == {(d, n, n) for d, t in docs for n in [len(fresh.encode(t, add_special_tokens=False).ids) + 1]}
+    assert lines.dedup_lines(df).where("n_removed = 0").count() == 5
+    chatted = chat.format_conversations(df.select(F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("user").alias("role"), "text"))
+    assert chat.read_back(chatted).first()["n_turns"] == 5 and chatted.where("over_budget").count() == 2
+
+
 def test_suffixes_by_id(spark, monkeypatch):
     """Broadcast ids and dealt texts give the same rows."""
     docs = spark.createDataFrame(corpus() + [(None, "x" * 500), (7, "y" * 500)], "doc_id long, text string")
