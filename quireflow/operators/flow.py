@@ -56,14 +56,17 @@ def longest_blocks(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     shuffle: per token of lhs the lengths of the runs that end there at each token of rhs, by those of the token
     before. Work is size(lhs) * size(rhs), meant for short arrays.
     """
-    ends = "transform(rhs, (t, j) -> if(coalesce(t = get(lhs, i), false), if(j = 0, 0, get(s.p, j - 1)) + 1, 0))"
+    ends = "transform(z.r, (t, j) -> if(coalesce(t = get(z.l, i), false), if(j = 0, 0, get(s.p, j - 1)) + 1, 0))"
     # of equal lengths the largest struct has the smallest a, then b
     best = "array_max(transform(c, (n, j) -> struct(n as n, n - 1 - i as a, n - 1 - j as b)))"
     step = f"(s, i) -> transform(array({ends}), c -> named_struct('p', c, 'best', greatest(s.best, {best})))[0]"
-    start = "named_struct('p', array_repeat(0, size(rhs)), 'best', struct(0 as n, 0 as a, 0 as b))"
-    found = F.expr(f"if(size(lhs) > 0 and size(rhs) > 0, aggregate(sequence(0, size(lhs) - 1), {start}, {step}).best, null)")
-    d = pairs.select(key, found.alias("x"), F.size("lhs").alias("n_lhs")).where("x.n > 0")
-    return d.select(key, F.col("x.n").cast("long").alias("size"), (-F.col("x.a")).cast("long").alias("a"), (-F.col("x.b")).cast("long").alias("b"), "n_lhs")
+    start = "named_struct('p', array_repeat(0, size(z.r)), 'best', struct(0 as n, 0 as a, 0 as b))"
+    found = f"if(size(z.l) > 0 and size(z.r) > 0, aggregate(sequence(0, size(z.l) - 1), {start}, {step}).best, null)"
+    # bound as lambda variables: the planner would else compute the arrays anew at each step
+    x = F.expr(f"transform(array(struct(lhs as l, rhs as r)), z -> struct(size(z.l) as n_lhs, {found} as x))[0]")
+    # exploded (outer), as the planner would compute a filter's and the result's value apart
+    d = pairs.select(key, F.explode_outer(F.filter(F.array(x), lambda z: z["x"]["n"] > 0)).alias("z")).where("z is not null")
+    return d.select(key, F.col("z.x.n").cast("long").alias("size"), (-F.col("z.x.a")).cast("long").alias("a"), (-F.col("z.x.b")).cast("long").alias("b"), F.col("z.n_lhs").alias("n_lhs"))
 
 
 def remove_boundary_overlaps(pages: DataFrame, key: str = "doc_id", ord_: str = "page") -> DataFrame:
