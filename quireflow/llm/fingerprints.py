@@ -109,7 +109,7 @@ def encode(keys: str, cells: str) -> str:
     return f"concat('ibl{SIZES[0]}:', size({keys}), ':', array_join(transform({cells}, {c} -> concat(hex({c}.n), '.', hex({c}.k), '.', hex({c}.h))), ','))"
 
 
-def with_next(docs: DataFrame, rows_per_bucket: int = 1000, most_buckets: int = 1 << 20, few: int = 65_536) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_bucket: int = 250, most_buckets: int = 1 << 20, few: int = 65_536) -> DataFrame:
     """docs (doc_id, text) plus next_text: the text after it by descending doc_id, around the end; one text shuffle.
 
     Ids are cut into ranges at quantiles, which are halved evenly until a range has few rows; a range's first
