@@ -87,24 +87,28 @@ def pivotal(items: DataFrame, block: int = 256, seed: int = 11) -> DataFrame:
     return out
 
 
-def settled(drawn: DataFrame, items: DataFrame, seed: int = 11) -> DataFrame:
-    """drawn with the words that a source's last draw missed given to or taken from one document of it.
+def settled(drawn: DataFrame, items: DataFrame, seed: int = 11, rounds: int = 3) -> DataFrame:
+    """drawn with the words that a source's last draw missed given to or taken from a few documents of it.
 
     The miss is at most that one document's size. Of the documents that can make up for it (one copy more
     where words are missing, else one less) the one nearest to it in size changes, if the source comes nearer
-    its target by that; ties go to the smallest hash, and so at random. A minimum a source, no gathering.
+    its target by that; what is then missed is settled likewise, `rounds` times at most. Ties go to the
+    smallest hash, and so at random. Minima and sums a source, no gathering.
     """
-    want = items.groupBy("source").agg(F.sum((F.col("k") + F.col("f")) * F.col("size") * F.col("m")).alias("want"))
-    have = drawn.groupBy("source").agg(F.sum(F.col("copies") * F.col("size") * F.col("m")).alias("have"))
-    miss = want.join(have.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select("_s", (F.col("want") - F.col("have")).alias("_miss"))
-    miss = stage_table(miss, "misses")
+    want = stage_table(items.groupBy(F.col("source").alias("_s")).agg(F.sum((F.col("k") + F.col("f")) * F.col("size") * F.col("m")).alias("_want")), "wanted")
     at = F.col("source").eqNullSafe(F.col("_s"))
     open_ = F.when(F.col("_miss") > 0, F.col("copies") == F.col("k")).otherwise(F.col("copies") > F.col("k"))
     off = F.abs(F.abs("_miss") - F.col("size") * F.col("m"))
-    best = drawn.join(miss, at).where(open_ & (off < F.abs("_miss"))).groupBy("_s").agg(F.min(F.struct(off.alias("off"), F.xxhash64("doc_id", "size", F.lit(seed)).alias("h"), "doc_id", "size", F.signum("_miss").cast("long").alias("by"))).alias("x"))
-    best = stage_table(best.select("_s", F.col("x.doc_id").alias("_d"), F.col("x.size").alias("_n"), F.col("x.by").alias("_by")), "settled")
-    d = drawn.join(best, at & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_n")), "left")
-    return d.select("source", "doc_id", "size", "m", (F.col("copies") + F.coalesce("_by", F.lit(0))).alias("copies"))
+    for _ in range(rounds):
+        have = drawn.groupBy("source").agg(F.sum(F.col("copies") * F.col("size") * F.col("m")).alias("have"))
+        miss = stage_table(have.join(want, at).select("_s", (F.col("_want") - F.col("have")).alias("_miss")), "misses")
+        best = drawn.join(miss, at).where(open_ & (off < F.abs("_miss"))).groupBy("_s").agg(F.min(F.struct(off.alias("off"), F.xxhash64("doc_id", "size", F.lit(seed)).alias("h"), "doc_id", "size", F.signum("_miss").cast("long").alias("by"))).alias("x"))
+        best = stage_table(best.select("_s", F.col("x.doc_id").alias("_d"), F.col("x.size").alias("_n"), F.col("x.by").alias("_by")), "settled")
+        if best.isEmpty():
+            break
+        drawn = drawn.join(best, at & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_n")), "left")
+        drawn = drawn.select("source", "doc_id", "size", "m", "k", (F.col("copies") + F.coalesce("_by", F.lit(0))).alias("copies"))
+    return drawn.drop("k")
 
 
 def plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, block: int = 256, seed: int = 11) -> DataFrame:
