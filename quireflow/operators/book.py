@@ -78,7 +78,7 @@ def page_report(source: DataFrame, pages: DataFrame, difference: DataFrame, over
     """
     s = source.groupBy(key).agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("source_chars"))
     blank = F.col("body") == ""
-    t = pages.groupBy(key).agg(F.sum(F.length("body")).alias("target_chars"), F.sum(F.regexp_count("body", F.lit(X.RESIDUAL_REPORT))).cast("long").alias("hits"), F.sort_array(F.collect_list(F.when(blank, F.col("page")))).alias("untranslated"))
+    t = pages.groupBy(key).agg(F.sum(F.length("body")).alias("target_chars"), F.sum(X.hits(F.col("body"), X.RESIDUAL_REPORT)).cast("long").alias("hits"), F.sort_array(F.collect_list(F.when(blank, F.col("page")))).alias("untranslated"))
     side = lambda k: F.sort_array(F.collect_list(F.when(F.col("side") == k, F.col("page")))).alias(k)
     d = t.join(s, key, "left").join(difference.groupBy(key).agg(side("missing"), side("extra")), key, "left").join(overlaps.groupBy(key).agg(F.count("*").alias("overlaps")), key, "left")
     none = F.array().cast("array<int>")
@@ -142,7 +142,7 @@ def cut_book(documents: DataFrame, end: Column, key: str = "book", ord_: str = "
 
 def chapter_errors(toc: DataFrame, wanted: Column, key: str = "book") -> DataFrame:
     """(key, chapters, error) of toc (key, doc, label): two chapters in one document, or fewer than wanted."""
-    chapter = F.coalesce(F.col("label").rlike(X.CHAPTER), F.lit(False))
+    chapter = F.coalesce(X.found(F.col("label"), X.CHAPTER), F.lit(False))
     n = toc.withColumn("_w", wanted).groupBy(key).agg(F.count(F.when(chapter, 1)).alias("chapters"), F.countDistinct(F.when(chapter, F.col("doc"))).alias("_d"), F.max("_w").alias("_w"))
     error = F.when(F.col("_d") < F.col("chapters"), "two chapters in one document").when(F.col("chapters") < F.col("_w"), "fewer chapters than wanted")
     return n.select(key, "chapters", error.alias("error"))

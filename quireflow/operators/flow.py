@@ -151,9 +151,9 @@ def triage(pairs: DataFrame, glossary: dict[str, str] | None = None, markup: boo
         blocking.insert(0, F.when(M.structure_of(html[0]) != M.structure_of(html[1]), "structure_changed"))
     missed = F.transform(missed_terms(s, t, glossary), lambda _: F.lit("glossary_missed"))
     cjk = s.rlike(X.CJK)
-    closer = F.when(n >= 800, "long_paragraph").when(cjk & (n >= 400), "dense_cjk").when((n >= 250) & s.rlike(X.RISK), "sensitive_relation")
+    closer = F.when(n >= 800, "long_paragraph").when(cjk & (n >= 400), "dense_cjk").when((n >= 250) & X.found(s, X.RISK), "sensitive_relation")
     low, high = F.when(cjk, 0.4).otherwise(0.55), F.when(cjk, 4.0).otherwise(1.8)
-    select = [closer, F.when(F.regexp_count(t, F.lit(X.RESIDUAL)) >= 3, "residual_language"), F.when((ratio < low) | (ratio > high), "atypical_length")]
+    select = [closer, F.when(X.hits(t, X.RESIDUAL) >= 3, "residual_language"), F.when((ratio < low) | (ratio > high), "atypical_length")]
     d = pairs.withColumn("problems", F.concat(F.array_compact(F.array(*blocking)), missed)).withColumn("reasons", F.concat("problems", F.array_compact(F.array(*select))))
     return d.withColumn("status", F.when(F.size("problems") > 0, "review").otherwise("approved"))
 
@@ -254,7 +254,7 @@ def toc_slice(toc: DataFrame, spine: DataFrame, n: int) -> DataFrame:
     toc: ord, doc, label, depth; spine: pos, doc. One row of bounds is computed and joined; the rest is a filter.
     """
     t = toc.join(spine, "doc")
-    chapters = t.where(F.col("label").rlike(X.CHAPTER)).withColumn("k", F.row_number().over(W.orderBy("ord"))).where(F.col("k") <= n)
+    chapters = t.where(X.found(F.col("label"), X.CHAPTER)).withColumn("k", F.row_number().over(W.orderBy("ord"))).where(F.col("k") <= n)
     ends = chapters.agg(F.min_by("pos", "k").alias("first"), F.max_by("ord", "k").alias("last"), F.max_by("depth", "k").alias("level"))
     after = t.join(F.broadcast(ends), (F.col("ord") > F.col("last")) & (F.col("depth") <= F.col("level")) & (F.col("pos") > F.col("first"))).agg(F.min(F.struct("ord", "pos")).alias("x")).select(F.col("x.pos").alias("stop"))
     bounds = ends.select("first").join(after)  # one row each

@@ -200,7 +200,7 @@ def inventory(books: DataFrame) -> DataFrame:
     tags = lambda *names: total("documents", lambda h: M.count_tag(h, *names))
     return scan(books).select(
         "book_id", "title", F.size("documents").cast("long").alias("documents"), total("documents", lambda h: F.length(M.visible_text(h))).alias("characters"),
-        F.array_max(F.transform("paged", M.last_page)).alias("pages"), F.size(F.filter("labels", lambda x: x.rlike(X.CHAPTER))).cast("long").alias("chapters"),
+        F.array_max(F.transform("paged", M.last_page)).alias("pages"), F.size(F.filter("labels", lambda x: X.found(x, X.CHAPTER))).cast("long").alias("chapters"),
         "creator", tags("img").alias("images"), tags("figure").alias("figures"), total("documents", M.count_equations).alias("equations"), tags("table").alias("tables"),
     )
 
