@@ -27,7 +27,7 @@ PAD = "xq " * 90
 WORDS = [PAD + w for w in ("noñada", "éno", "no", "noche", "cauſal", "cauſe", "xſignificant", "ſignificant", "biaſ", "biaſx", "bıas", "NOT", "ñthe thé éthat THİS thiſ thiſx", "two 2 twoñ 2", "sİx 6", "fourñ", "")]
 
 
-@pytest.mark.parametrize("name", ["risk_triage", "residual_language", "number_words", "audit_selection", "known_problems"])
+@pytest.mark.parametrize("name", ["risk_triage", "residual_language", "number_words", "audit_selection", "known_problems", "triage_rollup"])
 def test_words_outside_ascii(spark, tmp_path, name):
     rows = agree(spark, tmp_path, name, documents=documents(*WORDS))
     if name == "risk_triage":
