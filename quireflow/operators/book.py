@@ -73,19 +73,22 @@ def merge_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:
 def page_report(source: DataFrame, pages: DataFrame, difference: DataFrame, overlaps: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row a key: characters, ratio, residual hits, pages missing or extra, overlaps, warnings, status.
 
-    source: (key, page, text); pages: wanted_pages(); difference: page_difference(); overlaps: (key, page), a row
-    per page that still repeats the next one's head. Nulls count as empty; a key without pages has no row.
+    source: (key, page, text); pages: wanted_pages(), after a cut with removed, what went from a page's tail;
+    difference: page_difference(); overlaps: (key, page), a row per page that still repeats the next one's head.
+    A page without text is untranslated if none came back, and emptied if all of it was such a tail: both warn.
+    Nulls count as empty; a key without pages has no row.
     """
     s = source.groupBy(key).agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("source_chars"))
-    blank = F.col("body") == ""
-    t = pages.groupBy(key).agg(F.sum(F.length("body")).alias("target_chars"), F.sum(X.hits(F.col("body"), X.RESIDUAL_REPORT)).cast("long").alias("hits"), F.sort_array(F.collect_list(F.when(blank, F.col("page")))).alias("untranslated"))
-    side = lambda k: F.sort_array(F.collect_list(F.when(F.col("side") == k, F.col("page")))).alias(k)
+    blank, cut = F.col("body") == "", F.col("removed").isNotNull() if "removed" in pages.columns else F.lit(False)
+    those = lambda on, name: F.sort_array(F.collect_list(F.when(on, F.col("page")))).alias(name)
+    t = pages.groupBy(key).agg(F.sum(F.length("body")).alias("target_chars"), F.sum(X.hits(F.col("body"), X.RESIDUAL_REPORT)).cast("long").alias("hits"), those(blank & ~cut, "untranslated"), those(blank & cut, "emptied"))
+    side = lambda k: those(F.col("side") == k, k)
     d = t.join(s, key, "left").join(difference.groupBy(key).agg(side("missing"), side("extra")), key, "left").join(overlaps.groupBy(key).agg(F.count("*").alias("overlaps")), key, "left")
     none = F.array().cast("array<int>")
     d = d.withColumns({"source_chars": F.coalesce("source_chars", F.lit(0)), "overlaps": F.coalesce("overlaps", F.lit(0)), "missing": F.coalesce("missing", none), "extra": F.coalesce("extra", none)})
     ratio = F.when(F.col("source_chars") == 0, 0.0).otherwise(F.col("target_chars") / F.col("source_chars"))
     warnings = F.array_compact(F.array(
-        F.when(F.size("untranslated") > 0, "untranslated"), F.when(~ratio.between(0.65, 1.55), "ratio"),
+        F.when((F.size("untranslated") > 0) | (F.size("emptied") > 0), "untranslated"), F.when(~ratio.between(0.65, 1.55), "ratio"),
         F.when(F.col("hits") > F.greatest(F.lit(30), F.floor(F.col("target_chars") / 1000)), "residual"),
         F.when((F.size("missing") > 0) | (F.size("extra") > 0), "pages"), F.when(F.col("overlaps") > 0, "overlaps"),
     ))
@@ -114,11 +117,11 @@ def outputs(blocks: DataFrame, source: DataFrame, key: str = "doc_id") -> Output
     order = source.select(key, F.col("page").alias("ord"), F.col("page").cast("int").alias("page")).distinct()
     pages = remove_boundary_overlaps(wanted_pages(order, found, key).withColumnRenamed("body", "text"), key, "ord").withColumnRenamed("text", "body")
     corrections = pages.where("removed is not null").select(key, "page", "removed")
-    pages = pages.drop("removed")
+    cut, pages = pages, pages.drop("removed")
     again = remove_boundary_overlaps(pages.withColumnRenamed("body", "text"), key, "ord").where("removed is not null").select(key, "page")
     body = F.concat(F.lit('<section class="page" id="p'), F.col("page").cast("string"), F.lit('">'), X.render_markdown(F.col("body")), F.lit("</section>"))
     html = pages.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", body.alias("t")))), lambda x: x["t"]), "\n").alias("html"))
-    return Outputs(pages, corrections, merge_pages(pages, key), html, page_report(source, pages, page_difference(order, found, key), again, key))
+    return Outputs(pages, corrections, merge_pages(pages, key), html, page_report(source, cut, page_difference(order, found, key), again, key))
 
 
 def cut_book(documents: DataFrame, end: Column, key: str = "book", ord_: str = "pos", strict: bool = True) -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quireflow.operators import book
 
 
 def agree(spark, folder, name, **tables):
@@ -32,3 +33,16 @@ def test_words_outside_ascii(spark, tmp_path, name):
     rows = agree(spark, tmp_path, name, documents=documents(*WORDS))
     if name == "risk_triage":
         assert sum("sensitive_relation" in r for r in rows) == 8
+
+
+def test_page_that_goes_whole(spark, tmp_path):
+    """A page that its next one repeats was translated: the cut empties it, the report says so."""
+    agree(spark, tmp_path, "book_report", documents=documents("erbeberzu " * 160, "", None, "a" * 900))
+    line = " ".join(f"w{i}" for i in range(9))
+    blocks = spark.createDataFrame([(1, 1, f"<!-- PAGINA_FISICA_001 -->{line}<!-- PAGINA_FISICA_002 -->{line} on<!-- PAGINA_FISICA_003 -->")], "doc_id long, block int, text string")
+    source = spark.createDataFrame([(1, i, line) for i in (1, 2, 3)], "doc_id long, page int, text string")
+    out = book.outputs(blocks, source)
+    r = out.report.first()
+    assert (r["untranslated"], r["emptied"], r["missing"]) == ([3], [1], []) and "untranslated" in r["warnings"]
+    assert out.pages.columns == ["doc_id", "ord", "page", "body"]
+    assert "untranslated" in book.outputs(blocks, source.where("page < 3")).report.first()["warnings"]
