@@ -259,10 +259,13 @@ def excerpt(data: bytes, docs: list[str]) -> list[str]:
     return sorted(out)
 
 
-def lock(folder_files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files (path, content) against a manifest (path, sha256): path and state (same, changed, missing, extra)."""
-    have = folder_files.select("path", F.sha2("content", 256).alias("h"))
-    d = have.join(manifest.select("path", "sha256"), "path", "full_outer")
+def lock(folder_files: DataFrame, manifest: DataFrame, key: str = "path") -> DataFrame:
+    """Files (path, content) against a manifest (path, sha256): path and state (same, changed, missing, extra).
+
+    Where several files share a path, or have none, key is a column of both sides that tells them apart.
+    """
+    have = folder_files.select(F.col(key).alias("k"), F.col("path").alias("p"), F.sha2("content", 256).alias("h"))
+    d = have.join(manifest.select(F.col(key).alias("k"), F.col("path").alias("q"), "sha256"), "k", "full_outer").withColumn("path", F.coalesce("p", "q"))
     state = F.when(F.col("h").isNull(), "missing").when(F.col("sha256").isNull(), "extra").when(F.col("h") == F.col("sha256"), "same").otherwise("changed")
     return d.select("path", state.alias("state"))
 

@@ -35,6 +35,12 @@ def test_words_outside_ascii(spark, tmp_path, name):
         assert sum("sensitive_relation" in r for r in rows) == 8
 
 
+def test_locked_files_of_one_path(spark, tmp_path):
+    """Pages that share a url, or have none, are files of their own."""
+    rows = [(i, None if i > 7 else "u" if i > 2 else f"u{i}", "x" * (i % 3)) for i in range(12)] + [(12, "v", None), (13, "v", None)]
+    agree(spark, tmp_path, "file_lock", pages=("page_id long, url string, html string", rows))
+
+
 def test_page_that_goes_whole(spark, tmp_path):
     """A page that its next one repeats was translated: the cut empties it, the report says so."""
     agree(spark, tmp_path, "book_report", documents=documents("erbeberzu " * 160, "", None, "a" * 900))
