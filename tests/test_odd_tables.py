@@ -35,7 +35,7 @@ def test_words_outside_ascii(spark, tmp_path, name):
         assert sum("sensitive_relation" in r for r in rows) == 8
 
 
-@pytest.mark.parametrize("name", ["audit_selection"])
+@pytest.mark.parametrize("name", ["audit_selection", "known_problems"])
 def test_number_of_many_parts(spark, tmp_path, name):
     """Numbers in a list without blanks are one number, however many they are."""
     agree(spark, tmp_path, name, documents=documents("1," * 20000 + "1", "1." * 20000 + "2%", "the 3", "1," * 20000, "1,2" * 9000))
