@@ -338,6 +338,18 @@ def test_suffixes_by_id(spark, monkeypatch):
     assert rows() == few and len(few) == docs.count()
 
 
+@pytest.mark.parametrize("few", [suffixes.FEW_IDS, 0])
+def test_suffixes_of_rows_without_an_id_of_their_own(spark, monkeypatch, few):
+    """Rows that share a doc_id, or have none, lose what repeats in them and nothing else."""
+    monkeypatch.setattr(suffixes, "FEW_IDS", few)
+    rng = random.Random(5)
+    passage, clean = prose(rng, 90, 10**6), [prose(rng, 200, 10**6) for _ in range(3)]
+    docs = [(1, passage + clean[0]), (1, clean[1]), (1, "at another place: " + passage), (2, clean[2]), (2, clean[2]), (None, "none " + passage + "!"), (None, "short"), (None, None), (3, "b" * 399)]
+    left = [clean[0], clean[1], "at another place:", "", "", "none!", "short", "", "b" * 399]
+    rows = suffixes.dedup_bytes(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "kept_sha256").collect()
+    assert sorted(map(repr, map(tuple, rows))) == sorted(repr((d, len(t or ""), len(t or "") - len(k), hashlib.sha256(k.encode()).hexdigest())) for (d, t), k in zip(docs, left))
+
+
 def test_mixing(spark, odd, empty):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randint(0, 60)), "src%d" % (i % 4) if i % 9 else None) for i in range(3000)]
