@@ -350,6 +350,23 @@ def test_suffixes_of_rows_without_an_id_of_their_own(spark, monkeypatch, few):
     assert sorted(map(repr, map(tuple, rows))) == sorted(repr((d, len(t or ""), len(t or "") - len(k), hashlib.sha256(k.encode()).hexdigest())) for (d, t), k in zip(docs, left))
 
 
+def test_suffixes_query_of_planted_passages(spark, tmp_path):
+    """Passages of 66 words: of 400 bytes they go from every document, of 399 they stay; documents without lose nothing."""
+    from quireflow.llm.queries import op8_column_suffixes
+
+    rng = random.Random(22)
+    words = lambda n: " ".join("%05x" % rng.getrandbits(20) for _ in range(n))
+    goes, stays, twice = words(66) + "-----", words(66) + "----", words(80)
+    assert (len(goes), len(stays)) == (400, 399)
+    a, b, c = (words(90) for _ in range(3))
+    docs = [(1, f"{a}<{goes}>é"), (2, f"[{goes}]{b}"), (3, f"({stays}){a[:200]}"), (4, f"{{{stays}}}{b[:200]}"), (5, c), (6, f"1{twice}2{twice}3"), (7, None)]
+    left = [f"{a}<>é", f"[]{b}", docs[2][1], docs[3][1], c, "123", None]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_kept"], r["n_removed"], r["kept_text"]) for r in op8_column_suffixes(spark, str(tmp_path)).collect()}
+    size = lambda t: len((t or "").encode())
+    assert got == {d: (size(k), size(t) - size(k), k) for (d, t), k in zip(docs, left)}
+
+
 def test_mixing(spark, odd, empty):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randint(0, 60)), "src%d" % (i % 4) if i % 9 else None) for i in range(3000)]
